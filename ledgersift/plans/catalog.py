@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from ledgersift.plans.oracles import ORACLES
+from ledgersift.plans.queries import QUERIES, flagship
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]
