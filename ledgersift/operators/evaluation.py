@@ -8,11 +8,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgersift.config import LABEL, SchemaError
 from ledgersift.functions.scalars import psi_reading
+from ledgersift.scratch import Scratch
+from ledgersift.skew import running_totals
 
 GROUP = ["window", "scorer"]
 
@@ -26,8 +27,8 @@ def stacked(matrix: DataFrame, scorers: Sequence[str]) -> DataFrame:
 def _by_threshold(scores: DataFrame) -> DataFrame:
     """One row per distinct score: rows and mules there, and at it or above."""
     at = scores.groupBy(*GROUP, "score").agg(F.count("*").alias("n"), F.sum(F.col(LABEL).cast("long")).alias("hits"))
-    down, whole = W.partitionBy(*GROUP).orderBy(F.desc("score")), W.partitionBy(*GROUP)
-    return at.withColumns({"above": F.sum("n").over(down), "caught": F.sum("hits").over(down), "mules": F.sum("hits").over(whole)})
+    run = running_totals(at, GROUP, F.desc("score"), {"above": "n", "caught": "hits"}, Scratch(scores.sparkSession, "thresholds"), "thresholds")
+    return run.withColumnRenamed("caught_all", "mules")
 
 
 def average_precision(scores: DataFrame) -> DataFrame:
@@ -156,9 +157,9 @@ def ks_statistic(values: DataFrame) -> DataFrame:
     """``feature, ks``: the largest gap between the two sides' cumulative shares."""
     known = values.filter("value is not null")
     at = known.groupBy("feature", "value").agg(F.count_if(F.col("side") == "reference").alias("r"), F.count_if(F.col("side") == "comparison").alias("c"))
-    up, whole = W.partitionBy("feature").orderBy("value"), W.partitionBy("feature")
-    gap = F.abs(F.try_divide(F.sum("r").over(up).cast("double"), F.sum("r").over(whole)) - F.try_divide(F.sum("c").over(up).cast("double"), F.sum("c").over(whole)))
-    return at.select("feature", gap.alias("gap")).groupBy("feature").agg(F.max("gap").alias("ks"))
+    run = running_totals(at, ["feature"], F.col("value"), {"x": "r", "y": "c"}, Scratch(values.sparkSession, "ks"), "values")
+    gap = F.abs(F.try_divide(F.col("x").cast("double"), F.col("x_all")) - F.try_divide(F.col("y").cast("double"), F.col("y_all")))
+    return run.select("feature", gap.alias("gap")).groupBy("feature").agg(F.max("gap").alias("ks"))
 
 
 def long_values(matrix: DataFrame, columns: Sequence[str], reference: str, comparison: str) -> DataFrame:

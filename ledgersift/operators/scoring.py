@@ -11,11 +11,12 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgersift.config import LABEL, LogisticSpec, RulesBaseline, SchemaError, TreeSpec
 from ledgersift.operators.evaluation import average_precision, stacked
+from ledgersift.scratch import Scratch
+from ledgersift.skew import running_totals
 
 #: The feature matrix's columns, in order.
 FEATURES = (
@@ -77,11 +78,11 @@ def matched_rules_flag(matrix: DataFrame, percentile: float) -> DataFrame:
 def _share_at_or_below(matrix: DataFrame, column: str, name: str) -> DataFrame:
     """``column``'s distinct values with the share of the window's rows at or below each; null ranks lowest.
 
-    Works on distinct values, so equal values cost one row; the order runs over those alone.
+    Works on distinct values, so equal values cost one row.
     """
     counts = matrix.groupBy("window", column).agg(F.count("*").alias("n"))
-    order = W.partitionBy("window").orderBy(F.col(column).asc_nulls_first())
-    return counts.select("window", column, (F.sum("n").over(order) / F.sum("n").over(W.partitionBy("window"))).alias(name))
+    run = running_totals(counts, ["window"], F.col(column).asc_nulls_first(), {"upto": "n"}, Scratch(matrix.sparkSession, "ranks"), name)
+    return run.select("window", column, (F.col("upto") / F.col("upto_all")).alias(name))
 
 
 def rules_score(matrix: DataFrame) -> DataFrame:
@@ -112,13 +113,12 @@ def scale_pos_weight(matrix: DataFrame) -> float:
 
 def population_percentiles(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``window, account, pct_<column>...``: average rank as a share of the defined values; null stays null."""
-    out = matrix.select("window", "account", *columns)
-    for c in columns:
-        counts = matrix.filter(F.col(c).isNotNull()).groupBy("window", c).agg(F.count("*").alias("n"))
-        below = W.partitionBy("window").orderBy(c).rowsBetween(W.unboundedPreceding, -1)
-        ranked = counts.select(F.col("window").alias("__w"), F.col(c).alias("__v"), ((F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2) / F.sum("n").over(W.partitionBy("window"))).alias(f"pct_{c}"))
-        out = out.join(ranked, (out["window"] == F.col("__w")) & (out[c] == F.col("__v")), "left").drop("__w", "__v")
-    return out.drop(*columns)
+    long = matrix.select("window", "account", *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["window", "account"], list(columns), "feature", "value")
+    counts = long.filter("value is not null").groupBy("window", "feature", "value").agg(F.count("*").alias("n"))
+    run = running_totals(counts, ["window", "feature"], F.col("value"), {"upto": "n"}, Scratch(matrix.sparkSession, "ranks"), "percentiles")
+    ranked = run.select("window", "feature", "value", ((F.col("upto") - F.col("n") + (F.col("n") + 1) / 2) / F.col("upto_all")).alias("pct"))
+    wide = long.join(ranked, ["window", "feature", "value"], "left").groupBy("window", "account").pivot("feature", list(columns)).agg(F.first("pct"))
+    return wide.select("window", "account", *[F.col(c).alias(f"pct_{c}") for c in columns])
 
 
 class Logistic:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgersift.scratch import Scratch
@@ -48,3 +48,30 @@ def global_order(df: DataFrame, order: Sequence[Column], name: str, scratch: Scr
         return laid.withColumn(name, F.lit(0).cast("long")).drop(spot, part)
     starts = df.sparkSession.createDataFrame(offsets, f"{part} long, __{name}_start long")
     return laid.join(F.broadcast(starts), part).withColumn(name, F.col(f"__{name}_start") + F.col(spot)).drop(spot, part, f"__{name}_start")
+
+
+#: Rows of one table of distinct values that a single ordered window may take.
+WINDOW_ROWS = 2_000_000
+
+
+def running_totals(values: DataFrame, keys: Sequence[str], order: Column, totals: dict[str, str], scratch: Scratch, table: str, *, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """``values`` (a row per key and distinct value) with, for each ``new: column``, the sum up to and including the row, and ``new_all``, the key's sum.
+
+    Up to ``window_rows`` rows an ordered window per key does it. Beyond, rows are range-partitioned by key and value and written, each
+    partition is summed up by itself, and the sums of the partitions before it (one row per partition and key) are added: no key's
+    values meet in one task.
+    """
+    whole = Window.partitionBy(*keys)
+    laid = scratch.save(values, table)
+    if laid.count() <= window_rows:
+        run = whole.orderBy(order)
+        return laid.withColumns({n: F.sum(c).over(run) for n, c in totals.items()} | {f"{n}_all": F.sum(c).over(whole) for n, c in totals.items()})
+    part = "__part"
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = scratch.save(laid.repartitionByRange(parts, *[F.col(k) for k in keys], order).withColumn(part, F.spark_partition_id()), f"{table}-ranged")
+    sums = laid.groupBy(*keys, part).agg(*[F.sum(c).alias(f"{n}_all") for n, c in totals.items()])
+    before = whole.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = scratch.save(sums.select(*keys, part, *[F.coalesce(F.sum(f"{n}_all").over(before), F.lit(0)).alias(f"{n}_before") for n in totals], *[F.sum(f"{n}_all").over(whole).alias(f"{n}_all") for n in totals]), f"{table}-sums")
+    inner = Window.partitionBy(*keys, part).orderBy(order)
+    joined = laid.withColumns({n: F.sum(c).over(inner) for n, c in totals.items()}).join(sums, [*keys, part])
+    return joined.withColumns({n: F.col(n) + F.col(f"{n}_before") for n in totals}).drop(part, *[f"{n}_before" for n in totals])
