@@ -173,6 +173,8 @@ _sql("overflow_verdict", f"{_over}, dl AS (SELECT a.caught - b.caught AS d FROM
 _need = lambda x: f"round({_wrong} / ({x} + {_MISS + _FREEZE}), 6)"
 _sql("exposure_concentration", f"{QUEUE}, once AS (SELECT DISTINCT w, account, is_mule, exposure FROM q0), mu AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY exposure DESC, account) AS r FROM once WHERE is_mule = 1), st AS (SELECT w, sum(exposure) AS total, quantile_cont(exposure, 0.5) AS med, avg(exposure) AS mean, count(*) AS n, sum(exposure) FILTER (r = 1) AS one, sum(exposure) FILTER (r <= 5) AS five FROM mu GROUP BY w), br AS (SELECT w, avg(is_mule) AS b FROM once GROUP BY w)",
      f"SELECT {W_}, 'rules' AS scorer, round(total, 6) AS total, round(med, 6) AS median, round(mean, 6) AS mean, coalesce(n, 0) AS count, round(one / total, 6) AS top_1_share, round(five / total, 6) AS top_5_share, {_need('0.0')} AS break_even_none, {_need('med')} AS break_even_median, {_need('mean')} AS break_even_mean, round(b, 6) AS base_rate, b > {_wrong} / (mean + {_MISS + _FREEZE}) AS random_alerts_pay_at_mean FROM br LEFT JOIN st USING (w)")
+_sql("reachability_funnel", f"{_at}, uns AS (SELECT w, count(*) AS u FROM got ANTI JOIN pop USING (w, account) WHERE m = 1 GROUP BY 1), st AS (SELECT grp.w, mules AS reachable, mules + coalesce(u, 0) AS total, alerts, caught FROM grp JOIN cov USING (w) LEFT JOIN uns USING (w))",
+     f"SELECT {W_}, CAST(n AS BIGINT) AS stage_no, ['mules active in the label window', 'reachable by the feature window', 'alerts the budget allows', 'caught'][n + 1] AS stage, [total, reachable, alerts, caught][n + 1] AS count, round([total, reachable, alerts, caught][n + 1] / nullif(CAST(total AS DOUBLE), 0), 6) AS share FROM st CROSS JOIN range(0, 4) t(n)")
 _GRAPH = """edge AS (SELECT DISTINCT w, account_from AS src, account_to AS dst FROM txns JOIN win ON ts >= fs AND ts < fe),
 node AS (SELECT w, src AS n FROM edge UNION SELECT w, dst FROM edge),
 und AS (SELECT w, src AS a, dst AS b FROM edge UNION SELECT w, dst, src FROM edge),

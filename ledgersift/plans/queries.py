@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgersift.operators import briefs, evaluation, flows, graph, population, scoring, worklist
 from ledgersift.operators.evaluation import long_values, stacked
 from ledgersift.plans import study
+from ledgersift.plans.figures import funnel_stages
 from ledgersift.plans.features import build_features, history_scan, relational_features
 from ledgersift.plans.study import COSTS, DAYS, HISTORIES, HOURS, KEYS, PARAMS, RATIOS, VOLUMES, WINDOWS
 from ledgersift.scratch import Scratch
@@ -273,6 +274,12 @@ def exposure_concentration(spark, sf_dir):
     return _round(worklist.exposure_concentration(study.queue(spark, sf_dir), COSTS, KEYS))
 
 
+@query
+def reachability_funnel(spark, sf_dir):
+    missing = population.unscoreable(study.ledger(spark, sf_dir), WINDOWS[1:])
+    return _round(funnel_stages(study.queue(spark, sf_dir), missing, _alerts(spark, sf_dir)))
+
+
 def _edges(spark, sf_dir, windows=WINDOWS):
     return graph.edges(study.ledger(spark, sf_dir), windows)
 

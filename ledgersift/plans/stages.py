@@ -1,6 +1,6 @@
 """Stages of the whole run, each from tables to tables and a metrics file; ``python -m ledgersift.plans.stages STAGE`` runs one.
 
-    ingest -> features -> models -> economics -> monitoring -> report
+    ingest -> features -> models -> economics -> monitoring -> report -> figures
     window-scan | components | sweep | brief
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ledgersift.config import LABEL, SCORERS, SPLITS, Costs, Params, SchemaError, Window, build_windows, feasible_hours, load_params, ratio_windows, read_metrics, rehistory, write_metrics
 from ledgersift.operators import briefs, evaluation, graph, population, scoring, worklist
 from ledgersift.operators.evaluation import long_values, stacked
+from ledgersift.plans import figures as drawings
 from ledgersift.plans import report
 from ledgersift.plans.features import build_features, history_scan
 from ledgersift.scratch import Scratch
@@ -159,6 +160,22 @@ def write_report(run: Run) -> str:
     return text
 
 
+def figures(run: Run) -> list[str]:
+    """All figures, from the tables and metrics of the earlier stages."""
+    data, economy, costs, test = read_metrics(run.reports / "metrics_data.json"), read_metrics(run.reports / "metrics_economics.json"), run.params.costs, run.windows[-1]
+    scores, best = run.table("scores"), SCORERS[-1]
+    later = stacked(scores.filter(F.col("window") != "train"), SCORERS)
+    queue = Scratch(run.spark, "figures").save(_queues(run, scores).filter((F.col("window") == test.name) & (F.col("scorer") == best)), "queue")
+    alerts = worklist.select_alerts(worklist.apply_policy(queue, costs.queue_overflow_policy, KEYS), [costs.analyst_capacity_per_day], KEYS, run.params.label_window_days)
+    funnel = drawings.funnel_stages(queue, population.unscoreable(run.table("canonical_txns"), [test]), alerts).orderBy("stage_no")
+    rates = {r["window"]: r["base_rate"] for r in records(evaluation.pr_table(later).select("window", "base_rate").distinct())}
+    return drawings.draw_all(
+        run.reports / "figures", costs, daily=[{"day": d, **v} for d, v in sorted(data["daily"].items())], cutoff=f"{run.params.split.data_end:%Y-%m-%d}",
+        curves=records(evaluation.pr_curve(later).orderBy("window", "scorer", "recall")), base_rates=rates, funnel=records(funnel),
+        exposure=next(r for r in economy["exposure"] if r["scorer"] == best), budget=economy["volume_curve"],
+    )
+
+
 def window_scan(run: Run) -> dict:
     test = run.windows[-1]
     days = [d for d in run.params.experiments.history_window_days if test.label_start - timedelta(days=d) >= run.params.split.data_start]
@@ -239,10 +256,10 @@ def brief(run: Run) -> list[dict]:
 
 
 STAGES = {
-    "ingest": ingest, "features": features, "models": models, "economics": economics, "monitoring": monitoring, "report": write_report, "window-scan": window_scan,
+    "ingest": ingest, "features": features, "models": models, "economics": economics, "monitoring": monitoring, "report": write_report, "figures": figures, "window-scan": window_scan,
     "components": component_stage, "sweep": sweep, "brief": brief,
 }
-ALL = ("ingest", "features", "models", "economics", "monitoring", "report")
+ALL = ("ingest", "features", "models", "economics", "monitoring", "report", "figures")
 
 
 def main(names: Sequence[str]) -> int:

@@ -85,6 +85,11 @@ def test_stages(run):
     text = stages.write_report(run)
     point = got["operating_point"]["test/rules"]
     assert f"| test | rules | {point['alerts']} | {point['caught']} |" in text and "4,000 rows read" in text
+    drawn = stages.figures(run)
+    assert drawn == ["daily_volume", "pr_curve_test", "pr_curve_val", "reachability_funnel", "break_even", "alert_budget"]
+    funnel = (run.reports / "figures" / "reachability_funnel.csv").read_text().splitlines()
+    assert funnel[0] == "window,stage_no,stage,count,share" and funnel[4].split(",")[3] == str(got["operating_point"]["test/xgboost"]["caught"])
+    assert (run.reports / "figures" / "alert_budget.svg").read_text().startswith("<svg")
     scan = stages.window_scan(run)["rows"]
     assert len({r["mules_in_window"] for r in scan}) == 1 and len(scan) == 3
     parts = stages.component_stage(run)
