@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgersift.llm import bytewords as bw
 from ledgersift.llm.mixing import draw
+from ledgersift.llm.workers import release, tidy
 
 BUCKETS = 1 << 14
 DIMENSION = 16
@@ -147,7 +148,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Langua
     layer = rng.normal(0, 0.1, (DIMENSION, k))
     bias = np.zeros(k)
     target = np.array([number[r[0]] for r in rows])
-    share = [(r[1], r[2] / max(1, r[2].sum())) for r in rows]
+    share = [(r[1], (r[2] / max(1, r[2].sum())).astype(np.float32)) for r in rows]
     square = np.full(BUCKETS, 1e-8)
     size = 32
     for epoch in range(EPOCHS):
@@ -198,9 +199,9 @@ def train(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str
             got = [counts(t.as_py()) for t in batch.column("text")]
             yield pa.record_batch([batch.column("doc_id"), batch.column("lang"), pa.array([b.astype(np.uint16).tobytes() for b, _ in got], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in got], pa.binary())], names=["doc_id", "lang", "buckets", "often"])
 
-    got = sample.select("doc_id", "text", "lang").mapInArrow(work, "doc_id long, lang string, buckets binary, often binary").collect()
+    got = sample.select("doc_id", "text", "lang").mapInArrow(tidy(work), "doc_id long, lang string, buckets binary, often binary").collect()
     ordered = sorted(got, key=lambda r: (r["doc_id"], r["lang"], bytes(r["buckets"]), bytes(r["often"])))
-    return fit([(r["lang"], np.frombuffer(r["buckets"], np.uint16).astype(np.int64), np.frombuffer(r["often"], np.uint32).astype(float)) for r in ordered])
+    return fit([(r["lang"], np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["often"], np.uint32)) for r in ordered])
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, *, text: str = "text", out: str = "language") -> DataFrame:
@@ -211,6 +212,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, *, text: str = "text",
         best, score = model.predict(texts) if model is not None else (np.zeros(len(texts), int), np.zeros(len(texts)))
         names = [model.languages[i] if ok else UNKNOWN for i, ok in zip(best, valid, strict=True)]
         score = np.where(valid, np.clip(score, 0.0, 1.0), 0.0)
+        release()
         rejected = ~valid | (score < (model.reject_below if model is not None else 1.0))
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["lang", "score", "rejected"])
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgersift.llm.workers import tidy
 from ledgersift.scratch import Scratch
 
 #: Fixed values of the format.
@@ -158,7 +159,7 @@ def store_media(docs: DataFrame, scratch: Scratch, *, text: str = "text", key: s
                 yield out(ids, sizes, media)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return scratch.save(rows.mapInArrow(work, "doc_id long, n_bytes long, media binary"), "media")
+    return scratch.save(rows.mapInArrow(tidy(work), "doc_id long, n_bytes long, media binary"), "media")
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -179,4 +180,4 @@ def media_features(media: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(types)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in FEATURES.split(", ")])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(work, FEATURES)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(work), FEATURES)

@@ -29,9 +29,9 @@ SEED = "mix-1"
 
 
 def size_of(text: Column) -> Column:
-    """Words [^\\x20\\x09-\\x0D]+ of a text: places where a word starts. Counted without building the words."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+", "w")
-    return (F.char_length(plain) - F.char_length(F.replace(plain, F.lit("w"), F.lit("")))).cast("long")
+    """Words [^\\x20\\x09-\\x0D]+ of a text: each, with the white space around it, becomes one character; those are counted."""
+    ones = F.regexp_replace(text, r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "w")
+    return F.when(F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), F.char_length(ones)).otherwise(0).cast("long")
 
 
 def draw(key: Column, seed: str = SEED) -> Column:
@@ -64,25 +64,38 @@ def source_targets(sizes: DataFrame, scratch: Scratch, weights: Sequence[float]
     return ranked.select("source_key", "is_null", "rows", "source_size", F.least(F.col("weight") * level, limit.cast("double")).alias("target"))
 
 
-def mixing_plan(docs: DataFrame, scratch: Scratch, *, text: str = "text", key: str = "doc_id", source: str = "source", seed: str = SEED, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per document with its size, its source's size, target and rate, and the copies that the mix takes.
+def _copies(rate: Column, key: Column, seed: str) -> Column:
+    """floor(rate), plus one where the key's draw is below the fraction."""
+    whole = F.floor(rate)
+    return (whole + F.when(draw(key, seed) < rate - whole, 1).otherwise(0)).cast("long")
 
-    ``keep`` names further columns of ``docs`` to carry, under the names ``keep_0, keep_1, ...``.
-    """
-    carried = [F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)]
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text).cast("string")).alias("size"), *carried)
+
+def mixing_plan(docs: DataFrame, scratch: Scratch, *, text: str = "text", key: str = "doc_id", source: str = "source", seed: str = SEED, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """One row per document with its size, its source's size, target and rate, and the copies that the mix takes."""
+    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text).cast("string")).alias("size"))
     sized = scratch.save(base, "sized")
     targets = scratch.save(source_targets(sized, scratch, weights, share, cap), "targets")
     keyed = sized.withColumns({"source_key": F.coalesce("source", F.lit("")), "is_null": F.col("source").isNull()})
     joined = join_per_key(keyed, targets, ["source_key", "is_null"], "rows", sized.count())
-    rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    whole = F.floor("rate")
-    copies = (whole + F.when(draw(F.col("doc_id"), seed) < F.col("rate") - whole, 1).otherwise(0)).cast("long")
-    return joined.withColumn("rate", rate).withColumn("copies", copies).drop("source_key", "is_null")
+    rated = joined.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
+    return rated.withColumn("copies", _copies(F.col("rate"), F.col("doc_id"), seed)).drop("source_key", "is_null")
+
 
+def mix(docs: DataFrame, scratch: Scratch, *, text: str = "text", key: str = "doc_id", source: str = "source", seed: str = SEED, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The mix itself: every document as often as `mixing_plan` takes it, with the columns of ``docs``.
 
-def mix(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """The mix itself: every document as many times as the plan takes it, with the columns of ``docs``."""
-    plan = mixing_plan(docs, scratch, keep=docs.columns, **options)
-    names = [F.col(f"keep_{i}").alias(c) for i, c in enumerate(docs.columns)]
-    return plan.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*names)
+    Only sources and sizes are read for the targets, and the rates come back to the documents where they are: texts are neither written nor,
+    but for sources of very few documents, shuffled.
+    """
+    names, rate = docs.columns, F.col("__mix_rate")
+    sizes = docs.select(F.col(source).cast("string").alias("source"), size_of(F.col(text).cast("string")).alias("size"))
+    targets = scratch.save(source_targets(sizes, scratch, weights, share, cap), "targets")
+    total = targets.agg(F.sum("rows")).first()[0] or 0
+    rates = targets.select(
+        F.col("source_key").alias("__mix_key"), F.col("is_null").alias("__mix_null"), F.col("rows").alias("__mix_rows"), F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("__mix_rate")
+    )
+    keyed = docs.withColumns({"__mix_key": F.coalesce(F.col(source).cast("string"), F.lit("")), "__mix_null": F.col(source).isNull()})
+    joined = join_per_key(keyed, rates, ["__mix_key", "__mix_null"], "__mix_rows", total)
+    copies = F.sequence(F.lit(1).cast("long"), _copies(rate, F.col(key).cast("long"), seed))
+    taken = joined.filter(_copies(rate, F.col(key).cast("long"), seed) > 0)
+    return taken.withColumn("__mix_copy", F.explode(copies)).select(*[F.col(f"`{c}`") for c in names])

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgersift.llm.workers import tidy
 from ledgersift.operators.components import connected_components
 from ledgersift.scratch import Scratch
 from ledgersift.skew import join_per_key
@@ -59,14 +60,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id long, fp long`` (the fingerprint as a signed long) of every row."""
+    """``doc_id long, text_hash long, fp long`` (the fingerprint as a signed long) of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype=np.uint64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(got.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
+    body = F.col(text).cast("string")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text")).mapInArrow(tidy(work), "doc_id long, text_hash long, fp long")
 
 
 class BKTree:
@@ -157,7 +159,7 @@ def shard_edges(classes: DataFrame, scratch: Scratch, radius: int = RADIUS, shar
         split = large is not None and not large.isEmpty()
         fit = rows.join(large, "shard", "left_anti") if split else rows
         shards = fit.groupBy("shard").agg(F.collect_list(F.struct("fp", "node")).alias("members")).filter(F.size("members") > 1)
-        edges.append(scratch.save(shards.select("members").mapInArrow(link, "a long, b long").distinct(), f"edges-{level}"))
+        edges.append(scratch.save(shards.select("members").mapInArrow(tidy(link), "a long, b long").distinct(), f"edges-{level}"))
         if not split:
             break
         over = rows.join(large, "shard", "left_semi")
@@ -173,7 +175,7 @@ def shard_edges(classes: DataFrame, scratch: Scratch, radius: int = RADIUS, shar
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, *, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """Return ``doc_id, fp, component_id`` for every row of ``docs``."""
+    """Return ``doc_id, text_hash, fp, component, component_id`` for every row of ``docs``; ``component`` also names those without any id."""
     found = scratch.save(fingerprints(docs, text=text, key=key), "fingerprints")
     total = found.count()
     unnamed = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("fp"), 2)
@@ -184,4 +186,4 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, text: str = "text", ke
     labelled = classes.join(joined, "node", "left").select("fp", "copies", F.coalesce("component", "node").alias("component"))
     labelled = scratch.save(labelled, "labelled")
     named = F.when(F.col("component") < F.lit(NO_ID), F.col("component")).alias("component_id")
-    return join_per_key(found, labelled, ["fp"], "copies", total).select("doc_id", "fp", named)
+    return join_per_key(found, labelled, ["fp"], "copies", total).select("doc_id", "text_hash", "fp", "component", named)

@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgersift.llm.workers import tidy
 from ledgersift.scratch import Scratch
 from ledgersift.skew import join_per_key
 
@@ -210,7 +211,7 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, *, archive_b
         if held:
             yield flush()
 
-    return scratch.save(pages.select("page_id", "url", "html", "refers_to").mapInArrow(work, "name string, records long, bytes long"), "manifest")
+    return scratch.save(pages.select("page_id", "url", "html", "refers_to").mapInArrow(tidy(work), "name string, records long, bytes long"), "manifest")
 
 
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
@@ -236,7 +237,7 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None =
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
     if manifest is not None:
         files = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(manifest.select("name"), "name", "left_semi")
-    return files.select("content").mapInArrow(work, RECORD_FIELDS)
+    return files.select("content").mapInArrow(tidy(work), RECORD_FIELDS)
 
 
 def archive_pages(pages: DataFrame, scratch: Scratch, *, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
