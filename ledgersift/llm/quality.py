@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgersift.llm.langid import is_held_out
 from ledgersift.llm.mixing import draw
+from ledgersift.llm.workers import tidy
 
 BUCKETS = 1 << 18
 GRADES = 3
@@ -91,22 +92,24 @@ def _sigmoid(x):
 
 def fit(rows: list[tuple[int, np.ndarray]], grades: int = GRADES, seed: int = 11) -> OrdinalModel:
     """Maximise the cumulative-link likelihood of (grade, buckets)."""
-    weights, start, gaps = np.zeros(BUCKETS, np.float64), -1.0, np.full(grades - 2, 0.0)  # gaps: logarithms
+    start, gaps = -1.0, np.zeros(grades - 2)  # gaps: logarithms
     if not rows:
-        return OrdinalModel(weights, np.zeros(grades - 1))
+        return OrdinalModel(np.zeros(BUCKETS), np.zeros(grades - 1))
     often = np.bincount(np.concatenate([b for _, b in rows]), minlength=BUCKETS) >= min(LEAST_ROWS, max(1, len(rows) // 50))
-    rows = [(g, b[often[b]]) for g, b in rows]
-    square, rng = np.full(BUCKETS, 1e-4), np.random.default_rng(seed)
-    order = np.arange(len(rows))
-    cut_square = np.full(grades - 1, 1e-2)
-    mean, seen = np.zeros(BUCKETS), 0
+    learned = np.flatnonzero(often)  # the fit works on these alone
+    place = np.cumsum(often) - 1
+    y_all = np.array([g for g, _ in rows])
+    own = [place[b[often[b]]].astype(np.int32) for _, b in rows]
+    n = max(1, len(learned))
+    weights, mean, seen = np.zeros(n), np.zeros(n), 0
+    square, cut_square = np.full(n, 1e-4), np.full(grades - 1, 1e-2)
+    rng, order = np.random.default_rng(seed), np.arange(len(rows))
     for epoch in range(EPOCHS):
         rng.shuffle(order)
         for at in range(0, len(order), 32):
-            batch = [rows[i] for i in order[at : at + 32]]
-            y = np.array([g for g, _ in batch])
-            lengths = np.array([len(b) for _, b in batch])
-            buckets = np.concatenate([b for _, b in batch])
+            batch = order[at : at + 32]
+            y, buckets = y_all[batch], np.concatenate([own[i] for i in batch])
+            lengths = np.array([len(own[i]) for i in batch])
             ends = np.cumsum(lengths)
             total = np.r_[0.0, np.cumsum(weights[buckets])]
             z = total[ends] - total[ends - lengths]
@@ -117,12 +120,11 @@ def fit(rows: list[tuple[int, np.ndarray]], grades: int = GRADES, seed: int = 11
             upper, lower = np.where(y == 0, 1.0, upper), np.where(y == grades - 1, 0.0, lower)
             p = np.maximum(upper - lower, 1e-9)
             du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
-            dz = du - dl  # of the log likelihood
-            step = np.repeat(dz / len(batch), lengths)
-            which, back = np.unique(buckets, return_inverse=True)
-            g = np.bincount(back, step) - RIDGE * weights[which]
-            square[which] += g * g
-            weights[which] += RATE * g / np.sqrt(square[which])
+            step = np.repeat((du - dl) / len(batch), lengths)  # of the log likelihood, for each bucket's weight
+            present = np.bincount(buckets, minlength=n) > 0
+            g = np.bincount(buckets, step, minlength=n) - RIDGE * weights * present
+            square += g * g
+            weights += RATE * g / np.sqrt(square)
             dcut = np.zeros(grades + 1)
             np.add.at(dcut, y, -du)
             np.add.at(dcut, y + 1, dl)
@@ -135,7 +137,9 @@ def fit(rows: list[tuple[int, np.ndarray]], grades: int = GRADES, seed: int = 11
         if epoch >= EPOCHS // 2:
             mean += weights
             seen += 1
-    return OrdinalModel(mean / max(1, seen), start + np.r_[0.0, np.cumsum(np.exp(gaps))])
+    full = np.zeros(BUCKETS)
+    full[learned] = mean[: len(learned)] / max(1, seen)
+    return OrdinalModel(full, start + np.r_[0.0, np.cumsum(np.exp(gaps))])
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
@@ -157,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
             got = [features(t.as_py()).astype(np.uint32).tobytes() for t in batch.column("text")]
             yield pa.record_batch([batch.column("doc_id"), batch.column("grade"), pa.array(got, pa.binary())], names=["doc_id", "grade", "buckets"])
 
-    rows = texts.join(chosen, "doc_id").select("doc_id", "grade", "text").mapInArrow(work, "doc_id long, grade int, buckets binary").collect()
+    rows = texts.join(chosen, "doc_id").select("doc_id", "grade", "text").mapInArrow(tidy(work), "doc_id long, grade int, buckets binary").collect()
     ordered = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["buckets"])))
     return fit([(r["grade"], np.frombuffer(r["buckets"], np.uint32).astype(np.int64)) for r in ordered])
 
@@ -178,4 +182,4 @@ def grade(docs: DataFrame, model: OrdinalModel, *, text: str = "text", key: str
             )
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, expected_grade double, p_not_toxic double, p_top double, selected boolean")
+    return rows.mapInArrow(tidy(work), "doc_id long, expected_grade double, p_not_toxic double, p_top double, selected boolean")
