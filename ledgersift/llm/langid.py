@@ -201,7 +201,10 @@ def train(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str
 
     got = sample.select("doc_id", "text", "lang").mapInArrow(tidy(work), "doc_id long, lang string, buckets binary, often binary").collect()
     ordered = sorted(got, key=lambda r: (r["doc_id"], r["lang"], bytes(r["buckets"]), bytes(r["often"])))
-    return fit([(r["lang"], np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["often"], np.uint32)) for r in ordered])
+    model = fit([(r["lang"], np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["often"], np.uint32)) for r in ordered])
+    del got, ordered
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, *, text: str = "text", out: str = "language") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgersift.llm.langid import is_held_out
 from ledgersift.llm.mixing import draw
-from ledgersift.llm.workers import tidy
+from ledgersift.llm.workers import release, tidy
 
 BUCKETS = 1 << 18
 GRADES = 3
@@ -163,7 +163,10 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
 
     rows = texts.join(chosen, "doc_id").select("doc_id", "grade", "text").mapInArrow(tidy(work), "doc_id long, grade int, buckets binary").collect()
     ordered = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["buckets"])))
-    return fit([(r["grade"], np.frombuffer(r["buckets"], np.uint32).astype(np.int64)) for r in ordered])
+    model = fit([(r["grade"], np.frombuffer(r["buckets"], np.uint32)) for r in ordered])
+    del rows, ordered
+    release()
+    return model
 
 
 def grade(docs: DataFrame, model: OrdinalModel, *, text: str = "text", key: str = "doc_id", select_at: float = SELECT_AT) -> DataFrame:
