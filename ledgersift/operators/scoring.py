@@ -103,6 +103,16 @@ def flag_summary(matrix: DataFrame, flag: str) -> DataFrame:
     )
 
 
+def rules_diagnostics(matrix: DataFrame, rules: RulesBaseline) -> DataFrame:
+    """Per window: how far each condition of the rule goes alone and together, the in-degree cut, and the ratio's 99th percentile."""
+    cuts = matrix.groupBy("window").agg(F.percentile("in_degree", rules.in_degree_percentile).alias("in_degree_cut"), F.percentile("pass_through_ratio", 0.99).alias("ratio_p99"))
+    busy, passing = F.col("in_degree") > F.col("in_degree_cut"), F.coalesce(F.col("pass_through_ratio") > rules.pass_through_ratio_min, F.lit(False))
+    return matrix.join(F.broadcast(cuts), "window").groupBy("window").agg(
+        F.first("in_degree_cut").alias("in_degree_cut"), F.first("ratio_p99").alias("ratio_p99"), F.count_if(busy).alias("busy"), F.count_if(passing).alias("passing"),
+        F.count_if(busy & passing).alias("both"), F.count_if(F.col("pass_through_ratio").isNull()).alias("undefined_ratio"),
+    )
+
+
 def scale_pos_weight(matrix: DataFrame) -> float:
     """Clean accounts per mule."""
     got = matrix.agg(F.count_if(F.col(LABEL) == 1).alias("p"), F.count_if(F.col(LABEL) == 0).alias("n")).first()

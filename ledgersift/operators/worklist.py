@@ -129,6 +129,18 @@ def evaluate(queue: DataFrame, costs: Costs, keys: Sequence[str], n_days: int) -
     return priced(coverage_curve(queue, [costs.analyst_capacity_per_day], keys, n_days), costs)
 
 
+def against_chance(point: DataFrame, base_rates: DataFrame, lost: DataFrame) -> DataFrame:
+    """Operating points beside what random alerts would catch, and recall over all mules of the window, unreachable ones too.
+
+    ``base_rates``: window, scorer, base_rate; ``lost``: window, unscoreable mules.
+    """
+    joined = point.join(base_rates.select("window", "scorer", "base_rate"), ["window", "scorer"]).join(lost, "window", "left").fillna(0, ["unscoreable_mules"])
+    return joined.select(
+        "window", "scorer", "alerts", "caught", (F.col("alerts") * F.col("base_rate")).alias("expected_random_catches"),
+        F.coalesce(F.try_divide(F.col("caught").cast("double"), F.col("caught") + F.col("missed") + F.col("unscoreable_mules")), F.lit(0.0)).alias("recall_of_window"),
+    )
+
+
 def volume_optimum(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The volume with the largest net, the smallest of equals."""
     best = F.max_by("k", F.struct("net", -F.col("k")))

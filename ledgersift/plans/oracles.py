@@ -144,6 +144,9 @@ _matched = "in_degree > a AND coalesce(pass_through_ratio > b, false)"
 _sql("matched_rules_flag", _cut(0.9), f"SELECT {W_}, account, {_matched} AS matched_rules_flag FROM feat JOIN cut USING (w)")
 _sql("flag_summary", _cut(0.9) + f", f AS (SELECT w, {_matched} AS flag, is_mule FROM feat JOIN cut USING (w) JOIN lab USING (w, account))",
      f"SELECT {W_}, count(*) FILTER (flag) AS flagged, round(avg(CAST(flag AS INT)), 6) AS share, count(*) FILTER (flag AND is_mule = 1) AS mules_caught, count(*) FILTER (is_mule = 1) AS mules, round(coalesce(count(*) FILTER (flag AND is_mule = 1) / nullif(CAST(count(*) FILTER (flag) AS DOUBLE), 0), 0.0), 6) AS precision FROM f GROUP BY 1")
+_r = PARAMS.rules
+_sql("rules_diagnostics", f"{FULL}, cut AS (SELECT w, quantile_cont(in_degree, {_r.in_degree_percentile}) AS c, quantile_cont(pass_through_ratio, 0.99) AS p FROM feat GROUP BY 1)",
+     f"SELECT {W_}, round(any_value(c), 6) AS in_degree_cut, round(any_value(p), 6) AS ratio_p99, count(*) FILTER (in_degree > c) AS busy, count(*) FILTER (pass_through_ratio > {_r.pass_through_ratio_min}) AS passing, count(*) FILTER (in_degree > c AND pass_through_ratio > {_r.pass_through_ratio_min}) AS both, count(*) FILTER (pass_through_ratio IS NULL) AS undefined_ratio FROM feat JOIN cut USING (w) GROUP BY w")
 _sql("rules_score", SCORED, f"SELECT {W_}, account, round(score, 9) AS rules FROM sl")
 _pct = lambda c: f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY w, {c} IS NULL ORDER BY {c}) + (count(*) OVER (PARTITION BY w, {c}) - 1) / 2.0) / count({c}) OVER (PARTITION BY w) END"
 _sql("population_percentiles", FULL, f"SELECT {W_}, account, " + ", ".join(f"round({_pct(c)}, 9) AS pct_{c}" for c in COLUMNS) + " FROM feat")
@@ -153,6 +156,8 @@ _sql("overflow_queue", QUEUE, f"SELECT {W_}, 'rules' AS scorer, {_qcols} FROM ca
 _sql("select_alerts", f"{QUEUE},\n{_picks(SAME, [_K])}", f"SELECT CAST(k AS BIGINT) AS k, {W_}, 'rules' AS scorer, {_qcols} FROM picked")
 _at = f"{QUEUE},\n{_picks(SAME, [_K])}"
 _sql("operating_point", f"{_at},\n{_priced('cov c', _MISS, _INV, _FREEZE)}", f"SELECT {_COV}, {_PR} FROM pr")
+_sql("operating_context", f"{_at}, br AS (SELECT w, avg(is_mule) AS b FROM (SELECT DISTINCT w, account, is_mule FROM q0) GROUP BY 1), uns AS (SELECT w, count(*) AS u FROM got ANTI JOIN pop USING (w, account) WHERE m = 1 GROUP BY 1)",
+     f"SELECT {W_}, 'rules' AS scorer, alerts, caught, round(alerts * b, 6) AS expected_random_catches, round(coalesce(caught / nullif(CAST(caught + missed + coalesce(u, 0) AS DOUBLE), 0), 0.0), 6) AS recall_of_window FROM cov JOIN br USING (w) LEFT JOIN uns USING (w)")
 _curve = f"{QUEUE},\n{_picks(SAME, VOLUMES)}"
 _sql("coverage_curve", _curve, f"SELECT {_COV} FROM cov")
 _pcurve = f"{_curve},\n{_priced('cov c', _MISS, _INV, _FREEZE)}"

@@ -184,6 +184,11 @@ def matched_rules_flag(spark, sf_dir):
     return scoring.matched_rules_flag(study.matrix(spark, sf_dir), 0.9).select("window", "account", "matched_rules_flag")
 
 
+@query
+def rules_diagnostics(spark, sf_dir):
+    return _round(scoring.rules_diagnostics(study.matrix(spark, sf_dir), PARAMS.rules))
+
+
 @query
 def rules_score(spark, sf_dir):
     return _round(study.scored(spark, sf_dir).select("window", "account", "rules"), 9)
@@ -225,6 +230,13 @@ def operating_point(spark, sf_dir):
     return _round(worklist.evaluate(study.queue(spark, sf_dir), COSTS, KEYS, DAYS))
 
 
+@query
+def operating_context(spark, sf_dir):
+    rows = study.queue(spark, sf_dir)
+    lost = population.window_summary(study.ledger(spark, sf_dir), WINDOWS).select("window", "unscoreable_mules")
+    return _round(worklist.against_chance(worklist.evaluate(rows, COSTS, KEYS, DAYS), worklist.exposure_concentration(rows, COSTS, KEYS), lost))
+
+
 @query
 def coverage_curve(spark, sf_dir):
     return _round(worklist.coverage_curve(study.queue(spark, sf_dir), VOLUMES, KEYS, DAYS))

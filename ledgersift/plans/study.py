@@ -43,7 +43,9 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.rules_score(matrix(spark, sf_dir)).select("window", "account", "rules", "is_mule", "exposure")
+    narrow = matrix(spark, sf_dir).select("window", "account", "in_degree", "pass_through_ratio", "is_mule", "exposure")
+    once = Scratch(spark, "scored").save(narrow, "matrix")  # read three times
+    return scoring.rules_score(once).select("window", "account", "rules", "is_mule", "exposure")
 
 
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
