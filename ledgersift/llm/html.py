@@ -4,8 +4,8 @@ The standard library's streaming parser gives the events. A line is what stands
 block element, or a line break); a line's ratio is its text length over the tags in it. Subtrees that are boilerplate by their element (nav, header,
 footer, aside, form, script, ...) or by a word of their class, id or role (menu, sidebar, advert, cookie, comment, ...) make no lines.
 The ratios are smoothed with a Gaussian and cut at a threshold between their two clusters (two-means); lines over it
-are content seeds. The content region is the innermost element that holds most of the seeds' text, preferring an article or main element; every line
-inside it is kept, so that a short paragraph between long ones, or a heading, is not lost to the threshold.
+are content seeds. The content region is the page's article or main element where there is one, the one with most of the seeds' text of several, and else the
+innermost container of nearly all seeds; every line inside it is kept, so that a short paragraph between long ones, or a heading, is not lost to the threshold.
 
 Defined cases: null and empty html give an empty text; a page without markup is one line of text; unclosed and misnested tags are
 tolerated (an end tag without a start is ignored; an element that may not nest closes its like); a page whose only text is boilerplate gives an empty text; rows may
@@ -40,6 +40,8 @@ MARKS = frozenset(
     "footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations "
     "comment comments commentlist disqus respond reply replies widget widgets toolbar pagination pager copyright legal login skip".split()
 )
+#: Those of them that hold for an article or main element too; its other names (has-sidebar, post-header) say nothing about its text.
+OWN_MARKS = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split())
 SIGMA = 1.0
 
 _NAME = re.compile(r"[A-Za-z]+")
@@ -47,11 +49,14 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WHITE = re.compile(r"\s+")
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    if tag in ("html", "body"):
+        return False
+    marks = OWN_MARKS if tag in REGIONS else MARKS
     for name, value in attrs:
         if name in ("class", "id") and value:
             for word in _NAME.findall(_CAMEL.sub(" ", value)):
-                if word.lower() in MARKS:
+                if word.lower() in marks:
                     return True
         elif name == "role" and value and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -88,7 +93,7 @@ class Lines(HTMLParser):
             return
         self.name.append(tag)
         self.parent.append(self.open[-1][1])
-        self.open.append((tag, len(self.name) - 1, self.open[-1][2] or tag in BOILERPLATE or self.marks and bool(attrs) and tag not in ("html", "body", "article", "main") and _marked(attrs)))
+        self.open.append((tag, len(self.name) - 1, self.open[-1][2] or tag in BOILERPLATE or self.marks and bool(attrs) and _marked(tag, attrs)))
 
     def _close_implied(self, tag: str) -> None:
         """A block ends an open paragraph; a list item, cell or row ends its like."""
@@ -190,15 +195,16 @@ def _region(page: Lines, length: np.ndarray, seeds: np.ndarray) -> int:
             for k in _above(page, at):
                 weight[k] = weight.get(k, 0.0) + n
     total = weight[0]
-    named = [k for k in weight if page.name[k] in REGIONS]
-    if named:
-        best = max(named, key=lambda k: (weight[k], -k))
-        if weight[best] >= 0.5 * total:
+    with_text = {k for _, _, at in page.lines for k in _above(page, at)}
+    for kind in ("article", "main"):  # one outermost element of the kind is the region, several are judged by the seeds
+        outer = [k for k in with_text if page.name[k] == kind and not any(page.name[j] == kind for j in _above(page, k)[1:])]
+        if len(outer) == 1:
+            return outer[0]
+        best = max(outer, key=lambda k: weight.get(k, 0.0), default=None)
+        if best is not None and weight.get(best, 0.0) > 0.5 * total:
             return best
-        inside = {k for k in named if not any(page.name[j] in REGIONS for j in _above(page, k)[1:])}
-        if sum(weight[k] for k in inside) >= 0.5 * total:  # several articles: what holds them all
-            shared = set.intersection(*(set(_above(page, k)) for k in inside))
-            return max(shared)
+        if sum(weight.get(k, 0.0) for k in outer) >= 0.5 * total:
+            return max(set.intersection(*(set(_above(page, k)) for k in outer)))
     at = 0
     while True:  # down to the innermost element that still holds nearly all of the content
         below = [k for k in weight if page.parent[k] == at]

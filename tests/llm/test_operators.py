@@ -269,6 +269,14 @@ def test_html_extraction(around):
     assert html.extract(PAGE % around) == MAIN
 
 
+def test_html_regions():
+    far = "<div><p>" + "Long words elsewhere on the page. " * 20 + "</p></div>"
+    assert html.extract(f"<body>{far}<article class='post has-sidebar'><h1>A</h1><p>b.</p><article class='comment'>Me too</article></article>{far}</body>") == "A\nb."
+    two = "<main><article><p>one and more</p></article><article><p>two and more</p></article></main>"
+    assert html.extract(f"<body><p>x</p>{two}</body>") == "one and more\ntwo and more"
+    assert html.extract("<body><div class='cookie-notice'>We use</div><div id='siteMenu'>Home</div><div><p>Body text here</p><p>More</p></div><p class=copyright>c</p></body>") == "Body text here\nMore"
+
+
 def test_html_edge_cases(spark, sf_dir):
     assert html.extract(None) == html.extract("") == html.extract("<nav>x</nav>") == ""
     assert html.extract("just words") == "just words"
