@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ledgersift.operators.briefs import COLUMNS, ONWARD, OTHER, SENDERS, STANDOUTS
 from ledgersift.operators.scoring import FEATURES
-from ledgersift.plans.study import COSTS, DAYS, HISTORIES, HOURS, PARAMS, RATIOS, SPLIT, VOLUMES, WINDOWS
+from ledgersift.plans.study import COSTS, DAYS, HISTORIES, HOURS, PARAMS, RATIOS, SPLIT, TRADE_HOURS, TRADE_WINDOWS, VOLUMES, WINDOWS
 from ledgersift.config import COST_PARAMETERS, ratio_windows, replace_cost
 
 ORACLES: dict[str, str] = {}
@@ -240,5 +240,8 @@ _sql("briefs_table", f"{_at}, pc AS (SELECT w, account, " + ", ".join(f"{_pct(c)
      f"SELECT {W_}, account, row_number() OVER (ORDER BY score DESC, account) AS rank, count(*) OVER () AS alerts, round(score, 6) AS score, round(e, 6) AS exposure, CAST(m AS BIGINT) AS is_mule, CAST(least(3, {_hits}) AS BIGINT) AS n_standouts, {_step} AS next_step FROM al JOIN pc USING (w, account)")
 _trade = f"""rates(c, r) AS (VALUES ('Euro', 1.0), ('US Dollar', CAST({PARAMS.fx_to_base['US Dollar']} AS DOUBLE))),
 tr AS (SELECT l_shipdate + l_linenumber * INTERVAL 1 HOUR AS ts, o_custkey AS f, l_suppkey * 15 AS t, l_extendedprice * (1 - l_discount) AS r, l_extendedprice * (1 + l_tax) * {PARAMS.fx_to_base['US Dollar']} AS p, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_discount >= 0.1 THEN 1 ELSE 0 END AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> l_suppkey * 15)"""
-_sql("trade_account_flows", _trade, "SELECT coalesce(i.a, o.a) AS account, round(coalesce(i.s, 0.0), 2) AS inflow, round(coalesce(o.s, 0.0), 2) AS outflow FROM (SELECT t AS a, sum(r) AS s FROM tr GROUP BY 1) i FULL JOIN (SELECT f AS a, sum(p) AS s FROM tr GROUP BY 1) o ON i.a = o.a")
+_sql("trade_account_flows", _trade, "SELECT coalesce(i.a, o.a) AS account, round(coalesce(i.s, 0.0), 5) AS inflow, round(coalesce(o.s, 0.0), 5) AS outflow FROM (SELECT t AS a, sum(r) AS s FROM tr GROUP BY 1) i FULL JOIN (SELECT f AS a, sum(p) AS s FROM tr GROUP BY 1) o ON i.a = o.a")
 _sql("trade_daily_volume", _trade, "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS payments, CAST(sum(y) AS BIGINT) AS laundering, round(avg(y), 6) AS share FROM tr GROUP BY 1")
+_trade_base = f"{_trade}, txns AS (SELECT ts, f AS account_from, t AS account_to, r AS base_received, p AS base_paid, y AS is_laundering FROM tr), {_windows('win', TRADE_WINDOWS, TRADE_HOURS)}"
+_sql("trade_feature_matrix", f"{_trade_base}, {POP}, {FEAT}", f"SELECT {W_}, account, " + ", ".join(f"round({c}, 5) AS {c}" for c in FEATURES if c != "pagerank") + " FROM feat")
+_sql("trade_graph_stats", f"{_trade_base}, {_GRAPH}", f"SELECT {W_}, nodes, {_GS}")

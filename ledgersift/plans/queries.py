@@ -10,7 +10,7 @@ from ledgersift.operators.evaluation import long_values, stacked
 from ledgersift.plans import study
 from ledgersift.plans.figures import funnel_stages
 from ledgersift.plans.features import build_features, history_scan, relational_features
-from ledgersift.plans.study import COSTS, DAYS, HISTORIES, HOURS, KEYS, PARAMS, RATIOS, VOLUMES, WINDOWS
+from ledgersift.plans.study import COSTS, DAYS, HISTORIES, HOURS, KEYS, PARAMS, RATIOS, TRADE_HOURS, TRADE_WINDOWS, VOLUMES, WINDOWS
 from ledgersift.scratch import Scratch
 from ledgersift.sources.ledger import codebook, normalise, observed_span, trade_ledger
 
@@ -408,7 +408,7 @@ def _trade(spark, sf_dir):
 
 @query
 def trade_account_flows(spark, sf_dir):
-    return _round(population.account_flows(_trade(spark, sf_dir)), 2)
+    return _round(population.account_flows(_trade(spark, sf_dir)), 5)
 
 
 @query
@@ -416,6 +416,16 @@ def trade_daily_volume(spark, sf_dir):
     return _round(population.daily_volume(_trade(spark, sf_dir)))
 
 
+@query
+def trade_feature_matrix(spark, sf_dir):
+    return _round(relational_features(_trade(spark, sf_dir), TRADE_WINDOWS, PARAMS.features, TRADE_HOURS), 5)
+
+
+@query
+def trade_graph_stats(spark, sf_dir):
+    return _round(graph.graph_stats(graph.edges(_trade(spark, sf_dir), TRADE_WINDOWS)))
+
+
 # Trained models and resampling: no SQL, tested by their properties
 
 

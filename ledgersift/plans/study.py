@@ -24,6 +24,9 @@ VOLUMES = (0, 1, 2, 5, 10, 20, 50, 100, 200)
 RATIOS = (0.001, 0.1, 1.0, 5.0, 11.5, 50.0, 1000.0)
 HISTORIES: tuple[Window, ...] = tuple(rehistory(WINDOWS[-1], d, SPLIT.data_start) for d in PARAMS.experiments.history_window_days)
 KEYS = ["window", "scorer"]
+#: Longer windows for the larger trade ledger.
+TRADE_WINDOWS = build_windows(SplitSpec(datetime(1996, 1, 1), datetime(1998, 7, 1), 360), 180)
+TRADE_HOURS = 720
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
