@@ -482,11 +482,15 @@ def test_briefs(spark):
 
 
 def test_params(monkeypatch, tmp_path):
+    from ledgersift.config import default_params_path
+
     params = load_params()
     assert params.fx_to_base["Yen"] == 0.006 and params.costs.analyst_capacity_per_day == 200 and params.logistic.log1p_features[0] == "in_degree"
+    monkeypatch.setenv("PARAMS_PATH", "config/params_hi_small.yaml")
+    other = load_params(default_params_path())
+    assert (other.data.expected_rows, other.data.drop_self_transfers, other.paths.raw_dir) == (5078345, True, params.paths.raw_dir)
+    assert other.costs == params.costs and other.paths.reports_dir.name == "hi-small"
     monkeypatch.setenv("PARAMS_PATH", "config/none.yaml")
-    from ledgersift.config import default_params_path
-
     with pytest.raises(SchemaError):
         default_params_path()
     (tmp_path / "bad.yaml").write_text("- 1\n")
