@@ -210,13 +210,16 @@ def train(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str
 def predict(docs: DataFrame, model: LanguageModel | None, *, text: str = "text", out: str = "language") -> DataFrame:
     """``docs`` with a struct column ``out (lang, score, rejected)``."""
 
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers, whatever the data
+
     def work(texts: pa.Array) -> pa.Array:
-        valid = np.array([has_letter(t.as_py()) for t in texts], dtype=bool) & (model is not None)
-        best, score = model.predict(texts) if model is not None else (np.zeros(len(texts), int), np.zeros(len(texts)))
-        names = [model.languages[i] if ok else UNKNOWN for i, ok in zip(best, valid, strict=True)]
+        own = sent.value
+        valid = np.array([has_letter(t.as_py()) for t in texts], dtype=bool) & (own is not None)
+        best, score = own.predict(texts) if own is not None else (np.zeros(len(texts), int), np.zeros(len(texts)))
+        names = [own.languages[i] if ok else UNKNOWN for i, ok in zip(best, valid, strict=True)]
         score = np.where(valid, np.clip(score, 0.0, 1.0), 0.0)
+        rejected = ~valid | (score < (own.reject_below if own is not None else 1.0))
         release()
-        rejected = ~valid | (score < (model.reject_below if model is not None else 1.0))
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["lang", "score", "rejected"])
 
     udf = F.arrow_udf(work, "lang string, score double, rejected boolean")

@@ -126,9 +126,6 @@ def strip_repeats(docs: DataFrame, scratch: Scratch, *, text: str = "text", key:
         *_, first, words, runs = _hashes(table["text"], ANCHOR, _ANCHOR_SEED)
         return _report(table["block"][0].as_py(), runs[_on_cover(first, len(words))], blocks)
 
-    def recurring(table: pa.Table) -> pa.Table:
-        return _recurring(table)
-
     def extend(table: pa.Table, answers: pa.Table) -> pa.Table:
         """Rows of the result for texts without a candidate window; else their text and the windows' hashes."""
         schema = pa.schema([*_ROW, ("text", pa.string()), *_REPORT])
@@ -167,14 +164,14 @@ def strip_repeats(docs: DataFrame, scratch: Scratch, *, text: str = "text", key:
     answer = "block long, hashes binary"
     row = "doc_id long, n_words long, n_removed long, kept_text string"
     by_block = dealt.groupBy("block")
-    anchored = by_block.applyInArrow(anchors, report).groupBy("range").applyInArrow(recurring, answer)
+    anchored = by_block.applyInArrow(anchors, report).groupBy("range").applyInArrow(_recurring, answer)
     mid = scratch.save(
         dealt.groupBy("block").cogroup(anchored.groupBy("block")).applyInArrow(extend, f"{row}, text string, {report}"), "extended"
     )
     done = mid.filter(F.col("n_words").isNotNull()).select("doc_id", "n_words", "n_removed", "kept_text")
     open_rows = mid.filter(F.col("n_words").isNull() & F.col("range").isNull()).select("doc_id", "text", "block")
     windows = mid.filter(F.col("range").isNotNull()).select("range", "block", "hashes", "twice")
-    answers = windows.groupBy("range").applyInArrow(recurring, answer)
+    answers = windows.groupBy("range").applyInArrow(_recurring, answer)
     stripped = open_rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(strip, row)
     return done.unionByName(stripped)
 
