@@ -156,8 +156,8 @@ def fit_logistic(train: DataFrame, spec: LogisticSpec, seed: int = 42) -> Logist
     steps = [
         VectorAssembler(inputCols=columns, outputCol="__raw"),
         StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True, withStd=True),
-        # balanced weights sum to n, so the penalty 1/(2 C) on the sum of losses is 1/(C n) on their mean
-        LogisticRegression(featuresCol="__scaled", labelCol="__label", weightCol="__weight", regParam=1 / (spec.C * n), elasticNetParam=0.0, standardization=False, maxIter=spec.max_iter, tol=1e-8),
+        # balanced weights sum to n, so the penalty 1/(2 C) on the sum of losses is 1/(C n) on their mean; (n - 1) / n undoes the sample deviation's n - 1
+        LogisticRegression(featuresCol="__scaled", labelCol="__label", weightCol="__weight", regParam=(n - 1) / (spec.C * n * n), elasticNetParam=0.0, standardization=False, maxIter=spec.max_iter, tol=1e-8),
     ]
     return Logistic(medians, Pipeline(stages=steps).fit(ready), spec, columns)
 

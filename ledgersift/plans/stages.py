@@ -108,7 +108,7 @@ def models(run: Run, rounds: int | None = None) -> dict:
     rest = long.filter(F.col("window") != "train")
     return run.metrics("models", facts | {
         "pr": records(evaluation.pr_table(long)), "intervals": records(evaluation.summarise_draws(draws, rest)), "differences": records(evaluation.paired_differences(draws, rest, SCORERS)),
-        "null_rates": records(scoring.null_rates(matrix)), "flags": {f: records(scoring.flag_summary(scored, f)) for f in ("rules_flag", "matched_rules_flag")},
+        "rules": records(scoring.rules_diagnostics(matrix, params.rules)), "null_rates": records(scoring.null_rates(matrix)), "flags": {f: records(scoring.flag_summary(scored, f)) for f in ("rules_flag", "matched_rules_flag")},
     })
 
 
@@ -132,8 +132,10 @@ def economics(run: Run) -> dict:
     curve = worklist.break_even_curve(test, costs, list(np.geomspace(1e-3, 1e3, 19)), volume_grid(ceiling, 60, costs.analyst_capacity_per_day), KEYS, days)
     curve = Scratch(run.spark, "curve").save(curve, "curve")
     overflow = Scratch(run.spark, "overflow").save(worklist.overflow_comparison(raw, costs, days), "overflow")
+    lost = population.window_summary(run.table("canonical_txns"), run.windows).select("window", "unscoreable_mules")
+    context = worklist.against_chance(worklist.evaluate(queue, costs, KEYS, days), worklist.exposure_concentration(queue, costs, KEYS), lost)
     return run.metrics("economics", {
-        "operating_point": {f"{r['window']}/{r['scorer']}": r for r in records(worklist.evaluate(queue, costs, KEYS, days))},
+        "against_chance": records(context), "operating_point": {f"{r['window']}/{r['scorer']}": r for r in records(worklist.evaluate(queue, costs, KEYS, days))},
         "volume_curve": records(worklist.priced(worklist.coverage_curve(test, volume_grid(min(ceiling, 20_000), 50), KEYS, days), costs)),
         "sensitivity": records(worklist.sensitivity(test, costs, params.multipliers, KEYS, days)),
         "break_even": records(curve), "crossing": records(worklist.crossing_ratio(curve, costs.analyst_capacity_per_day, KEYS)),
