@@ -6,12 +6,29 @@ a laptop) is a folder of our own made, and then everything runs on one machine.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_roots: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """Delete this process's tables when it ends; a session that is gone leaves them to the folder's owner."""
+    for spark, root in _roots:
+        with suppress(Exception):
+            _delete(spark, root)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +48,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/ledgersift/{label}-{uuid.uuid4().hex}"
+        _roots.append((spark, self.root))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -42,6 +60,4 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path(name))
