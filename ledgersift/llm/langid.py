@@ -5,9 +5,10 @@ as word edge) hashed into 2**14 buckets. Each bucket has an embedding; their mea
 softmax. Embeddings and layer are trained together by minibatch gradient descent in numpy; a tenth of the training rows is held
 back to fit the softmax's temperature and the score below which a prediction is rejected.
 
-Training is bounded: at most about ``per_language`` rows of each of the ``max_languages`` most frequent languages, drawn by a hash of the id,
-arrive at the driver as bucket counts (never as texts). Prediction is linear in the text, runs over Arrow buffers, and reads
-embedding times layer as one bounded table.
+Training is bounded: at most about ``per_language`` rows of each language, and fewer each where ``max_rows`` in all would be passed, drawn by a
+hash of the id, arrive at the driver as bucket counts (never as texts). Every language that occurs is learned, up to ``MAX_LANGUAGES``, far above
+those that exist. Prediction is linear in the text, runs over Arrow buffers, and reads embedding times layer as one table; with more languages than
+dimensions it reads the embeddings and the layer, so what is broadcast hardly grows with the languages.
 
 Defined cases: null text and text without a letter are ``und`` with score 0 and rejected; null languages and ids are never learned
 from; a very short text has few n-grams and is judged by them (none: the class priors); equal texts are predicted alike; with nothing to learn
@@ -31,7 +32,12 @@ BUCKETS = 1 << 14
 DIMENSION = 16
 ORDERS = (3, 4)
 PER_LANGUAGE = 1500
-MAX_LANGUAGES = 200
+#: 1,500 rows of 200 languages; more languages have fewer rows each.
+MAX_ROWS = 300_000
+#: A bound for columns that hold no languages: the most frequent values are taken.
+MAX_LANGUAGES = 20_000
+#: Numbers that the held-back rows' scores may take.
+MAX_SCORES = 6_000_000
 EPOCHS = 8
 RATE = 0.5
 UNKNOWN = "und"
@@ -92,19 +98,21 @@ def has_letter(text: str | None) -> bool:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    table: np.ndarray  # bucket x language: embedding times layer
+    table: np.ndarray  # bucket x language: embedding times layer; with a layer: bucket x dimension
     bias: np.ndarray
     temperature: float
     reject_below: float
+    layer: np.ndarray | None = None
 
     def scores(self, sums: np.ndarray, n: np.ndarray) -> np.ndarray:
-        logits = (sums / np.maximum(n, 1)[:, None] + self.bias) / self.temperature
+        mean = sums / np.maximum(n, 1)[:, None]
+        logits = ((mean if self.layer is None else mean @ self.layer) + self.bias) / self.temperature
         return _softmax(logits)
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Best language's number and its probability, for each text."""
         data, offsets = bw.flat(texts)
-        rows, k = len(offsets) - 1, len(self.languages)
+        rows, k = len(offsets) - 1, self.table.shape[1]
         sums, n = np.zeros((rows, k)), np.zeros(rows)
         a = 0
         while a < rows:  # a few rows at a time, a giant row in pieces
@@ -123,9 +131,12 @@ class LanguageModel:
                 sums[a] = often @ self.table[which]
                 n[a] = often.sum()
             a = b
-        probability = self.scores(sums, n)
-        best = probability.argmax(axis=1) if k else np.zeros(rows, int)
-        return best, probability[np.arange(rows), best]
+        best, score = np.zeros(rows, int), np.zeros(rows)
+        step = max(1, MAX_SCORES // max(1, len(self.languages)))
+        for a in range(0, rows if k else 0, step):
+            probability = self.scores(sums[a : a + step], n[a : a + step])
+            best[a : a + step], score[a : a + step] = probability.argmax(axis=1), probability.max(axis=1)
+        return best, score
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -141,9 +152,9 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Langua
     number = {v: i for i, v in enumerate(languages)}
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
-    held = max(1, len(rows) // 10) if len(rows) >= 20 else 0
-    train, check = order[held:], order[:held]
     k = len(languages)
+    held = max(1, min(len(rows) // 10, MAX_SCORES // k)) if len(rows) >= 20 else 0
+    train, check = order[held:], order[:held]
     embed = rng.normal(0, 0.1, (BUCKETS, DIMENSION))
     layer = rng.normal(0, 0.1, (DIMENSION, k))
     bias = np.zeros(k)
@@ -167,10 +178,10 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Langua
                 square[b] += v * v * (g @ g)
                 embed[b] -= (rate * v / np.sqrt(square[b]))[:, None] * g * 0.1
         rng.shuffle(train)
-    table = embed @ layer
-    model = LanguageModel(languages, table, bias, 1.0, 0.0)
+    model = LanguageModel(languages, embed @ layer, bias, 1.0, 0.0) if k <= DIMENSION else LanguageModel(languages, embed, bias, 1.0, 0.0, layer)
     if held:
-        logits = np.stack([share[i][1] @ table[share[i][0]] for i in check]) + bias
+        logits = np.stack([share[i][1] @ model.table[share[i][0]] for i in check])
+        logits = (logits if model.layer is None else logits @ layer) + bias
         truth = target[check]
         loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(held), truth], 1e-12)).mean()
         model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
@@ -182,17 +193,16 @@ def is_held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(key.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> LanguageModel | None:
+def train(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str = "lang", per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> LanguageModel | None:
     """Fit on rows that are not held out and have a language."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not known:
         return None
-    wanted = F.lit(False)
-    for r in known:
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (F.col("u") < per_language / r["count"]))
-    sample = rows.withColumn("u", draw(F.col("doc_id"), "language-id")).filter(wanted)
+    each = min(per_language, max_rows / len(known))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], each / r["count"]) for r in known], "lang string, share double")  # a row per language
+    sample = rows.join(F.broadcast(shares), "lang").withColumn("u", draw(F.col("doc_id"), "language-id")).filter("u < share")
 
     def work(batches):
         for batch in batches:
