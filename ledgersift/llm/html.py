@@ -2,7 +2,8 @@
 
 The standard library's streaming parser gives the events. A line is what stands between two block boundaries (start or end of a
 block element, or a line break); a line's ratio is its text length over the tags in it. Subtrees that are boilerplate by their element (nav, header,
-footer, aside, form, script, ...) or by a word of their class, id or role (menu, sidebar, advert, cookie, comment, ...) make no lines.
+footer, aside, form, script, ...) or by a whole name of their class, id or role (menu, sidebar, advert, cookie, comment, ...) make no lines;
+a name does not remove an element that holds an article, a main element or most of the seeds' text.
 The ratios are smoothed with a Gaussian and cut at a threshold between their two clusters (two-means); lines over it
 are content seeds. The content region is the page's article or main element where there is one, the one with most of the seeds' text of several, and else the
 innermost container of nearly all seeds; every line inside it is kept, so that a short paragraph between long ones, or a heading, is not lost to the threshold.
@@ -49,40 +50,58 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WHITE = re.compile(r"\s+")
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+#: Words beside a mark that leave a name's meaning: siteMenu is a menu, page-header or has-sidebar is not known to be boilerplate.
+NEUTRAL = frozenset("site main top left right bottom primary secondary global block box list section container wrapper bar area".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _marked(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> tuple[bool, bool]:
+    """Whether the element is boilerplate by role, and whether by a whole name (never a heading, nor a paragraph inside an article or main)."""
     if tag in ("html", "body"):
-        return False
-    marks = OWN_MARKS if tag in REGIONS else MARKS
+        return False, False
+    marks = OWN_MARKS if tag in REGIONS else frozenset() if tag in HEADINGS or tag == "p" and inside else MARKS
+    role = named = False
     for name, value in attrs:
         if name in ("class", "id") and value:
-            for word in _NAME.findall(_CAMEL.sub(" ", value)):
-                if word.lower() in marks:
-                    return True
+            for token in value.split():
+                words = {w.lower() for w in _NAME.findall(_CAMEL.sub(" ", token))}
+                named = named or bool(words & marks) and words <= marks | NEUTRAL
         elif name == "role" and value and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+            role = True
+    return role, named
 
 
 class Lines(HTMLParser):
     """Collects the page's lines: text, tags in it, and the elements that hold it."""
 
-    def __init__(self, marks: bool = True):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.marks = marks
         self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # name, number, boilerplate
         self.parent = [-1]
         self.name = [""]
-        self.text: list[str] = []
+        self.text: list[tuple[str, int]] = []  # text, number of the innermost element
+        self.named: dict[int, frozenset] = {}  # elements that their names mark, and the names among OWN_MARKS
         self.tags = 0
-        self.lines: list[tuple[str, int, int]] = []  # text, tags, number of the innermost block
-        self.held = 0
+        self.lines: list[tuple[list[tuple[str, int]], int]] = []  # pieces of text, tags
 
     def _end_line(self) -> None:
-        text = _WHITE.sub(" ", "".join(self.text)).strip()
-        if text:
-            self.lines.append((text, self.tags, self.held))
+        if self.text:
+            self.lines.append((self.text, self.tags))
         self.text, self.tags = [], 0
 
+    def read(self, dropped: set[int]) -> list[tuple[str, int, int]]:
+        """(text, tags, number of the innermost element) of each line outside the dropped elements."""
+        gone = [False] * len(self.parent)
+        for k in range(1, len(gone)):
+            gone[k] = k in dropped or gone[self.parent[k]]
+        out = []
+        for pieces, tags in self.lines:
+            kept = [(t, k) for t, k in pieces if not gone[k]]
+            text = _WHITE.sub(" ", "".join(t for t, _ in kept)).strip()
+            if text:
+                out.append((text, tags, [k for t, k in kept if t.strip()][-1]))
+        return out
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._end_line()
@@ -93,7 +112,11 @@ class Lines(HTMLParser):
             return
         self.name.append(tag)
         self.parent.append(self.open[-1][1])
-        self.open.append((tag, len(self.name) - 1, self.open[-1][2] or tag in BOILERPLATE or self.marks and bool(attrs) and _marked(tag, attrs)))
+        role, named = _marked(tag, attrs, any(name in REGIONS for name, *_ in self.open)) if attrs else (False, False)
+        if named:
+            words = {w.lower() for _, v in attrs for w in _NAME.findall(_CAMEL.sub(" ", v or ""))}
+            self.named[len(self.name) - 1] = frozenset(words & OWN_MARKS)
+        self.open.append((tag, len(self.name) - 1, self.open[-1][2] or role or tag in BOILERPLATE))
 
     def _close_implied(self, tag: str) -> None:
         """A block ends an open paragraph; a list item, cell or row ends its like."""
@@ -126,9 +149,7 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         name, number, drop = self.open[-1]
         if not drop:
-            if not self.text or data.strip():
-                self.held = number
-            self.text.append(data)
+            self.text.append((data, number))
 
     def close(self) -> None:
         super().close()
@@ -163,20 +184,46 @@ def extract(html: str | None) -> str:
     """The page's main text, blocks joined by one line feed."""
     if not html:
         return ""
-    for marks in (True, False):  # a page whose whole body is in an element named like boilerplate is read again by elements alone
-        page = Lines(marks)
-        page.feed(html)
-        page.close()
-        if page.lines:
-            break
-    else:
+    page = Lines()
+    page.feed(html)
+    page.close()
+    lines = page.read(set())
+    if not lines:
         return ""
-    length = np.array([len(t) for t, *_ in page.lines], dtype=float)
-    ratio = smooth(length / np.array([max(1, n) for _, n, _ in page.lines]))
+    if page.named:
+        lines = page.read(_dropped(page, lines)) or lines  # a page whose whole text is in elements named like boilerplate keeps it
+    regions = _regions(page, lines, _seeds(lines))
+    return "\n".join(t for t, _, at in lines if not regions.isdisjoint(_above(page, at)))
+
+
+def _seeds(lines: list[tuple[str, int, int]]) -> np.ndarray:
+    """Which lines are over the threshold of the smoothed ratios."""
+    ratio = smooth(np.array([len(t) / max(1, n) for t, n, _ in lines], dtype=float))
     cut = threshold(ratio) if len(ratio) > 1 else -1.0
-    seeds = ratio >= cut if ratio.max() > ratio.min() else np.ones(len(ratio), bool)
-    region = _region(page, length, seeds)
-    return "\n".join(t for t, _, at in page.lines if region in _above(page, at))
+    return ratio >= cut if ratio.max() > ratio.min() else np.ones(len(ratio), bool)
+
+
+def _weights(page: Lines, lines: list[tuple[str, int, int]], seeds: np.ndarray) -> dict[int, float]:
+    """Text of the seeds in each element."""
+    weight: dict[int, float] = {}
+    for (text, _, at), seed in zip(lines, seeds, strict=True):
+        if seed:
+            for k in _above(page, at):
+                weight[k] = weight.get(k, 0.0) + len(text)
+    return weight
+
+
+def _dropped(page: Lines, lines: list[tuple[str, int, int]]) -> set[int]:
+    """Elements that go by their names: not those that hold an article or main, nor (but for adverts and comments) most of the seeds' text."""
+    weight = _weights(page, lines, _seeds(lines))
+    holders = set()
+    for _, _, at in lines:
+        above = _above(page, at)
+        for i, k in enumerate(above):
+            if page.name[k] in REGIONS and k not in page.named:
+                holders.update(above[i + 1 :])
+                break
+    return {k for k, own in page.named.items() if k not in holders and (own or weight.get(k, 0.0) <= 0.5 * weight[0])}
 
 
 def _above(page: Lines, at: int) -> list[int]:
@@ -187,30 +234,26 @@ def _above(page: Lines, at: int) -> list[int]:
     return out
 
 
-def _region(page: Lines, length: np.ndarray, seeds: np.ndarray) -> int:
-    """Number of the element whose lines are the content."""
-    weight: dict[int, float] = {}
-    for (_, _, at), n, seed in zip(page.lines, length, seeds, strict=True):
-        if seed:
-            for k in _above(page, at):
-                weight[k] = weight.get(k, 0.0) + n
+def _regions(page: Lines, lines: list[tuple[str, int, int]], seeds: np.ndarray) -> set[int]:
+    """Numbers of the elements whose lines are the content."""
+    weight = _weights(page, lines, seeds)
     total = weight[0]
-    with_text = {k for _, _, at in page.lines for k in _above(page, at)}
-    for kind in ("article", "main"):  # one outermost element of the kind is the region, several are judged by the seeds
+    with_text = {k for _, _, at in lines for k in _above(page, at)}
+    for kind in ("article", "main"):  # one outermost element of the kind is the region, of several all that hold seeds
         outer = [k for k in with_text if page.name[k] == kind and not any(page.name[j] == kind for j in _above(page, k)[1:])]
         if len(outer) == 1:
-            return outer[0]
+            return set(outer)
         best = max(outer, key=lambda k: weight.get(k, 0.0), default=None)
         if best is not None and weight.get(best, 0.0) > 0.5 * total:
-            return best
+            return {best}
         if sum(weight.get(k, 0.0) for k in outer) >= 0.5 * total:
-            return max(set.intersection(*(set(_above(page, k)) for k in outer)))
+            return {max(set.intersection(*(set(_above(page, k)) for k in outer)))}
     at = 0
     while True:  # down to the innermost element that still holds nearly all of the content
         below = [k for k in weight if page.parent[k] == at]
         best = max(below, key=lambda k: weight[k], default=None)
         if best is None or weight[best] < 0.9 * total or page.name[best] not in CONTAINERS:
-            return at
+            return {at}
         at = best
 
 
