@@ -5,8 +5,8 @@ block element, or a line break); a line's ratio is its text length over the tags
 footer, aside, form, script, ...) or by a whole name of their class, id or role (menu, sidebar, advert, cookie, comment, ...) make no lines;
 a name does not remove an element that holds an article, a main element or most of the seeds' text.
 The ratios are smoothed with a Gaussian and cut at a threshold between their two clusters (two-means); lines over it
-are content seeds. The content region is the page's article or main element where there is one, the one with most of the seeds' text of several, and else the
-innermost container of nearly all seeds; every line inside it is kept, so that a short paragraph between long ones, or a heading, is not lost to the threshold.
+are content seeds. The content region is the page's article or main element where there is one, all that hold seeds of several, and else the
+innermost container of all seeds with the headings and paragraphs beside it; every line inside it is kept, so that a short paragraph between long ones, or a heading, is not lost to the threshold.
 
 Defined cases: null and empty html give an empty text; a page without markup is one line of text; unclosed and misnested tags are
 tolerated (an end tag without a start is ignored; an element that may not nest closes its like); a page whose only text is boilerplate gives an empty text; rows may
@@ -243,18 +243,16 @@ def _regions(page: Lines, lines: list[tuple[str, int, int]], seeds: np.ndarray)
         outer = [k for k in with_text if page.name[k] == kind and not any(page.name[j] == kind for j in _above(page, k)[1:])]
         if len(outer) == 1:
             return set(outer)
-        best = max(outer, key=lambda k: weight.get(k, 0.0), default=None)
-        if best is not None and weight.get(best, 0.0) > 0.5 * total:
-            return {best}
-        if sum(weight.get(k, 0.0) for k in outer) >= 0.5 * total:
-            return {max(set.intersection(*(set(_above(page, k)) for k in outer)))}
+        if outer and sum(weight.get(k, 0.0) for k in outer) >= 0.5 * total:
+            return {k for k in outer if k in weight}
     at = 0
-    while True:  # down to the innermost element that still holds nearly all of the content
-        below = [k for k in weight if page.parent[k] == at]
-        best = max(below, key=lambda k: weight[k], default=None)
-        if best is None or weight[best] < 0.9 * total or page.name[best] not in CONTAINERS:
-            return {at}
-        at = best
+    while True:  # down to the innermost element that holds all seeds
+        below = next((k for k in weight if page.parent[k] == at and weight[k] == total and page.name[k] in CONTAINERS), None)
+        if below is None:
+            break
+        at = below
+    around = set(_above(page, at))  # headings and paragraphs beside the region belong to it
+    return {at} | {k for k in with_text if page.parent[k] in around and (page.name[k] in HEADINGS or page.name[k] == "p")}
 
 
 def main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -15,3 +15,13 @@ def test_marked_wrappers_keep_their_article(wrapper):
     assert html.extract(f"<body><div>12 May</div><div class='{wrapper}'>{BODY}</div><div class='sidebar'>Links</div></body>") == TEXT
     plain = BODY.replace("article>", "div>").replace("class='legal'", "")
     assert html.extract(f"<body><div class='{wrapper}'>{plain}</div><div class='cookie-notice'>We use</div></body>") == TEXT
+
+
+def test_text_beside_the_region_stays():
+    long = "Long words of the text. " * 20
+    assert html.extract(f"<body><h1>Title</h1><p>lead</p><div><p>{long}</p></div></body>") == f"Title\nlead\n{long.strip()}"
+
+
+def test_every_article_with_seeds_stays():
+    one, two = "First part of it. " * 30, "Second part of it. " * 20
+    assert html.extract(f"<body><div>x</div><article><p>{one}</p></article><article><p>{two}</p></article></body>") == f"{one.strip()}\n{two.strip()}"
