@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -91,6 +93,25 @@ def window_hashes(words: np.ndarray, length: int, seed: int) -> np.ndarray:
     return mix((sums[length:] - sums[:-length]) * powers(inverse, n - length + 1) + np.uint64(seed))
 
 
+def window_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """128 bits of BLAKE2b over the words of each window that starts at a word of ``at`` (ascending), as rows of two numbers.
+
+    Words hold no blank, so joined by one they stand for the window alone.
+    """
+    out = []
+    raw = memoryview(np.ascontiguousarray(data))
+    for run in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1):
+        if not len(run):
+            continue
+        a, b = int(run[0]), int(run[-1]) + length
+        text = b" ".join([raw[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)])
+        sizes = ends[a:b] - starts[a:b]
+        begins = np.cumsum(np.r_[0, sizes[:-1] + 1])
+        stops = (begins + sizes)[length - 1 :].tolist()
+        out += [blake2b(text[s:e], digest_size=16).digest() for s, e in zip(begins[: len(stops)].tolist(), stops, strict=True)]
+    return np.frombuffer(b"".join(out), dtype=np.uint64).reshape(-1, 2)
+
+
 def runs_inside(first: np.ndarray, total: int, length: int) -> np.ndarray:
     """For each of ``total`` words whether a run of ``length`` words that starts there stays in its row."""
     counts = np.diff(first)

@@ -6,18 +6,21 @@ W - v + 1 words, although only |D|/v of all positions are hashed (here v = 21, |
 occur once in the corpus rule out all windows that contain no other; the rest are extended to the whole window,
 and whole windows that occur twice mark their words for removal.
 
+An anchor's hash is a 64-bit rolling one and only a filter: two anchors of equal hash cost work, never words. Whole windows are
+compared by 128 bits of BLAKE2b over their words, so what is removed does not rest on the rolling hash.
+
 Shape of the job: rows are dealt into blocks of bounded bytes by a hash of the row. Each block reports each of its
 distinct hashes once (with a flag if it has it twice), packed into one binary per hash range; ranges compare the
 blocks' reports and answer with the hashes that recur. So a passage in a third of all rows costs one entry per
 block, no group of copies ever meets in one task, and pairs are never formed.
 
 Defined cases: a null or empty text has no words, nothing is removed and the kept text is empty; texts under W words
-keep all words; repeated rows remove each other; any column but the two named is ignored.
+keep all words; a very long text is a block of its own, hashed in pieces; repeated rows remove each other; any column but the two
+named is ignored.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,20 +36,21 @@ COVER = (0, 1, 4, 14, 16)
 ANCHOR = WINDOW - PERIOD + 1
 BLOCK_BYTES = 4 << 20
 
-_ANCHOR_SEED, _WINDOW_SEED = 0x51, 0xA7
+_ANCHOR_SEED = 0x51
+#: Numbers of 64 bits in an anchor's hash and in a window's.
+_ONE, _TWO = 1, 2
 _REPORT = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("twice", pa.binary())])
 _ANSWER = pa.schema([("block", pa.int64()), ("hashes", pa.binary())])
 _ROW = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())]
 
 
-def _hashes(texts: pa.ChunkedArray, length: int, seed: int) -> tuple:
+def _anchors(texts: pa.ChunkedArray) -> tuple:
+    """Bytes and words of the texts, which words start an anchor at a cover position, and those anchors' hashes."""
     data, offsets = bw.flat(texts)
     starts, ends, first = bw.word_bounds(data, offsets)
-    words = bw.word_hashes(data, starts, ends)
-    runs = np.zeros(len(words), dtype=np.uint64)
-    got = bw.window_hashes(words, length, seed)
-    runs[: len(got)] = got
-    return data, starts, ends, first, words, runs
+    at = _on_cover(first, len(starts))
+    runs = bw.window_hashes(bw.word_hashes(data, starts, ends), ANCHOR, _ANCHOR_SEED)
+    return data, starts, ends, first, at, runs[np.flatnonzero(at)][:, None]
 
 
 def _on_cover(first: np.ndarray, total: int) -> np.ndarray:
@@ -57,37 +61,60 @@ def _on_cover(first: np.ndarray, total: int) -> np.ndarray:
     return member[place] & bw.runs_inside(first, total, ANCHOR)
 
 
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each hash (a row) a number that equal ones share, and how often each number occurs."""
+    order = np.lexsort(hashes.T)
+    laid = hashes[order]
+    new = np.ones(len(laid), dtype=bool)
+    new[1:] = (laid[1:] != laid[:-1]).any(axis=1)
+    number = np.empty(len(laid), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, np.bincount(number)
+
+
 def _report(block: int, found: np.ndarray, ranges: int) -> pa.Table:
-    """The block's distinct hashes, packed by range. The range comes from other bits than the hash's own order."""
-    hashes, counts = np.unique(found, return_counts=True)
-    which = (bw.mix(hashes ^ np.uint64(0x5DEECE66D)) % np.uint64(ranges)).astype(np.int64)
+    """The block's distinct hashes, packed by range."""
+    number, counts = _numbered(found)
+    once = np.zeros(len(counts), dtype=np.int64)
+    once[number] = np.arange(len(number))
+    hashes, twice = found[once], (counts > 1).astype(np.uint8)
+    which = (bw.mix(hashes[:, 0] ^ np.uint64(0x5DEECE66D)) % np.uint64(ranges)).astype(np.int64)
     order = np.argsort(which, kind="stable")
-    hashes, twice, which = hashes[order], (counts[order] > 1).astype(np.uint8), which[order]
-    cuts = np.flatnonzero(np.diff(which)) + 1
-    pieces = list(zip(np.split(hashes, cuts), np.split(twice, cuts), which[np.r_[0, cuts]] if len(which) else [], strict=False)) if len(which) else []
-    return pa.table([[int(r) for *_, r in pieces], [block] * len(pieces), [h.tobytes() for h, *_ in pieces], [t.tobytes() for _, t, _ in pieces]], schema=_REPORT)
+    hashes, twice, which = hashes[order], twice[order], which[order]
+    begins = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else np.zeros(0, np.int64)
+    stops = np.r_[begins[1:], len(which)] if len(which) else begins
+    pieces = [(int(which[a]), block, hashes[a:b].tobytes(), twice[a:b].tobytes()) for a, b in zip(begins.tolist(), stops.tolist(), strict=True)]
+    return pa.table([list(c) for c in zip(*pieces, strict=True)] or [[]] * 4, schema=_REPORT)
+
+
+def _unpacked(packs: list[bytes], width: int) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64).reshape(-1, width) for x in packs]
 
 
-def _recurring(reports: pa.Table) -> pa.Table:
+def _recurring(width: int):
     """Of one range: for each block, those of its hashes that occur twice in all."""
-    hashes = [np.frombuffer(x, np.uint64) for x in reports["hashes"].to_pylist()]
-    twice = [np.frombuffer(x, np.uint8) for x in reports["twice"].to_pylist()]
-    values, place, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    again = counts > 1
-    np.logical_or.at(again, place, np.concatenate(twice) > 0)
-    marks = np.split(again[place], np.cumsum([len(x) for x in hashes])[:-1])
-    answers = [(b, h[m].tobytes()) for b, h, m in zip(reports["block"].to_pylist(), hashes, marks, strict=True) if m.any()]
-    return pa.table([[b for b, _ in answers], [h for _, h in answers]], schema=_ANSWER)
 
+    def answer(reports: pa.Table) -> pa.Table:
+        hashes = _unpacked(reports["hashes"].to_pylist(), width)
+        twice = np.frombuffer(b"".join(reports["twice"].to_pylist()), np.uint8)
+        number, counts = _numbered(np.concatenate(hashes))
+        again = (counts > 1) | (np.bincount(number, twice) > 0)
+        marks = np.split(again[number], np.cumsum([len(x) for x in hashes])[:-1])
+        answers = [(b, h[m].tobytes()) for b, h, m in zip(reports["block"].to_pylist(), hashes, marks, strict=True) if m.any()]
+        return pa.table([[b for b, _ in answers], [h for _, h in answers]], schema=_ANSWER)
 
-def _known(answers: pa.Table) -> np.ndarray:
-    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in answers["hashes"].to_pylist())]))
+    return answer
 
 
-def _isin(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+def _isin(values: np.ndarray, answers: pa.Table) -> np.ndarray:
+    """Which of the hashes are among the block's answers."""
+    known = np.concatenate([np.zeros((0, values.shape[1]), np.uint64), *_unpacked(answers["hashes"].to_pylist(), values.shape[1])])
     if not len(known) or not len(values):
         return np.zeros(len(values), dtype=bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+    number, counts = _numbered(np.concatenate([known, values]))
+    found = np.zeros(len(counts), dtype=bool)
+    found[number[: len(known)]] = True
+    return found[number[len(known) :]]
 
 
 def _kept(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> str:
@@ -123,39 +150,36 @@ def strip_repeats(docs: DataFrame, scratch: Scratch, *, text: str = "text", key:
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
     def anchors(table: pa.Table) -> pa.Table:
-        *_, first, words, runs = _hashes(table["text"], ANCHOR, _ANCHOR_SEED)
-        return _report(table["block"][0].as_py(), runs[_on_cover(first, len(words))], blocks)
+        return _report(table["block"][0].as_py(), _anchors(table["text"])[-1], blocks)
 
     def extend(table: pa.Table, answers: pa.Table) -> pa.Table:
-        """Rows of the result for texts without a candidate window; else their text and the windows' hashes."""
-        schema = pa.schema([*_ROW, ("text", pa.string()), *_REPORT])
+        """Rows of the result for texts without a candidate window; else their text, the candidates' places, and the windows' digests."""
+        schema = pa.schema([*_ROW, ("text", pa.string()), ("places", pa.binary()), *_REPORT])
         if not table.num_rows:
             return schema.empty_table()
-        data, starts, ends, first, words, runs = _hashes(table["text"], ANCHOR, _ANCHOR_SEED)
-        at = _on_cover(first, len(words))
-        at[at] = _isin(runs[at], _known(answers))
-        whole = bw.runs_inside(first, len(words), WINDOW)
-        candidate = bw.covered(at, PERIOD - 1, 0) & whole
-        windows = bw.window_hashes(words, WINDOW, _WINDOW_SEED)[np.flatnonzero(candidate)]
-        block = table["block"][0].as_py()
-        report = _report(block, windows, blocks)
+        data, starts, ends, first, at, runs = _anchors(table["text"])
+        at[at] = _isin(runs, answers)
+        candidate = bw.covered(at, PERIOD - 1, 0) & bw.runs_inside(first, len(starts), WINDOW)
+        report = _report(table["block"][0].as_py(), bw.window_digests(data, starts, ends, np.flatnonzero(candidate), WINDOW), blocks)
         held = np.add.reduceat(np.r_[candidate, False].astype(np.int64), first[:-1]) > 0
         held[np.diff(first) == 0] = False
-        done = table.filter(pa.array(~held))
-        left = table.filter(pa.array(held))
+        done, left = table.filter(pa.array(~held)), table.filter(pa.array(held))
+        places = [np.packbits(candidate[a:b]).tobytes() for a, b in zip(first[:-1][held], first[1:][held], strict=True)]
         text_bounds = bw.flat(done["text"])
         result = _finish(done["doc_id"].to_pylist(), done["text"], None, (text_bounds[0], *bw.word_bounds(*text_bounds)))
         parts = [pa.table([pa.array(c, t) for c, (_, t) in zip(result, _ROW, strict=True)], names=[n for n, _ in _ROW])]
-        parts.append(pa.table({"doc_id": left["doc_id"], "text": left["text"], "block": left["block"]}))
+        parts.append(pa.table({"doc_id": left["doc_id"], "text": left["text"], "block": left["block"], "places": pa.array(places, pa.binary())}))
         parts.append(report)
         return pa.concat_tables([_shaped(p, schema) for p in parts])
 
     def strip(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.schema(_ROW).empty_table()
-        data, starts, ends, first, words, runs = _hashes(table["text"], WINDOW, _WINDOW_SEED)
-        twice = bw.runs_inside(first, len(words), WINDOW)
-        twice[twice] = _isin(runs[twice], _known(answers))
+        data, offsets = bw.flat(table["text"])
+        starts, ends, first = bw.word_bounds(data, offsets)
+        packed = zip(table["places"].to_pylist(), np.diff(first).tolist(), strict=True)
+        twice = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8), count=n) for p, n in packed]).astype(bool)
+        twice[twice] = _isin(bw.window_digests(data, starts, ends, np.flatnonzero(twice), WINDOW), answers)
         gone = bw.covered(twice, 0, WINDOW - 1)
         result = _finish(table["doc_id"].to_pylist(), table["text"], gone, (data, starts, ends, first))
         return pa.table([pa.array(c, t) for c, (_, t) in zip(result, _ROW, strict=True)], names=[n for n, _ in _ROW])
@@ -164,14 +188,14 @@ def strip_repeats(docs: DataFrame, scratch: Scratch, *, text: str = "text", key:
     answer = "block long, hashes binary"
     row = "doc_id long, n_words long, n_removed long, kept_text string"
     by_block = dealt.groupBy("block")
-    anchored = by_block.applyInArrow(anchors, report).groupBy("range").applyInArrow(_recurring, answer)
+    anchored = by_block.applyInArrow(anchors, report).groupBy("range").applyInArrow(_recurring(_ONE), answer)
     mid = scratch.save(
-        dealt.groupBy("block").cogroup(anchored.groupBy("block")).applyInArrow(extend, f"{row}, text string, {report}"), "extended"
+        dealt.groupBy("block").cogroup(anchored.groupBy("block")).applyInArrow(extend, f"{row}, text string, places binary, {report}"), "extended"
     )
     done = mid.filter(F.col("n_words").isNotNull()).select("doc_id", "n_words", "n_removed", "kept_text")
-    open_rows = mid.filter(F.col("n_words").isNull() & F.col("range").isNull()).select("doc_id", "text", "block")
+    open_rows = mid.filter(F.col("n_words").isNull() & F.col("range").isNull()).select("doc_id", "text", "places", "block")
     windows = mid.filter(F.col("range").isNotNull()).select("range", "block", "hashes", "twice")
-    answers = windows.groupBy("range").applyInArrow(_recurring, answer)
+    answers = windows.groupBy("range").applyInArrow(_recurring(_TWO), answer)
     stripped = open_rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(strip, row)
     return done.unionByName(stripped)
 
