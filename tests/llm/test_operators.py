@@ -271,7 +271,10 @@ def test_html_extraction(around):
 
 def test_html_regions():
     far = "<div><p>" + "Long words elsewhere on the page. " * 20 + "</p></div>"
-    assert html.extract(f"<body>{far}<article class='post has-sidebar'><h1>A</h1><p>b.</p><article class='comment'>Me too</article></article>{far}</body>") == "A\nb."
+    post = "<article class='post has-sidebar'><h1>A</h1><p>b.</p>%s<article class='comment'>Me too</article></article>"
+    text = " ".join("Long words elsewhere on the page." for _ in range(20))
+    assert html.extract(f"<body><div>x</div>{post % far}<div>y</div></body>") == f"A\nb.\n{text}"
+    assert html.extract(f"<body>{far}{post % ''}{far}</body>") == f"{text}\n{text}"  # the seeds decide, not the one article's name
     two = "<main><article><p>one and more</p></article><article><p>two and more</p></article></main>"
     assert html.extract(f"<body><p>x</p>{two}</body>") == "one and more\ntwo and more"
     assert html.extract("<body><div class='cookie-notice'>We use</div><div id='siteMenu'>Home</div><div><p>Body text here</p><p>More</p></div><p class=copyright>c</p></body>") == "Body text here\nMore"
