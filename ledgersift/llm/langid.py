@@ -3,16 +3,17 @@
 A text is the bytes of its words in lower case (A-Z), its features the byte n-grams (3 and 4 long, with one blank
 as word edge) hashed into 2**14 buckets. Each bucket has an embedding; their mean over the whole text goes through a linear layer and a
 softmax. Embeddings and layer are trained together by minibatch gradient descent in numpy; a tenth of the training rows is held
-back to fit the softmax's temperature and the score below which a prediction is rejected.
+back to calibrate: the softmax's temperature makes a score the chance of being right, and predictions are rejected below the lowest score
+from which on ``ACCURACY`` of the held-back rows are right (below ``REJECT_AT_MOST`` at most).
 
-Training is bounded: at most about ``per_language`` rows of each language, and fewer each where ``max_rows`` in all would be passed, drawn by a
-hash of the id, arrive at the driver as bucket counts (never as texts). Every language that occurs is learned, up to ``MAX_LANGUAGES``, far above
-those that exist. Prediction is linear in the text, runs over Arrow buffers, and reads embedding times layer as one table; with more languages than
+Training is bounded: at most about ``per_language`` rows of each language, and fewer each (but one) where ``max_rows`` in all would be passed, drawn by a
+hash of id and text and taken once however often they are repeated, arrive at the driver as bucket counts (never as texts). Every language that
+occurs is learned. Prediction is linear in the text, runs over Arrow buffers, and reads embedding times layer as one table; with more languages than
 dimensions it reads the embeddings and the layer, so what is broadcast hardly grows with the languages.
 
 Defined cases: null text and text without a letter are ``und`` with score 0 and rejected; null languages and ids are never learned
-from; a very short text has few n-grams and is judged by them (none: the class priors); equal texts are predicted alike; with nothing to learn
-from, every text is ``und``; extra columns are ignored.
+from; a very short text has few n-grams and is judged by them (none: the class priors), a very long one is read in pieces to its end; equal texts
+are predicted alike; with nothing to learn from, every text is ``und``; extra columns are kept, but one named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -32,17 +33,15 @@ BUCKETS = 1 << 14
 DIMENSION = 16
 ORDERS = (3, 4)
 PER_LANGUAGE = 1500
-#: 1,500 rows of 200 languages; more languages have fewer rows each.
-MAX_ROWS = 300_000
-#: A bound for columns that hold no languages: the most frequent values are taken.
-MAX_LANGUAGES = 20_000
+#: 1,500 rows of 20 languages; more languages have fewer rows each. A row is about 5 KB on the driver.
+MAX_ROWS = 30_000
 #: Numbers that the held-back rows' scores may take.
 MAX_SCORES = 6_000_000
 EPOCHS = 8
 RATE = 0.5
 UNKNOWN = "und"
-#: A prediction is rejected below the score that this share of the held-back rows falls under, and never from 0.5 up.
-REJECT_SHARE = 0.001
+#: The share of accepted predictions that shall be right; but none is rejected from REJECT_AT_MOST up.
+ACCURACY = 0.99
 REJECT_AT_MOST = 0.5
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -184,11 +183,23 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Langua
         logits = (logits if model.layer is None else logits @ layer) + bias
         truth = target[check]
         loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(held), truth], 1e-12)).mean()
-        model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
-        model.reject_below = float(min(REJECT_AT_MOST, np.quantile(_softmax(logits / model.temperature).max(axis=1), REJECT_SHARE)))
+        model.temperature = float(min(np.geomspace(0.002, 20, 120), key=loss))
+        chance = _softmax(logits / model.temperature)
+        model.reject_below = rejection(chance.max(axis=1), chance.argmax(axis=1) == truth)
     return model
 
 
+def rejection(scores: np.ndarray, right: np.ndarray, accuracy: float = ACCURACY, at_most: float = REJECT_AT_MOST) -> float:
+    """The lowest score from which on the share of right predictions reaches the accuracy, ``at_most`` if none below that does; 0 if no rejection is needed."""
+    order = np.argsort(-scores, kind="stable")
+    share = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
+    last = np.flatnonzero(np.r_[np.diff(scores[order]) != 0, True])  # equal scores are accepted or rejected together
+    good = last[share[last] >= accuracy]
+    if len(good) and good[-1] == len(order) - 1:
+        return 0.0
+    return float(min(at_most, scores[order][good[-1]])) if len(good) else at_most
+
+
 def is_held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(key.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
@@ -197,19 +208,20 @@ def train(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str
     """Fit on rows that are not held out and have a language."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    known = rows.groupBy("lang").count().collect()  # a row per language
     if not known:
         return None
-    each = min(per_language, max_rows / len(known))
-    shares = docs.sparkSession.createDataFrame([(r["lang"], each / r["count"]) for r in known], "lang string, share double")  # a row per language
-    sample = rows.join(F.broadcast(shares), "lang").withColumn("u", draw(F.col("doc_id"), "language-id")).filter("u < share")
+    each = max(1.0, min(per_language, max_rows / len(known)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], each / r["count"]) for r in known], "lang string, share double")
+    row = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))  # an id may stand for many texts
+    sample = rows.join(F.broadcast(shares), "lang").filter(draw(row, "language-id") < F.col("share")).select("doc_id", "text", "lang").distinct()
 
     def work(batches):
         for batch in batches:
             got = [counts(t.as_py()) for t in batch.column("text")]
             yield pa.record_batch([batch.column("doc_id"), batch.column("lang"), pa.array([b.astype(np.uint16).tobytes() for b, _ in got], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in got], pa.binary())], names=["doc_id", "lang", "buckets", "often"])
 
-    got = sample.select("doc_id", "text", "lang").mapInArrow(tidy(work), "doc_id long, lang string, buckets binary, often binary").collect()
+    got = sample.mapInArrow(tidy(work), "doc_id long, lang string, buckets binary, often binary").collect()
     ordered = sorted(got, key=lambda r: (r["doc_id"], r["lang"], bytes(r["buckets"]), bytes(r["often"])))
     model = fit([(r["lang"], np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["often"], np.uint32)) for r in ordered])
     del got, ordered

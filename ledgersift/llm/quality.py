@@ -4,11 +4,11 @@ P(grade > k) = sigmoid(w . x - t_k) with t_0 < t_1 < ...: one weight vector for
 hashed: the distinct lower-cased words of the whole text, their beginnings, and a few binned shares of the text (repeated words, capitals, symbols,
 separators, length). The expected grade is the sum of the tail probabilities; selection asks for the tail probability of the top grade.
 
-Grades come from the labels: 0 toxic, 1 not toxic but of low quality, 2 neither. Training is bounded: at most about ``max_rows``
-labelled rows drawn by a hash of the id, which reach the driver as distinct bucket numbers (at most 2**18 each); the fit is numpy
+Grades come from the labels: 0 toxic, 1 not toxic but of low quality, 2 neither. Training is bounded: at most about ``max_rows`` labelled rows drawn
+by a hash of id and text, each taken once however often it is repeated, which reach the driver as distinct bucket numbers (at most 2**18 each); the fit is numpy
 (adaptive gradient steps, thresholds as a first value and positive gaps). Prediction reads one bounded weight vector per worker.
 
-Defined cases: null or empty text has only its length bin as feature; labels that are null in any column, or without their document, are
+Defined cases: null or empty text has only its bins as features; a very long text is read whole; labels that are null in any column, or without their document, are
 not learned from; a document labelled twice takes its lowest grade; a constant or missing grade is learned as such (with no labels at all every tail probability is
 the neutral 0.5); equal texts score alike; extra columns are ignored.
 """
@@ -150,18 +150,19 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
     """Fit on labelled documents that are not held out."""
     graded = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
     graded = graded.filter(F.col("grade").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    share = max_rows / max(1, graded.count())
-    chosen = graded.filter(draw(F.col("doc_id"), "quality") < share)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    labelled = texts.join(graded, "doc_id")
+    share = max_rows / max(1, labelled.count())
     if share < 1:
-        texts = texts.filter(draw(F.col("doc_id"), "quality") < share)
+        row = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))  # an id may stand for many texts
+        labelled = texts.filter(draw(row, "quality") < share).join(graded, "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [features(t.as_py()).astype(np.uint32).tobytes() for t in batch.column("text")]
             yield pa.record_batch([batch.column("doc_id"), batch.column("grade"), pa.array(got, pa.binary())], names=["doc_id", "grade", "buckets"])
 
-    rows = texts.join(chosen, "doc_id").select("doc_id", "grade", "text").mapInArrow(tidy(work), "doc_id long, grade int, buckets binary").collect()
+    rows = labelled.select("doc_id", "grade", "text").distinct().mapInArrow(tidy(work), "doc_id long, grade int, buckets binary").collect()
     ordered = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["buckets"])))
     model = fit([(r["grade"], np.frombuffer(r["buckets"], np.uint32)) for r in ordered])
     del rows, ordered

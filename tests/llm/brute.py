@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -143,3 +144,51 @@ def hilbert(axes, bits=8):
 
 def held_out(doc):
     return doc is not None and zlib.crc32(str(doc).encode()) % 3 == 1
+
+
+def language(model, text):
+    """Language and its probability of a text under a trained model, n-gram by n-gram."""
+    if not any(map(str.isalpha, text or "")):
+        return "und", 0.0
+    body = b" " + re.sub(rb"[\x09-\x0d]", b" ", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())) + b" "
+    sums, n = [0.0] * len(model.languages), 0
+    for order in (3, 4):
+        for i in range(len(body) - order + 1):
+            gram = body[i : i + order]
+            if 32 in gram[1:-1]:
+                continue
+            code = 0
+            for byte in gram:
+                code = (code * 0x01000193 & 0xFFFFFFFF) ^ byte
+            bucket = (code * 0x9E3779B1 + order & 0xFFFFFFFF) >> 18
+            sums = [a + float(b) for a, b in zip(sums, model.table[bucket], strict=True)]
+            n += 1
+    logits = [(a / max(1, n) + float(b)) / model.temperature for a, b in zip(sums, model.bias, strict=True)]
+    powers = [math.exp(x - max(logits)) for x in logits]
+    best = max(range(len(powers)), key=powers.__getitem__)
+    return model.languages[best], powers[best] / sum(powers)
+
+
+def quality(model, text):
+    """Tail probabilities of a text under a trained model, feature by feature."""
+    text = text or ""
+    share = lambda x, n=10: min(n, int(x * n + 0.5))
+    words, marks = text.split(), ".,;:!?\"'()[]{}<>#*%$&|=-_~`^+/\\"
+    names = {w.strip(marks) for w in text.lower().split()}
+    letters = sum(c.isascii() and c.isalpha() or "À" <= c <= "ɏ" for c in text)
+    upper = sum("A" <= c <= "Z" or "À" <= c <= "Þ" for c in text)
+    bins = {
+        "n": len(words).bit_length(),
+        "r": share(sum(words[i] == words[i + 1] for i in range(len(words) - 1)) / max(1, len(words) - 1)),
+        "u": share(upper / max(1, letters)),
+        "s": share(sum(c in "#*%$&|=~^<>{}[]\\!" for c in text) / max(1, len(text)), 50),
+        "d": share(len(set(words)) / max(1, len(words))),
+        "l": share(len(set(text.split("\n"))) / len(text.split("\n"))),
+        "b": share(words.count("|") / max(1, len(words)), 20),
+        "t": share(sum(len(w) for w in names) / max(1, len(names)) / 40),
+    }
+    names |= {f"\x00{k}{v}" for k, v in bins.items()}
+    names.discard("")
+    codes = {zlib.crc32(w.encode()) % 2**18 for w in names} | {zlib.crc32(w[:k].encode(), 1) % 2**18 for w in names for k in (4, 5, 6, 7) if len(w) > k}
+    total = sum(float(model.weights[c]) for c in codes)
+    return [1 / (1 + math.exp(float(t) - total)) for t in model.thresholds]
