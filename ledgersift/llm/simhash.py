@@ -1,21 +1,24 @@
 """SimHash near-duplicates: fingerprints, BK-trees per shard, components.
 
-Fingerprints link at Hamming distance ``radius`` (2) or less. A broadcast of every fingerprint is out of the
-question, so the shards of the BK-trees are made such that no tree has to travel: 64 bits in three pieces leave
-at least one piece equal under two flipped bits (in general radius + 1 pieces), so each distinct fingerprint goes to three shards (piece,
-value) and every link lies inside a shard. A shard over ``shard_limit`` fingerprints is split again by three
-pieces of the bits that it does not share yet, for the same reason; after four levels at most 13 bits are free, so no
-shard can exceed 8192 fingerprints, whatever the data. In its task a shard becomes a BK-tree: children are
-keyed by their Hamming distance to the parent and a search follows only the edges within the radius. A shard
-reports one edge per linked fingerprint, to the smallest document of its local component, never all pairs.
-
-Defined cases: a null or empty text has fingerprint zero and links like any other; equal texts and repeated rows fall
-in one class; classes with the same smallest id (an id repeated with other texts) count as linked; rows whose doc_id is null link others, but are a component_id only where the component
-has no other id (then it is null); other columns are ignored. Ids must lie below 2**62.
+Fingerprints link at Hamming distance ``radius`` (2) or less. A broadcast from the driver would need every fingerprint there, so the
+trees are made and sent shard by shard: 64 bits in three pieces leave at least one piece equal under two flipped bits (in general radius + 1
+pieces), so each distinct fingerprint goes to three shards, named by the first bits of a piece, and every link lies inside a shard. As many bits are
+used as make shards of about ``SHARD_CODES`` fingerprints. A shard over ``shard_limit`` is split again by three whole pieces of the bits
+that its fingerprints do not share yet, for the same reason, until it fits or ``MIN_FREE`` bits or fewer are free: no shard can then exceed
+2**MIN_FREE fingerprints, whatever the data.
+
+Each shard becomes a BK-tree: children are keyed by their Hamming distance to the parent. The tree is sent to every task that
+searches it, each with up to ``CHUNK`` of the shard's fingerprints as queries, which follow only the edges within the radius. A search
+reports one edge per linked fingerprint, to the smallest of its local component, never all pairs.
+
+Defined cases: a null or empty text has fingerprint zero and links like any other; a very long text is hashed in pieces; equal texts and
+repeated rows fall in one class; an id repeated with other texts links nothing, since the graph's nodes are fingerprints; rows whose doc_id is null
+link others, but are a component_id only where the component has no other id (then it is null); other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -33,10 +36,11 @@ from ledgersift.skew import join_per_key
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
+SHARD_CODES = 1024
 SHARD_LIMIT = 4096
-#: Trees of up to this many nodes are kept as a leaf that a search compares at once.
-LEAF = 32
-NO_ID = 1 << 62
+CHUNK = 1024
+#: Subtrees of up to this many codes are compared at once.
+LEAF = 8
 #: Shards with so few free bits are not split again: they hold at most 2**13 fingerprints.
 MIN_FREE = 13
 
@@ -72,45 +76,61 @@ def fingerprints(docs: DataFrame, *, text: str = "text", key: str = "doc_id") ->
 
 
 class BKTree:
-    """A BK-tree over distinct 64-bit codes; ``search`` answers many queries in one walk."""
-
-    def __init__(self, codes: np.ndarray, index: np.ndarray | None = None):
-        index = np.arange(len(codes)) if index is None else index
-        self.leaf = index if len(index) <= LEAF else None
-        self.codes = codes
-        if self.leaf is not None:
-            return
-        self.root, rest = int(index[0]), index[1:]
-        distance = np.bitwise_count(codes[rest] ^ codes[self.root])
-        self.children = {int(d): BKTree(codes, rest[distance == d]) for d in np.unique(distance)}
-
-    def search(self, queries: np.ndarray, radius: int, who: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-        """Yield (node, numbers of the queries within the radius of it)."""
-        who = np.arange(len(queries)) if who is None else who
-        if not len(who):
-            return
-        if self.leaf is not None:
-            near = np.bitwise_count(queries[who][None, :] ^ self.codes[self.leaf][:, None]) <= radius
-            for node, row in zip(self.leaf.tolist(), near, strict=True):
-                yield node, who[row]
-            return
-        distance = np.bitwise_count(queries[who] ^ self.codes[self.root]).astype(np.int64)
-        yield self.root, who[distance <= radius]
-        for edge, child in self.children.items():
-            yield from child.search(queries, radius, who[np.abs(distance - edge) <= radius])
-
-
-def local_links(codes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Labels of the components among a shard's codes: the smallest index that each reaches inside the shard."""
-    label = np.arange(len(codes))
-    if len(codes) == 2:
-        if int(codes[0] ^ codes[1]).bit_count() <= radius:
-            label[1] = 0
-        return label
-    for node, near in BKTree(codes).search(codes, radius):
-        found = np.unique(label[near]) if len(near) > 1 else near
+    """A BK-tree over distinct 64-bit codes, as arrays in preorder; ``search`` answers many queries in one walk."""
+
+    def __init__(self, codes: np.ndarray, edge: np.ndarray, size: np.ndarray):
+        self.codes, self.edge, self.size = codes, edge, size  # size: codes in the subtree
+
+    @classmethod
+    def plant(cls, codes: np.ndarray) -> tuple[BKTree, np.ndarray]:
+        """The tree, and for each of its places the number of the code there."""
+        n = len(codes)
+        order, edge, size = np.empty(n, np.int64), np.zeros(n, np.uint8), np.ones(n, np.int32)
+        at, todo = 0, [(np.arange(n), 0)] if n else []
+        while todo:
+            index, distance = todo.pop()
+            edge[at], size[at] = distance, len(index)
+            if len(index) <= LEAF:
+                order[at : at + len(index)] = index
+                at += len(index)
+                continue
+            order[at], rest = index[0], index[1:]
+            at += 1
+            apart = np.bitwise_count(codes[rest] ^ codes[index[0]])
+            by = np.argsort(apart, kind="stable")
+            cuts = np.flatnonzero(np.diff(apart[by])) + 1
+            todo += [(rest[g], int(apart[g[0]])) for g in reversed(np.split(by, cuts))]
+        return cls(codes[order], edge, size), order
+
+    def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Yield (place, numbers of the queries within the radius of it) of the places that have any."""
+        todo = [(0, np.arange(len(queries)))] if len(self.codes) else []
+        while todo:
+            place, who = todo.pop()
+            end = place + int(self.size[place])
+            if end - place <= LEAF:
+                near = np.bitwise_count(queries[who][None, :] ^ self.codes[place:end][:, None]) <= radius
+                for k in np.flatnonzero(near.any(axis=1)).tolist():
+                    yield place + k, who[near[k]]
+                continue
+            distance = np.bitwise_count(queries[who] ^ self.codes[place]).astype(np.int64)
+            if (distance <= radius).any():
+                yield place, who[distance <= radius]
+            child = place + 1
+            while child < end:
+                follow = who[np.abs(distance - int(self.edge[child])) <= radius]
+                if len(follow):
+                    todo.append((child, follow))
+                child += int(self.size[child])
+
+
+def local_links(tree: BKTree, first: int, last: int, radius: int = RADIUS) -> np.ndarray:
+    """Labels of the components that the tree's codes at places ``first`` to ``last`` make with all of its codes: the smallest place of each."""
+    label = np.arange(len(tree.codes))
+    for place, near in tree.search(tree.codes[first:last], radius):
+        found = np.unique(np.r_[label[place], label[near + first]])
         if len(found) > 1:
-            known = np.zeros(len(codes), dtype=bool)
+            known = np.zeros(len(label), dtype=bool)
             known[found] = True
             label[known[label]] = found[0]
     return label
@@ -122,52 +142,75 @@ def _pieces(left: int, n: int) -> list[tuple[int, int]]:
     return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
 
 
-def _split(rows: DataFrame, free: int, n: int) -> DataFrame:
-    """n rows for each row of (shard, rest, ...): the piece joins the shard's name and leaves the free bits."""
+def _split(rows: DataFrame, free: int, n: int, used: int = 64) -> DataFrame:
+    """n rows for each row of (shard, rest, ...): the first ``used`` bits of a piece join the shard's name and leave the free bits."""
     cut = []
     for k, (offset, width) in enumerate(_pieces(free, n)):
+        width = min(width, used)
         piece = F.shiftrightunsigned("rest", offset).bitwiseAND(F.lit((1 << width) - 1))
         low = F.col("rest").bitwiseAND(F.lit((1 << offset) - 1))
         high = F.shiftleft(F.shiftrightunsigned("rest", offset + width), offset) if offset + width < 64 else F.lit(0).cast("long")
-        cut.append(F.struct(F.concat_ws(".", F.col("shard"), F.lit(str(k)), F.hex(piece)).alias("shard"), low.bitwiseOR(high).alias("rest"), F.lit(free - width).alias("free")))
-    return rows.withColumn("cut", F.explode(F.array(*cut))).select("cut.*", "fp", "node")
+        name = F.concat_ws(".", F.col("shard"), F.lit(str(k)), F.hex(piece))
+        cut.append(F.struct(name.alias("shard"), low.bitwiseOR(high).alias("rest"), F.lit(free - width).alias("free")))
+    return rows.withColumn("cut", F.explode(F.array(*cut))).select("cut.*", "fp")
 
 
-def shard_edges(classes: DataFrame, scratch: Scratch, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """Edges (a, b) between the nodes of ``classes (fp, node)``: in each shard from each code to its component's smallest node."""
+_TREE = "codes binary, edge binary, size binary, first long, last long"
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each shard's tree, once for each chunk of its queries."""
+    for batch in batches:
+        for group in batch.column("members"):
+            codes = np.sort(np.asarray(group.values.to_numpy(zero_copy_only=False), dtype=np.int64)).view(np.uint64)
+            tree, _ = BKTree.plant(codes)
+            body = [tree.codes.tobytes(), tree.edge.tobytes(), tree.size.tobytes()]
+            begins = list(range(0, len(codes), CHUNK))
+            stops = [min(a + CHUNK, len(codes)) for a in begins]
+            yield pa.record_batch([*(pa.array([b] * len(begins), pa.binary()) for b in body), pa.array(begins, pa.int64()), pa.array(stops, pa.int64())], names=["codes", "edge", "size", "first", "last"])
+
+
+def _searched(radius: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for group in batch.column("members"):
-                members = sorted((m["node"], m["fp"]) for m in group.as_py())
-                nodes = np.array([m[0] for m in members], dtype=np.int64)
-                label = local_links(np.array([m[1] for m in members], dtype=np.int64).view(np.uint64), radius)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for codes, edge, size, first, last in zip(*(batch.column(c).to_pylist() for c in ("codes", "edge", "size", "first", "last")), strict=True):
+                tree = BKTree(np.frombuffer(codes, np.uint64), np.frombuffer(edge, np.uint8), np.frombuffer(size, np.int32))
+                label = local_links(tree, first, last, radius)
                 tied = np.flatnonzero(label != np.arange(len(label)))
+                nodes = tree.codes.view(np.int64)
                 a.append(nodes[tied])
                 b.append(nodes[label[tied]])
-            cat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]))
-            yield pa.record_batch([cat(a), cat(b)], names=["a", "b"])
+            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return search
+
 
+def shard_edges(codes: DataFrame, scratch: Scratch, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT, shard_codes: int = SHARD_CODES) -> DataFrame:
+    """Edges (a, b) between the distinct codes ``fp``: in each shard from each code to the first of its local component."""
     pieces = radius + 1  # so many differing bits leave one piece equal
-    rows = _split(classes.select(F.lit("").alias("shard"), F.col("fp").alias("rest"), "fp", "node"), 64, pieces)
-    edges, level, free = [], 0, {64}
+    used = max(0, math.ceil(math.log2(max(1, codes.count()) / shard_codes)))
+    whole = codes.select(F.lit("").alias("shard"), F.col("fp").alias("rest"), F.lit(64).alias("free"), "fp")
+    rows = _split(whole, 64, pieces, used) if used else whole
+    edges, level, free = [], 0, {64 - w for w in (min(w, used) for _, w in _pieces(64, pieces))}
     while True:
         level += 1
-        free = {f - w for f in free for _, w in _pieces(f, pieces)}
-        large = scratch.save(rows.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > shard_limit).select("shard"), f"large-{level}") if min(free) > MIN_FREE else None
-        split = large is not None and not large.isEmpty()
+        counted = rows.filter(F.col("free") > MIN_FREE).groupBy("shard").agg(F.count("*").alias("n"))
+        large = scratch.save(counted.filter(F.col("n") > shard_limit).select("shard"), f"large-{level}")
+        split = not large.isEmpty()
         fit = rows.join(large, "shard", "left_anti") if split else rows
-        shards = fit.groupBy("shard").agg(F.collect_list(F.struct("fp", "node")).alias("members")).filter(F.size("members") > 1)
-        edges.append(scratch.save(shards.select("members").mapInArrow(tidy(link), "a long, b long").distinct(), f"edges-{level}"))
+        shards = fit.groupBy("shard").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
+        trees = shards.select("members").mapInArrow(tidy(_plant), _TREE).repartition(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        edges.append(scratch.save(trees.mapInArrow(tidy(_searched(radius)), "a long, b long").distinct(), f"edges-{level}"))
         if not split:
             break
         over = rows.join(large, "shard", "left_semi")
-        parts = [_split(over.filter(F.col("free") == f).drop("free"), f, pieces) for f in sorted(free)]
+        parts = [_split(over.filter(F.col("free") == f), f, pieces) for f in sorted(free) if f > MIN_FREE]
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)
         rows = scratch.save(rows, f"rows-{level}")
+        free = {f - w for f in free if f > MIN_FREE for _, w in _pieces(f, pieces)}
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
@@ -175,15 +218,13 @@ def shard_edges(classes: DataFrame, scratch: Scratch, radius: int = RADIUS, shar
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, *, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """Return ``doc_id, text_hash, fp, component, component_id`` for every row of ``docs``; ``component`` also names those without any id."""
+    """Return ``doc_id, text_hash, fp, component, component_id`` for every row of ``docs``; ``component``, its first fingerprint, also names those without any id."""
     found = scratch.save(fingerprints(docs, text=text, key=key), "fingerprints")
     total = found.count()
-    unnamed = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("fp"), 2)
-    classes = scratch.save(
-        found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).select("fp", F.coalesce("least", unnamed).alias("node"), "copies"), "classes"
-    )
-    joined = connected_components(shard_edges(classes, scratch, radius, shard_limit), scratch)
-    labelled = classes.join(joined, "node", "left").select("fp", "copies", F.coalesce("component", "node").alias("component"))
-    labelled = scratch.save(labelled, "labelled")
-    named = F.when(F.col("component") < F.lit(NO_ID), F.col("component")).alias("component_id")
-    return join_per_key(found, labelled, ["fp"], "copies", total).select("doc_id", "text_hash", "fp", "component", named)
+    classes = scratch.save(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
+    joined = connected_components(shard_edges(classes.select("fp"), scratch, radius, shard_limit), scratch)
+    named = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = scratch.save(named, "named")
+    least = scratch.save(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")), "least")
+    labelled = join_per_key(named.drop("least"), least, ["component"], "classes", named.count())
+    return join_per_key(found, scratch.save(labelled, "labelled"), ["fp"], "copies", total).select("doc_id", "text_hash", "fp", "component", "component_id")

@@ -204,10 +204,12 @@ def test_bk_tree_finds_every_neighbour():
     rng = np.random.default_rng(3)
     codes = np.unique(np.concatenate([rng.integers(0, 2**63, 300).astype(np.uint64), (np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)))]))
     rng.shuffle(codes)
-    found = {(n, int(q)) for n, near in simhash.BKTree(codes).search(codes, 2) for q in near}
+    tree, order = simhash.BKTree.plant(codes)
+    assert sorted(order.tolist()) == list(range(len(codes))) and (tree.codes == codes[order]).all()
+    found = {(int(order[n]), int(q)) for n, near in tree.search(codes, 2) for q in near}
     want = {(i, j) for i in range(len(codes)) for j in range(len(codes)) if int(codes[i] ^ codes[j]).bit_count() <= 2}
     assert found == want
-    label = simhash.local_links(codes)
+    label = simhash.local_links(tree, 0, len(codes))
     assert len(set(label.tolist())) == len(set(brute.components(list(enumerate(map(int, codes))))))
 
 
