@@ -1,12 +1,12 @@
 """Hilbert-curve sharding: rows in curve order of their quantised metadata, cut into runs of equal count.
 
-Each dimension (source and language by their order among the distinct values, length on a logarithmic scale) is
-quantised to ``bits`` bits; the Hilbert index of the cell orders the rows, ids and checksums break ties, and shard s takes the rows
-from floor(s N / S) to floor((s + 1) N / S). So shards differ by one row at most, rows alike in all dimensions lie together, and a file's
+Each dimension (source, language, and length in steps of a sixteenth of a doubling) is quantised to ``bits`` bits by the share of rows up to
+the middle of the value, so every axis fills its cells evenly and the curve cuts all of them alike; the Hilbert index of the cell orders
+the rows, ids and checksums break ties, and shard s takes the rows from floor(s N / S) to floor((s + 1) N / S). So shards differ by one row at most, rows alike in all dimensions lie together, and a file's
 minimum and maximum of any of the dimensions prune. All of it is DataFrame functions; the order comes from a range
 partitioning, whose tie-breakers cut through groups of equal texts, and partition offsets, never from a single-task sort.
 
-Defined cases: null text has size 1 and crc 0; null source or language sorts after all others, null ids after other ids; equal rows take
+Defined cases: null text has size 1 and crc 0; a very long text is read once, for its size and checksum; null source or language sorts after all others, null ids after other ids; equal rows take
 neighbouring slots; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgersift.scratch import Scratch
-from ledgersift.skew import global_order, join_per_key
+from ledgersift.skew import global_order, join_per_key, running_totals
 
 SHARDS = 16
 BITS = 8
 DIMENSIONS = ("source", "lang")
+#: Steps of the length per doubling: at most 64 times as many values.
+STEPS = 16
 
 
 def hilbert_index(axes: Sequence[Column], bits: int = BITS) -> Column:
@@ -40,12 +42,21 @@ def hilbert_index(axes: Sequence[Column], bits: int = BITS) -> Column:
         new_first = F.when(flip, first.bitwiseXOR(low)).otherwise(first.bitwiseXOR(swap))
         return F.transform(x, lambda v, k: F.when(k == 0, new_first).when((k == i) & ~flip, v.bitwiseXOR(swap)).otherwise(v))
 
-    turned = F.aggregate(steps, start, exchange)
-    gray = F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), turned, lambda x, i: F.transform(x, lambda v, k: F.when(k == i, v.bitwiseXOR(F.get(x, i - 1))).otherwise(v))) if n > 1 else turned
+    turned = F.aggregate(steps, start, exchange) if bits > 1 else start
+    def against_last(x: Column, i: Column) -> Column:
+        return F.transform(x, lambda v, k: F.when(k == i, v.bitwiseXOR(F.get(x, i - 1))).otherwise(v))
+
+    gray = F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), turned, against_last) if n > 1 else turned
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
 
     def finish(x: Column) -> Column:
         last = F.get(x, F.lit(n - 1))
-        mask = F.aggregate(F.sequence(F.lit(1), F.lit(bits - 1)), F.lit(0).cast("long"), lambda t, b: F.when(F.call_function("shiftright", last, b).bitwiseAND(F.lit(1)) != 0, t.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b) - 1)).otherwise(t)) if bits > 1 else F.lit(0).cast("long")
+
+        def fold(t: Column, b: Column) -> Column:
+            set_there = F.call_function("shiftright", last, b).bitwiseAND(F.lit(1)) != 0
+            return F.when(set_there, t.bitwiseXOR(F.call_function("shiftleft", one, b) - 1)).otherwise(t)
+
+        mask = F.aggregate(F.sequence(F.lit(1), F.lit(bits - 1)), none, fold) if bits > 1 else none
         return F.transform(F.array(mask), lambda m: F.transform(x, lambda v: v.bitwiseXOR(m)))[0]
 
     def join_bits(x: Column) -> Column:
@@ -75,16 +86,22 @@ def shard(docs: DataFrame, scratch: Scratch, *, shards: int = SHARDS, bits: int
     rows = scratch.save(rows, "rows")
     total = rows.count()
     cells = 1 << bits
+
+    def by_share(values: DataFrame, order: Column, name: str, table: str) -> DataFrame:
+        """The cell of each value, by the rows up to its middle."""
+        run = running_totals(values, [], order, {"upto": "rows_of"}, scratch, table)
+        middle = _div((F.col("upto") * 2 - F.col("rows_of")) * cells, F.col("upto_all") * 2)
+        return run.withColumn(name, F.least(middle, F.lit(cells - 1)).cast("long")).drop("upto", "upto_all")
+
+    step = F.floor(F.log2(F.col("size").cast("double")) * STEPS).cast("int")
+    lengths = by_share(rows.groupBy(step.alias("step")).agg(F.count("*").alias("rows_of")), F.col("step"), "axis_length", "lengths").drop("rows_of")
+    rows = rows.withColumn("step", step).join(F.broadcast(lengths), "step").drop("step")  # 64 STEPS rows at most
     for i in range(len(dimensions)):
         names = [f"k_{i}", f"null_{i}"]
         keyed = rows.withColumns({names[0]: F.coalesce(f"dim_{i}", F.lit("")), names[1]: F.col(f"dim_{i}").isNull()})
-        values = keyed.groupBy(*names).agg(F.count("*").alias("rows_of"))
-        ordered = global_order(values, [F.col(names[1]), F.col(names[0])], "place", scratch, f"dimension-{i}", parts)
-        n = max(1, ordered.count())
-        cell = _div(F.col("place") * cells, F.lit(n)) if n > cells else F.col("place")
-        rows = join_per_key(keyed, ordered.select(*names, "rows_of", cell.cast("long").alias(f"axis_{i}")), names, "rows_of", total).drop(*names, f"dim_{i}")
-    length = F.least(F.floor(F.log2(F.col("size").cast("double")) * (cells // 32)), F.lit(cells - 1)).cast("long")
-    axes = [F.col(f"axis_{i}") for i in range(len(dimensions))] + [length]
+        values = by_share(keyed.groupBy(*names).agg(F.count("*").alias("rows_of")), F.struct(names[1], names[0]), f"axis_{i}", f"dimension-{i}")
+        rows = join_per_key(keyed, values, names, "rows_of", total).drop(*names, f"dim_{i}")
+    axes = [F.col(f"axis_{i}") for i in range(len(dimensions))] + [F.col("axis_length")]
     laid = rows.select("doc_id", "size", "text_crc32", hilbert_index(axes, bits).alias("hilbert"))
     order = [F.col("hilbert"), F.col("doc_id").asc_nulls_last(), F.col("text_crc32"), F.col("size")]
     placed = global_order(laid, order, "place", scratch, "curve", parts)
