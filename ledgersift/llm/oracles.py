@@ -40,13 +40,13 @@ o AS (SELECT doc_id, w, coalesce(ps, []) AS ps FROM d LEFT JOIN gone USING (doc_
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_removed, sha256(coalesce((SELECT string_agg(k.x, ' ' ORDER BY k.i) FROM (SELECT unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i) k WHERE NOT list_contains(ps, k.i)), '')) AS kept_sha256
 FROM o""",
     "op7_mixing": f"""
-WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5(coalesce(text, '')) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST([{', '.join(map(str, WEIGHTS))}][1 + (row_number() OVER (ORDER BY source IS NULL, encode(coalesce(source, ''))) - 1) % {len(WEIGHTS)}] AS DOUBLE) AS weight FROM d GROUP BY 1),
 c AS (SELECT *, CAST(source_size * {CAP} AS DOUBLE) AS cap, CAST((SELECT sum(size) FROM d) * {SHARE} AS DOUBLE) AS total, row_number() OVER (ORDER BY source_size * {CAP} / weight, source) AS k FROM s),
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 v AS (SELECT level FROM l WHERE weight * level <= cap ORDER BY k LIMIT 1),
 t AS (SELECT source, source_size, least(weight * (SELECT level FROM v), cap) AS target FROM c),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, d.source, coalesce(t.target / nullif(CAST(t.source_size AS DOUBLE), 0), 0.0) AS rate, CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS UBIGINT) / 4294967296.0 AS u
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, d.source, coalesce(t.target / nullif(CAST(t.source_size AS DOUBLE), 0), 0.0) AS rate, CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || h), 1, 8) AS UBIGINT) / 4294967296.0 AS u
   FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
 SELECT doc_id, size, source_size, target, source, CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r""",

@@ -114,8 +114,9 @@ def targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
     return fixed
 
 
-def draw(doc, seed="mix-1"):
-    return int(hashlib.md5(f"{seed}:{'null' if doc is None else doc}".encode()).hexdigest()[:8], 16) / 2**32
+def draw(doc, text, seed="mix-1"):
+    own = f"{'null' if doc is None else doc}:{hashlib.md5((text or '').encode()).hexdigest()}"
+    return int(hashlib.md5(f"{seed}:{own}".encode()).hexdigest()[:8], 16) / 2**32
 
 
 def hilbert(axes, bits=8):

@@ -223,7 +223,7 @@ def test_mixing(spark, docs, none, sf_dir):
         want = []
         for r in rows:
             n, rate = len(brute.PLAIN.findall(r.text or "")), targets[r.source] / sizes[r.source] if sizes[r.source] else 0.0
-            copies = math.floor(rate) + (brute.draw(r.doc_id) < rate - math.floor(rate))
+            copies = math.floor(rate) + (brute.draw(r.doc_id, r.text) < rate - math.floor(rate))
             want.append((r.doc_id, n, sizes[r.source], round(targets[r.source], 6), copies))
         plan = mixing.mixing_plan(frame, Scratch(spark, "t"))
         got = [(r.doc_id, r.size, r.source_size, round(r.target, 6), r.copies) for r in plan.collect()]
