@@ -6,11 +6,12 @@ has one winnowed fingerprint, the same in a document and in a benchmark item: ev
 Items shorter than a window are one window of their own length (at most nine more lengths, only those that occur).
 
 A document reports each distinct fingerprint once, the fingerprints that a benchmark item has too come out of one join, and for
-those documents alone the hits are extended: the window's words at the fingerprint's places are compared with the
-item's words. The benchmark's fingerprints are broadcast only if there are at most ``broadcast_rows`` of them (counted first);
-beyond that the join is shuffled and Spark splits its skewed partitions.
+those documents alone the hits are extended: at the places of these fingerprints, and nowhere else, the window's words are compared with the
+items' windows. Items come in once a document, by the sets of items that share a window. What is broadcast is counted first, in rows and bytes: the
+benchmark's fingerprints and windows, and the documents with a fingerprint, each up to ``broadcast_rows``; beyond that the join is shuffled and Spark
+splits its skewed partitions. So while few documents have a fingerprint, no text is shuffled.
 
-Defined cases: null text and text without words have n_words 0 and no hit; an item without words, or null, matches nothing; an
+Defined cases: a very long text is one row, its words one array; null text and text without words have n_words 0 and no hit; an item without words, or null, matches nothing; an
 item with a null id makes hits but is in no list; equal rows get equal results (rows are told apart by id and text, not by position);
 empty tables on either side give no hits; extra columns are ignored.
 """
@@ -25,6 +26,7 @@ from ledgersift.scratch import Scratch
 SPAN = 10
 GRAM = 6
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -68,17 +70,22 @@ def _winnowed(span: int, gram: int):
     return lambda hashes: winnow(hashes, span, gram)
 
 
-def _spotted(span: int, gram: int):
-    return lambda hashes: _spots(hashes, span, gram)
-
-
 def _print(span: int):
     return lambda fp: F.struct(F.lit(span).alias("span"), fp.alias("fp"))
 
 
 def _spots(hashes: Column, span: int, gram: int) -> Column:
-    """Each place's fingerprint, and the words of its window."""
-    return F.transform(winnow(hashes, span, gram), lambda fp, i: F.struct(i.alias("at"), fp.alias("fp"), F.array_join(F.slice(F.col("words"), i + 1, span), " ").alias("window")))
+    """The places whose fingerprint the benchmark has (``fps``), and the words of their windows."""
+    places = F.transform(winnow(hashes, span, gram), lambda fp, i: F.struct(i.alias("at"), fp.alias("fp")))
+    met = F.filter(places, lambda p: F.array_contains("fps", p["fp"]))
+    words = lambda p: F.array_join(F.slice("words", p["at"] + 1, span), " ")
+    return F.transform(met, lambda p: F.struct(F.lit(span).alias("span"), p["at"].alias("at"), p["fp"].alias("fp"), words(p).alias("window")))
+
+
+def _sent(df: DataFrame, rows: int, size: Column) -> DataFrame:
+    """``df`` to be broadcast, if it has at most so many rows and ``BROADCAST_BYTES`` bytes."""
+    n, b = df.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if n <= rows and (b or 0) <= BROADCAST_BYTES else df
 
 
 def _items(bench: DataFrame, span: int, gram: int, text: str, key: str) -> tuple[DataFrame, list[int]]:
@@ -104,32 +111,39 @@ def contamination(docs: DataFrame, bench: DataFrame, scratch: Scratch, *, text:
     items, lengths = _items(bench, span, gram, item_text, item_key)
     if not lengths:
         return base.select("doc_id", "text_hash", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
-    windows = scratch.save(items.groupBy("span", "fp", "window").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")), "windows")
-    marks = windows.select("span", "fp").distinct()
-    small = windows.count() <= broadcast_rows
-    sent = F.broadcast if small else (lambda x: x)
+    grouped = items.groupBy("span", "fp", "window").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    grouped = scratch.save(grouped.withColumn("item_set", F.md5(F.to_json("items"))), "windows")
+    windows = _sent(grouped.select("span", "fp", "window", "item_set"), broadcast_rows, F.octet_length("window") + 48)
+    item_sets = scratch.save(grouped.groupBy("item_set").agg(F.first("items").alias("items")), "item-sets")
+    item_sets = _sent(item_sets, broadcast_rows, F.octet_length(F.to_json("items")) + 32)
+    marks = _sent(grouped.select("span", "fp").distinct(), broadcast_rows, F.lit(16))
 
     # span 0 marks the row that stands for the document itself; its fp is only there to spread those rows
     own = F.struct(F.lit(0).alias("span"), F.col("text_hash").alias("fp"))
     prints = lambda h: F.concat(F.array(own), *[F.transform(F.array_distinct(winnow(h, n, gram)), _print(n)) for n in lengths])
     reported = base.select("doc_id", "text_hash", let(hashes_of(words_of(F.col("text"))), lambda h: F.struct(F.size(h).alias("n"), prints(h).alias("prints"))).alias("r"))
     exploded = reported.select("doc_id", "text_hash", F.col("r.n").alias("n"), F.inline("r.prints"))
-    met = exploded.join(sent(marks.withColumn("met", F.lit(True))), ["span", "fp"], "left").filter(F.col("met") | (F.col("span") == 0))
+    met = exploded.join(marks.withColumn("met", F.lit(True)), ["span", "fp"], "left").filter(F.col("met") | (F.col("span") == 0))
     per_doc = scratch.save(
-        met.groupBy("doc_id", "text_hash").agg(F.max("n").cast("long").alias("n_words"), F.sum(F.when(F.col("span") == 0, 1).otherwise(0)).alias("rows"), F.max(F.col("span") > 0).alias("candidate")),
+        met.groupBy("doc_id", "text_hash").agg(
+            F.max("n").cast("long").alias("n_words"), F.sum(F.when(F.col("span") == 0, 1).otherwise(0)).alias("rows"), F.collect_set(F.when(F.col("span") > 0, F.col("fp"))).alias("fps")
+        ),
         "reported",
     )
-    # extend: windows of the candidate documents, whole words against whole words
-    cand = per_doc.filter("candidate").select("doc_id", "text_hash")
-    texts = base.join(cand, base.text_hash.eqNullSafe(cand.text_hash) & base.doc_id.eqNullSafe(cand.doc_id), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    worded = texts.select("doc_id", "text_hash", words_of(F.col("text")).alias("words"))
-    found = None
-    for n in lengths:
-        spots = let(hashes_of(F.col("words")), _spotted(n, gram))
-        part = worded.select("doc_id", "text_hash", F.inline(spots)).withColumn("span", F.lit(n))
-        found = part if found is None else found.unionByName(part)
-    hits = found.join(sent(windows), ["span", "fp", "window"]).select("doc_id", "text_hash", "at", "span", "items")
-    per_place = hits.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "span")).alias("places"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    # extend: the candidates' windows at those fingerprints, whole words against whole words
+    cand = per_doc.filter(F.size("fps") > 0).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "fps")
+    cand = _sent(cand, broadcast_rows, F.size("fps") * 8 + 32)
+    texts = base.join(cand, base.text_hash.eqNullSafe(cand.t) & base.doc_id.eqNullSafe(cand.d)).dropDuplicates(["doc_id", "text_hash"])
+    worded = texts.select("doc_id", "text_hash", "fps", words_of(F.col("text")).alias("words"))
+    spots = let(hashes_of(F.col("words")), lambda h: F.concat(*[_spots(h, n, gram) for n in lengths]))
+    found = worded.select("doc_id", "text_hash", F.inline(spots))
+    hits = found.join(windows, ["span", "fp", "window"]).groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.struct("at", "span")).alias("places"), F.collect_set("item_set").alias("item_sets")
+    )
+    hits = scratch.save(hits, "hits")
+    named = hits.select("doc_id", "text_hash", F.explode("item_sets").alias("item_set")).join(item_sets, "item_set")
+    named = named.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    per_place = hits.join(named, hits.text_hash.eqNullSafe(named.t) & hits.doc_id.eqNullSafe(named.d)).drop("d", "t")
     reach = F.aggregate(
         F.sort_array("places"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
         lambda acc, p: F.struct((acc["n"] + F.greatest(p["at"] + p["span"] - F.greatest(acc["end"], p["at"]), F.lit(0))).alias("n"), F.greatest(acc["end"], p["at"] + p["span"]).alias("end")),
