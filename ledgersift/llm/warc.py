@@ -7,14 +7,16 @@ blank lines or digests do not hold.
 
 Writing is split over the executors: each task trains a dictionary from the first records of each archive (at most
 ``sample_records``), writes archives of about ``archive_bytes`` into the shared folder under names that no other attempt uses, and returns
-their names; only archives in that written manifest are read, so a lost or repeated task leaves no record twice.
+their names; only archives in that written manifest are read, so a lost or repeated task leaves no record twice. Tasks write through Arrow's file
+systems; where Arrow does not know the folder's scheme, the same archives are rows ``name, content`` of a table that Spark writes there.
 
 Records with equal payloads: the smallest page_id is the response, the others are revisits, whose block has the
 HTTP headers (with the full length) but no body. The grouping sends one row per payload through the shuffle, and the join back splits hot payloads.
+A record's id is its own, from its archive's name and its place there; the page_id has a header, and a revisit names the page and target that it refers to.
 
-Defined cases: null html is an empty payload and takes part like any other; a row with a null page_id is a response; rows repeated with
-the smallest page_id are all responses; null url leaves the target out; control characters in a url are percent-encoded;
-an empty table makes no archive and no row; extra columns are ignored.
+Defined cases: null html is an empty payload and takes part like any other; a very long page is a record, and may be an archive, of its own; a row with
+a null page_id is a response; rows repeated with the smallest page_id are all responses; null url leaves the target out; control characters in a url are
+percent-encoded; an empty table makes no archive and no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +51,9 @@ LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 MIN_REVISIT_BYTES = 0
 
+#: Schemes of Hadoop's file systems that Arrow knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "file": "file"}
+
 RECORD_FIELDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
@@ -65,7 +70,7 @@ def _clean(url: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None, record_id: str = "single") -> bytes:
     """A whole record, with the blank lines that close it."""
     digest = digest_of(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -73,15 +78,17 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:record:{record_id}>",
         f"WARC-Date: {DATE}",
         *([f"WARC-Target-URI: {_clean(url)}"] if url is not None else []),
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{digest_of(block)}",
-        *([f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers_to is not None else []),
-        "Content-Type: application/http;msgtype=response",
-        f"Content-Length: {len(block)}",
+        *([f"X-Page-ID: {page_id}"] if page_id is not None else []),
     ]
+    if refers_to is not None:
+        lines += [f"X-Refers-To-Page-ID: {refers_to}", f"WARC-Refers-To-Date: {DATE}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To-Target-URI: {_clean(refers_url)}"] if refers_url is not None else []
+    lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -128,9 +135,11 @@ def page_of(headers: dict[str, str], block: bytes) -> tuple:
         raise WarcError("payload length or digest differs")
     if kind == "revisit" and body:
         raise WarcError("a revisit has a payload")
-    page = headers["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
-    refers = headers.get("WARC-Refers-To", "").removeprefix("<urn:page:").removesuffix(">")
-    return None if page == "none" else int(page), headers.get("WARC-Target-URI"), kind, digest, length, int(refers) if refers else None, body if kind == "response" else None
+    page, refers = headers.get("X-Page-ID"), headers.get("X-Refers-To-Page-ID")
+    if (refers is None) != (kind == "response"):
+        raise WarcError("a revisit refers to a page, a response to none")
+    body = body if kind == "response" else None
+    return int(page) if page is not None else None, headers.get("WARC-Target-URI"), kind, digest, length, int(refers) if refers is not None else None, body
 
 
 def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
@@ -183,26 +192,40 @@ def unpack(archive: bytes | memoryview, piece: int = 1 << 16) -> Iterator[bytes]
         yield b"".join(out)
 
 
-def write_archives(pages: DataFrame, folder: str, scratch: Scratch, *, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write ``page_id, url, html, refers_to`` as archives into ``folder``; returns the manifest ``name, records, bytes``."""
+def opened(folder: str) -> tuple[pafs.FileSystem, str] | None:
+    """Arrow's file system of a folder and the path there; none where Arrow cannot open it."""
+    scheme, mark, rest = folder.partition("://")
+    try:
+        return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}" if mark else folder)
+    except (pa.ArrowException, OSError, ImportError):
+        return None
+
+
+def write_archives(pages: DataFrame, folder: str, scratch: Scratch, *, archive_bytes: int = ARCHIVE_BYTES, as_files: bool = True) -> DataFrame:
+    """Write ``page_id, url, html, refers_to, refers_url`` as archives into ``folder``; returns the manifest ``name, records, bytes``.
+
+    Without ``as_files`` the archives are in the manifest too, as ``content``.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = pafs.FileSystem.from_uri(folder)
-        files.create_dir(root, recursive=True)
+        files, root = opened(folder) if as_files else (None, "")
+        if files:
+            files.create_dir(root, recursive=True)
         task = TaskContext.get()
         held: list[bytes] = []
         size = turn = 0
+        name = lambda: f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{turn:05d}"
 
         def flush() -> pa.RecordBatch:
-            name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{turn:05d}.warc.zst"
-            body = pack(held)
-            with files.open_output_stream(f"{root}/{name}", compression=None) as out:
-                out.write(body)
-            return pa.record_batch([[name], [len(held)], [len(body)]], names=["name", "records", "bytes"])
+            body, file = pack(held), f"{name()}.warc.zst"
+            if files:
+                with files.open_output_stream(f"{root}/{file}", compression=None) as out:
+                    out.write(body)
+            return pa.record_batch([[file], [len(held)], [len(body)], pa.array([None if files else body], pa.binary())], names=["name", "records", "bytes", "content"])
 
         for batch in batches:
-            for page, url, html, refers in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                record = make_record(page.as_py(), url.as_py(), (html.as_py() or "").encode(), refers.as_py())
+            for page, url, html, refers, target in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to", "refers_url")), strict=True):
+                record = make_record(page.as_py(), url.as_py(), (html.as_py() or "").encode(), refers.as_py(), target.as_py(), f"{name()}-{len(held)}")
                 held.append(record)
                 size += len(record)
                 if size >= archive_bytes:
@@ -211,15 +234,17 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, *, archive_b
         if held:
             yield flush()
 
-    return scratch.save(pages.select("page_id", "url", "html", "refers_to").mapInArrow(tidy(work), "name string, records long, bytes long"), "manifest")
+    made = pages.select("page_id", "url", "html", "refers_to", "refers_url").mapInArrow(tidy(work), "name string, records long, bytes long, content binary")
+    return scratch.save(made.drop("content") if as_files else made, "manifest")
 
 
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
-    """Every record of the archives in ``folder`` (those in the manifest, if there is one), with the fields of `RECORD_FIELDS`."""
+    """Every record of the archives in ``folder`` (those in the manifest, if there is one, and from it if it has them), with the fields of `RECORD_FIELDS`."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in RECORD_FIELDS.split(", ")]
         types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        packed = lambda rows: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         for batch in batches:
             for content in batch.column("content"):
                 rows, size = [], 0
@@ -229,11 +254,13 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None =
                         rows.append(page_of(headers, block))
                         size += len(raw)
                     if size > 4 << 20:
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                        yield packed(rows)
                         rows, size = [], 0
                 if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    yield packed(rows)
 
+    if manifest is not None and "content" in manifest.columns:
+        return manifest.select("content").mapInArrow(tidy(work), RECORD_FIELDS)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
     if manifest is not None:
         files = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(manifest.select("name"), "name", "left_semi")
@@ -247,11 +274,12 @@ def archive_pages(pages: DataFrame, scratch: Scratch, *, key: str = "page_id", u
     keyed = rows.withColumns({"sha": F.sha1(F.encode("html", "UTF-8")), "length": F.octet_length("html"), "other": F.xxhash64("html")})
     keys = ["sha", "length", "other"]
     total = pages.count()
-    groups = keyed.groupBy(*keys).agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).filter((F.col("copies") > 1) & (F.col("length") >= min_bytes))
+    groups = keyed.groupBy(*keys).agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("copies")).filter((F.col("copies") > 1) & (F.col("length") >= min_bytes))
     known = join_per_key(keyed, scratch.save(groups, "groups"), keys, "copies", total)
-    refers = F.when(F.col("page_id") > F.col("first_id"), F.col("first_id"))
+    later = F.col("page_id") > F.col("first.page_id")
     folder = scratch.path("archives")
-    manifest = write_archives(known.select("page_id", "url", "html", refers.alias("refers_to")), folder, scratch)
+    marked = known.select("page_id", "url", "html", F.when(later, F.col("first.page_id")).alias("refers_to"), F.when(later, F.col("first.url")).alias("refers_url"))
+    manifest = write_archives(marked, folder, scratch, as_files=opened(folder) is not None)
     if manifest.isEmpty():
         return spark.createDataFrame([], RECORD_FIELDS)
     return read_archives(spark, folder, manifest)
