@@ -21,12 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgersift.llm.sizes import BROADCAST_ROWS, sent
 from ledgersift.scratch import Scratch
 
 SPAN = 10
 GRAM = 6
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -82,12 +81,6 @@ def _spots(hashes: Column, span: int, gram: int) -> Column:
     return F.transform(met, lambda p: F.struct(F.lit(span).alias("span"), p["at"].alias("at"), p["fp"].alias("fp"), words(p).alias("window")))
 
 
-def _sent(df: DataFrame, rows: int, size: Column) -> DataFrame:
-    """``df`` to be broadcast, if it has at most so many rows and ``BROADCAST_BYTES`` bytes."""
-    n, b = df.agg(F.count("*"), F.sum(size)).first()
-    return F.broadcast(df) if n <= rows and (b or 0) <= BROADCAST_BYTES else df
-
-
 def _items(bench: DataFrame, span: int, gram: int, text: str, key: str) -> tuple[DataFrame, list[int]]:
     """Windows of the benchmark: (span, fp, window, item_id); and the lengths of windows that occur."""
     words = bench.select(F.col(key).alias("item_id"), words_of(F.col(text)).alias("words")).filter(F.size("words") > 0)
@@ -113,10 +106,10 @@ def contamination(docs: DataFrame, bench: DataFrame, scratch: Scratch, *, text:
         return base.select("doc_id", "text_hash", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
     grouped = items.groupBy("span", "fp", "window").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     grouped = scratch.save(grouped.withColumn("item_set", F.md5(F.to_json("items"))), "windows")
-    windows = _sent(grouped.select("span", "fp", "window", "item_set"), broadcast_rows, F.octet_length("window") + 48)
+    windows = sent(grouped.select("span", "fp", "window", "item_set"), F.octet_length("window") + 48, broadcast_rows)
     item_sets = scratch.save(grouped.groupBy("item_set").agg(F.first("items").alias("items")), "item-sets")
-    item_sets = _sent(item_sets, broadcast_rows, F.octet_length(F.to_json("items")) + 32)
-    marks = _sent(grouped.select("span", "fp").distinct(), broadcast_rows, F.lit(16))
+    item_sets = sent(item_sets, F.octet_length(F.to_json("items")) + 32, broadcast_rows)
+    marks = sent(grouped.select("span", "fp").distinct(), F.lit(16), broadcast_rows)
 
     # span 0 marks the row that stands for the document itself; its fp is only there to spread those rows
     own = F.struct(F.lit(0).alias("span"), F.col("text_hash").alias("fp"))
@@ -132,7 +125,7 @@ def contamination(docs: DataFrame, bench: DataFrame, scratch: Scratch, *, text:
     )
     # extend: the candidates' windows at those fingerprints, whole words against whole words
     cand = per_doc.filter(F.size("fps") > 0).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "fps")
-    cand = _sent(cand, broadcast_rows, F.size("fps") * 8 + 32)
+    cand = sent(cand, F.size("fps") * 8 + 32, broadcast_rows)
     texts = base.join(cand, base.text_hash.eqNullSafe(cand.t) & base.doc_id.eqNullSafe(cand.d)).dropDuplicates(["doc_id", "text_hash"])
     worded = texts.select("doc_id", "text_hash", "fps", words_of(F.col("text")).alias("words"))
     spots = let(hashes_of(F.col("words")), lambda h: F.concat(*[_spots(h, n, gram) for n in lengths]))
