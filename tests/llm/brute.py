@@ -193,3 +193,41 @@ def quality(model, text):
     codes = {zlib.crc32(w.encode()) % 2**18 for w in names} | {zlib.crc32(w[:k].encode(), 1) % 2**18 for w in names for k in (4, 5, 6, 7) if len(w) > k}
     total = sum(float(model.weights[c]) for c in codes)
     return [1 / (1 + math.exp(float(t) - total)) for t in model.thresholds]
+
+
+def near_copies(texts, size=5, part=4, whole=5):
+    """For each text the number of its component: texts of Jaccard similarity part / whole or more over word shingles are linked."""
+    sets, by = [], defaultdict(list)
+    for i, text in enumerate(texts):
+        words = PLAIN.findall(lower(text))
+        sets.append({tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))})
+        for gram in sets[-1]:
+            by[gram].append(i)
+    shared = Counter((i, j) for group in by.values() for a, i in enumerate(group) for j in group[a + 1 :])
+    label = list(range(len(texts)))
+    for (i, j), n in shared.items():
+        if whole * n >= part * (len(sets[i]) + len(sets[j]) - n) and label[i] != label[j]:
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if k == old else k for k in label]
+    return label
+
+
+def one_of_each(rows):
+    """Of (doc_id, text, ...) rows the one that stays of each component: least id (null last); the text decides among equals."""
+    out = {}
+    for row, k in zip(rows, near_copies([r[1] for r in rows]), strict=True):
+        if k not in out or (row[0] is None, row[0] or 0) < (out[k][0] is None, out[k][0] or 0):
+            out[k] = row
+    return list(out.values())
+
+
+def mix(rows, weights=(5, 2, 1)):
+    """(doc_id, text, lang, source, ...) rows as often as the mix takes them."""
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += len(PLAIN.findall(r[1] or ""))
+    goal, out = targets(sizes, weights), []
+    for r in rows:
+        rate = goal[r[3]] / sizes[r[3]] if sizes[r[3]] else 0.0
+        out += [r] * (math.floor(rate) + (draw(r[0], r[1]) < rate - math.floor(rate)))
+    return out
