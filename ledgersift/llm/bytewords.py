@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -50,6 +51,16 @@ def flat(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int = _STEP) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``size`` bytes of text each, so that the arrays over their words stay small."""
+    _, offsets = flat(batch.column(column))
+    a, rows = 0, batch.num_rows
+    while a < rows:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+, and for each row the index of its first word (one more at the end)."""
     n = len(data)
