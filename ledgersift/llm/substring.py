@@ -11,7 +11,7 @@ compared by 128 bits of BLAKE2b over their words, so what is removed does not re
 
 Shape of the job: rows are dealt into blocks of bounded bytes by a hash of the row. Each block reports each of its
 distinct hashes once (with a flag if it has it twice), packed into one binary per hash range; ranges compare the
-blocks' reports and answer with the hashes that recur. So a passage in a third of all rows costs one entry per
+blocks' reports and answer with a bit for each hash of a report. So a passage in a third of all rows costs one entry per
 block, no group of copies ever meets in one task, and pairs are never formed.
 
 Defined cases: a null or empty text has no words, nothing is removed and the kept text is empty; texts under W words
@@ -40,7 +40,7 @@ _ANCHOR_SEED = 0x51
 #: Numbers of 64 bits in an anchor's hash and in a window's.
 _ONE, _TWO = 1, 2
 _REPORT = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("twice", pa.binary())])
-_ANSWER = pa.schema([("block", pa.int64()), ("hashes", pa.binary())])
+_ANSWER = pa.schema([("block", pa.int64()), ("range", pa.int64()), ("bits", pa.binary())])
 _ROW = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())]
 
 
@@ -72,49 +72,51 @@ def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number, np.bincount(number)
 
 
-def _report(block: int, found: np.ndarray, ranges: int) -> pa.Table:
-    """The block's distinct hashes, packed by range."""
+def _dealt(found: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes by range, whether each occurs twice, its range, and where each of ``found`` is among them: the same for the same set of hashes."""
     number, counts = _numbered(found)
     once = np.zeros(len(counts), dtype=np.int64)
     once[number] = np.arange(len(number))
-    hashes, twice = found[once], (counts > 1).astype(np.uint8)
-    which = (bw.mix(hashes[:, 0] ^ np.uint64(0x5DEECE66D)) % np.uint64(ranges)).astype(np.int64)
+    which = (bw.mix(found[once, 0] ^ np.uint64(0x5DEECE66D)) % np.uint64(ranges)).astype(np.int64)
     order = np.argsort(which, kind="stable")
-    hashes, twice, which = hashes[order], twice[order], which[order]
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return found[once][order], counts[order] > 1, which[order], place[number]
+
+
+def _report(block: int, found: np.ndarray, ranges: int) -> pa.Table:
+    """The block's distinct hashes, packed by range, with a bit for those that it has twice."""
+    hashes, twice, which, _ = _dealt(found, ranges)
     begins = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else np.zeros(0, np.int64)
     stops = np.r_[begins[1:], len(which)] if len(which) else begins
-    pieces = [(int(which[a]), block, hashes[a:b].tobytes(), twice[a:b].tobytes()) for a, b in zip(begins.tolist(), stops.tolist(), strict=True)]
+    pieces = [(int(which[a]), block, hashes[a:b].tobytes(), np.packbits(twice[a:b]).tobytes()) for a, b in zip(begins.tolist(), stops.tolist(), strict=True)]
     return pa.table([list(c) for c in zip(*pieces, strict=True)] or [[]] * 4, schema=_REPORT)
 
 
-def _unpacked(packs: list[bytes], width: int) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64).reshape(-1, width) for x in packs]
-
-
 def _recurring(width: int):
-    """Of one range: for each block, those of its hashes that occur twice in all."""
+    """Of one range: for each block, a bit for each hash of its report, set if it occurs twice in all."""
 
     def answer(reports: pa.Table) -> pa.Table:
-        hashes = _unpacked(reports["hashes"].to_pylist(), width)
-        twice = np.frombuffer(b"".join(reports["twice"].to_pylist()), np.uint8)
+        hashes = [np.frombuffer(x, np.uint64).reshape(-1, width) for x in reports["hashes"].to_pylist()]
+        twice = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(h)) for t, h in zip(reports["twice"].to_pylist(), hashes, strict=True)]
         number, counts = _numbered(np.concatenate(hashes))
-        again = (counts > 1) | (np.bincount(number, twice) > 0)
+        again = (counts > 1) | (np.bincount(number, np.concatenate(twice)) > 0)
         marks = np.split(again[number], np.cumsum([len(x) for x in hashes])[:-1])
-        answers = [(b, h[m].tobytes()) for b, h, m in zip(reports["block"].to_pylist(), hashes, marks, strict=True) if m.any()]
-        return pa.table([[b for b, _ in answers], [h for _, h in answers]], schema=_ANSWER)
+        named = zip(reports["block"].to_pylist(), reports["range"].to_pylist(), marks, strict=True)
+        answers = [(block, number, np.packbits(m).tobytes()) for block, number, m in named if m.any()]
+        return pa.table([list(c) for c in zip(*answers, strict=True)] or [[]] * 3, schema=_ANSWER)
 
     return answer
 
 
-def _isin(values: np.ndarray, answers: pa.Table) -> np.ndarray:
-    """Which of the hashes are among the block's answers."""
-    known = np.concatenate([np.zeros((0, values.shape[1]), np.uint64), *_unpacked(answers["hashes"].to_pylist(), values.shape[1])])
-    if not len(known) or not len(values):
-        return np.zeros(len(values), dtype=bool)
-    number, counts = _numbered(np.concatenate([known, values]))
-    found = np.zeros(len(counts), dtype=bool)
-    found[number[: len(known)]] = True
-    return found[number[len(known) :]]
+def _answered(found: np.ndarray, answers: pa.Table, ranges: int) -> np.ndarray:
+    """Which of the block's hashes occur twice in all, from the answers to its report."""
+    hashes, _, which, place = _dealt(found, ranges)
+    again = np.zeros(len(hashes), dtype=bool)
+    for number, bits in zip(answers["range"].to_pylist(), answers["bits"].to_pylist(), strict=True):
+        a, b = np.searchsorted(which, [number, number + 1])
+        again[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
+    return again[place]
 
 
 def _kept(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> str:
@@ -158,7 +160,7 @@ def strip_repeats(docs: DataFrame, scratch: Scratch, *, text: str = "text", key:
         if not table.num_rows:
             return schema.empty_table()
         data, starts, ends, first, at, runs = _anchors(table["text"])
-        at[at] = _isin(runs, answers)
+        at[at] = _answered(runs, answers, blocks)
         candidate = bw.covered(at, PERIOD - 1, 0) & bw.runs_inside(first, len(starts), WINDOW)
         report = _report(table["block"][0].as_py(), bw.window_digests(data, starts, ends, np.flatnonzero(candidate), WINDOW), blocks)
         held = np.add.reduceat(np.r_[candidate, False].astype(np.int64), first[:-1]) > 0
@@ -179,13 +181,13 @@ def strip_repeats(docs: DataFrame, scratch: Scratch, *, text: str = "text", key:
         starts, ends, first = bw.word_bounds(data, offsets)
         packed = zip(table["places"].to_pylist(), np.diff(first).tolist(), strict=True)
         twice = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8), count=n) for p, n in packed]).astype(bool)
-        twice[twice] = _isin(bw.window_digests(data, starts, ends, np.flatnonzero(twice), WINDOW), answers)
+        twice[twice] = _answered(bw.window_digests(data, starts, ends, np.flatnonzero(twice), WINDOW), answers, blocks)
         gone = bw.covered(twice, 0, WINDOW - 1)
         result = _finish(table["doc_id"].to_pylist(), table["text"], gone, (data, starts, ends, first))
         return pa.table([pa.array(c, t) for c, (_, t) in zip(result, _ROW, strict=True)], names=[n for n, _ in _ROW])
 
     report = "range long, block long, hashes binary, twice binary"
-    answer = "block long, hashes binary"
+    answer = "block long, range long, bits binary"
     row = "doc_id long, n_words long, n_removed long, kept_text string"
     by_block = dealt.groupBy("block")
     anchored = by_block.applyInArrow(anchors, report).groupBy("range").applyInArrow(_recurring(_ONE), answer)
