@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from itertools import combinations
+from math import exp, factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgersift.config import LABEL, SchemaError
 from ledgersift.functions.scalars import psi_reading
 from ledgersift.scratch import Scratch
-from ledgersift.skew import running_totals
+from ledgersift.skew import exact_quantiles, join_per_key, running_totals
 
 GROUP = ["window", "scorer"]
 
@@ -51,46 +52,98 @@ def pr_table(scores: DataFrame) -> DataFrame:
     return average_precision(scores).join(base, GROUP).withColumn("lift", F.try_divide("average_precision", "base_rate"))
 
 
-def weighted_average_precision(labels: np.ndarray, scores: np.ndarray) -> float:
-    """Average precision of arrays, ties as one threshold; NaN without positives."""
-    if not labels.sum():
-        return float("nan")
-    order = np.argsort(-scores, kind="stable")
-    y, s = labels[order], scores[order]
-    last = np.r_[np.flatnonzero(np.diff(s)), len(s) - 1]
-    caught = np.cumsum(y)[last]
-    return float((np.diff(np.r_[0, caught]) * caught / (last + 1)).sum() / caught[-1])
+#: Rows of a window and scorer that one task weighs for all draws.
+BLOCK_ROWS = 100_000
+#: The chances of a Poisson number of mean 1 being at most 0, 1, 2, ...; beyond the last it would be 13 or more.
+POISSON = tuple(sum(exp(-1) / factorial(j) for j in range(k + 1)) for k in range(13))
 
+_ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
-def bootstrap_draws(matrix: DataFrame, scorers: Sequence[str], resamples: int, seed: int) -> DataFrame:
+
+def resample_weights(accounts: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """How often each account (row) is in each draw (column): Poisson numbers of mean 1, hashed from seed, account and draw alone."""
+    first, second, third = (np.uint64(c) for c in _ODD)
+    with np.errstate(over="ignore"):
+        x = accounts.astype(np.int64).view(np.uint64)[:, None] * first + (draws.astype(np.uint64) + np.uint64(seed) * np.uint64(1 << 32))[None, :]
+        for shift, factor in ((30, second), (27, third), (31, first), (29, second)):
+            x = (x ^ (x >> np.uint64(shift))) * factor
+    return np.searchsorted(POISSON, (x >> np.uint64(11)) * 2.0**-53, side="right").astype(np.uint8)
+
+
+def _weighed(frame: pa.Table, draws: int, seed: int, step: int = 2_000_000) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """For some draws at a time: rows and mules in them at each distinct score, from the highest."""
+    score, label, account = (frame[c].to_numpy() for c in ("score", "label", "account"))
+    order = np.lexsort((account, -score))
+    score, label, account = score[order], label[order].astype(bool), account[order]
+    begins = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+    wide = max(1, step // len(score))
+    for at in range(0, draws, wide):
+        w = resample_weights(account, np.arange(at, min(at + wide, draws)), seed).astype(np.int64)
+        yield slice(at, at + w.shape[1]), np.add.reduceat(w, begins, axis=0), np.add.reduceat(w * label[:, None], begins, axis=0)
+
+
+def bootstrap_draws(matrix: DataFrame, scorers: Sequence[str], resamples: int, seed: int, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``window, draw, scorer, average_precision``: accounts resampled with replacement, the same draw for all scorers.
 
-    Draws are spread over the executors; each has its own generator from (seed, draw), so results do not depend on the partitioning. What is sent along
-    is the scored population (a few doubles an account); its size is checked, and a population beyond ``2**25`` rows is refused.
+    An account's weight in a draw is a Poisson number of mean 1 from a hash (the bootstrap for data in many parts), so no task needs the population:
+    rows are cut into blocks along the score, a block sums its weights for all draws, the sums of the blocks above it come back, and the block adds up its
+    part of the average precision. A score that more than ``block_rows`` rows share is a block of its own, summed in parts.
     """
     if resamples < 1:
         raise SchemaError("at least one resample is needed")
-    n = matrix.count()
-    if n > 1 << 25:
-        raise SchemaError(f"{n} rows are too many to send to every task")
-    spark = matrix.sparkSession
-    pdf = matrix.select("window", "account", LABEL, *scorers).orderBy("window", "account").toPandas()
-    frames = {w: (g[LABEL].to_numpy(), g[list(scorers)].to_numpy(dtype=float)) for w, g in pdf.groupby("window")}
-    sent = spark.sparkContext.broadcast(frames)
-    names = list(scorers)
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for number in batch["id"]:
-                for window, (y, s) in sent.value.items():
-                    pick = np.random.default_rng([seed, int(number)]).integers(0, len(y), len(y))
-                    rows += [(window, int(number), name, weighted_average_precision(y[pick], s[pick, j])) for j, name in enumerate(names)]
-            yield pd.DataFrame(rows, columns=["window", "draw", "scorer", "average_precision"])
-
-    parts = max(1, min(resamples, spark.sparkContext.defaultParallelism * 2))
-    out = spark.range(0, resamples, 1, parts).mapInPandas(draw, "window string, draw long, scorer string, average_precision double")
-    return out.withColumn("average_precision", F.nanvl("average_precision", F.lit(None).cast("double")))
+    scratch = Scratch(matrix.sparkSession, "bootstrap")
+    long = scratch.save(stacked(matrix, scorers).select(*GROUP, "account", F.col(LABEL).cast("int").alias("label"), "score"), "rows")
+    counts = long.groupBy(*GROUP, "score").agg(F.count("*").alias("n"))
+    run = running_totals(counts, GROUP, F.desc("score"), {"above": "n"}, scratch, "scores")
+    per_score = run.select(*GROUP, "score", "n", F.floor((F.col("above") - F.col("n")) / block_rows).alias("block"), (F.col("n") > block_rows).cast("int").alias("one_score"))
+    laid = join_per_key(long, scratch.save(per_score, "blocks"), [*GROUP, "score"], "n", long.count())
+    part = F.when(F.col("one_score") == 1, F.pmod(F.xxhash64("account"), F.lit(64))).otherwise(0)
+    laid = scratch.save(laid.withColumn("part", part.cast("int")), "laid")
+    block = [*GROUP, "block", "one_score"]
+
+    def sums(table: pa.Table) -> pa.Table:
+        rows, mules = np.zeros(resamples), np.zeros(resamples)
+        for at, n, hits in _weighed(table, resamples, seed):
+            rows[at], mules[at] = n.sum(axis=0), hits.sum(axis=0)
+        return _one(table, [*block, "part"]).append_column("rows", pa.array([rows.tobytes()], pa.binary())).append_column("mules", pa.array([mules.tobytes()], pa.binary()))
+
+    def offsets(table: pa.Table) -> pa.Table:
+        """Of one window and scorer: for each block what lies above it, the mules in all, and the part of single scores."""
+        table = table.sort_by([("block", "ascending"), ("one_score", "ascending")])
+        keys = list(zip(table["block"].to_pylist(), table["one_score"].to_pylist(), strict=True))
+        begins = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+        rows, mules = (np.add.reduceat([np.frombuffer(x) for x in table[c].to_pylist()], begins, axis=0) for c in ("rows", "mules"))
+        above, caught = np.cumsum(rows, axis=0) - rows, np.cumsum(mules, axis=0) - mules
+        own = mules * np.divide(caught + mules, above + rows, out=np.zeros_like(rows), where=above + rows > 0)
+        total = mules.sum(axis=0).tobytes()
+        out = [_one(table.slice(b, 1), block) for b in begins]
+        packed = [("above", above), ("caught", caught), ("own", own)]
+        made = pa.concat_tables(out)
+        for name, values in packed:
+            made = made.append_column(name, pa.array([v.tobytes() for v in values], pa.binary()))
+        return made.append_column("total", pa.array([total] * len(begins), pa.binary()))
+
+    def shares(table: pa.Table, known: pa.Table) -> pa.Table:
+        """The block's part of each draw's average precision, a row per draw."""
+        above, caught, own, total = (np.frombuffer(known[c][0].as_py()) for c in ("above", "caught", "own", "total"))
+        part = own.copy() if known["one_score"][0].as_py() else np.zeros(resamples)
+        if table.num_rows and not known["one_score"][0].as_py():
+            for at, n, hits in _weighed(table, resamples, seed):
+                reach, found = np.cumsum(n, axis=0) + above[at], np.cumsum(hits, axis=0) + caught[at]
+                part[at] = (hits * np.divide(found, reach, out=np.zeros(reach.shape), where=reach > 0)).sum(axis=0)
+        columns = [pa.array([known[c][0].as_py()] * resamples) for c in GROUP]
+        return pa.table([*columns, pa.array(np.arange(resamples)), pa.array(part), pa.array(total)], names=[*GROUP, "draw", "part", "total"])
+
+    named = "window string, scorer string, block long, one_score int"
+    summed = laid.groupBy(*block, "part").applyInArrow(sums, f"{named}, part int, rows binary, mules binary")
+    known = scratch.save(summed.groupBy(*GROUP).applyInArrow(offsets, f"{named}, above binary, caught binary, own binary, total binary"), "offsets")
+    plain = laid.filter("one_score = 0")
+    made = plain.groupBy(*block).cogroup(known.groupBy(*block)).applyInArrow(shares, "window string, scorer string, draw long, part double, total double")
+    return made.groupBy("window", "draw", "scorer").agg(F.try_divide(F.sum("part"), F.max("total")).alias("average_precision"))
+
+
+def _one(table: pa.Table, names: Sequence[str]) -> pa.Table:
+    return table.select(list(names)).slice(0, 1)
 
 
 def summarise_draws(draws: DataFrame, scores: DataFrame) -> DataFrame:
@@ -118,8 +171,9 @@ def quantile_edges(values: DataFrame, bins: int) -> DataFrame:
     """``feature, edges``: inner edges at the reference's quantiles (linear, repeats kept); the outer ones are infinite."""
     if bins < 2:
         raise SchemaError("at least two bins are needed")
-    inner = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    return values.filter("side = 'reference' and value is not null").groupBy("feature").agg(F.percentile("value", inner).alias("edges"))
+    inner, reference = [i / bins for i in range(1, bins)], values.filter("side = 'reference'")
+    found = exact_quantiles(reference, ["feature"], "value", inner, Scratch(values.sparkSession, "edges"), "values")
+    return found.withColumnRenamed("quantiles", "edges")
 
 
 def drift_table(values: DataFrame, *, bins: int, epsilon: float) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgersift.config import LABEL, LogisticSpec, RulesBaseline, SchemaError, TreeSpec
 from ledgersift.operators.evaluation import average_precision, stacked
 from ledgersift.scratch import Scratch
-from ledgersift.skew import running_totals
+from ledgersift.skew import exact_quantiles, running_totals
 
 #: The feature matrix's columns, in order.
 FEATURES = (
@@ -61,16 +61,24 @@ def log1p_features(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
     return matrix.withColumns({c: F.log1p(c) for c in columns})
 
 
+def _cuts(matrix: DataFrame, named: dict[str, tuple[str, float]]) -> DataFrame:
+    """``window`` and, under each name, the exact quantile of a column over its window's defined values: a row per window."""
+    columns, shares = sorted({c for c, _ in named.values()}), sorted({p for _, p in named.values()})
+    values = matrix.select("window", *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["window"], columns, "feature", "value")
+    found = exact_quantiles(values, ["window", "feature"], "value", shares, Scratch(matrix.sparkSession, "cuts"), "values")
+    return found.groupBy("window").agg(*[F.max(F.when(F.col("feature") == c, F.col("quantiles")[shares.index(p)])).alias(n) for n, (c, p) in named.items()])
+
+
 def rules_flag(matrix: DataFrame, rules: RulesBaseline) -> DataFrame:
     """``rules_flag``: in-degree over its window's percentile and pass-through over a floor; undefined is never flagged."""
-    cuts = matrix.groupBy("window").agg(F.percentile("in_degree", rules.in_degree_percentile).alias("__cut"))
+    cuts = _cuts(matrix, {"__cut": ("in_degree", rules.in_degree_percentile)})
     flag = (F.col("in_degree") > F.col("__cut")) & F.coalesce(F.col("pass_through_ratio") > rules.pass_through_ratio_min, F.lit(False))
     return matrix.join(F.broadcast(cuts), "window").withColumn("rules_flag", flag).drop("__cut")  # a row per window
 
 
 def matched_rules_flag(matrix: DataFrame, percentile: float) -> DataFrame:
     """``matched_rules_flag``: both conditions cut at one percentile, the ratio's over its defined values."""
-    cuts = matrix.groupBy("window").agg(F.percentile("in_degree", percentile).alias("__a"), F.percentile("pass_through_ratio", percentile).alias("__b"))
+    cuts = _cuts(matrix, {"__a": ("in_degree", percentile), "__b": ("pass_through_ratio", percentile)})
     flag = (F.col("in_degree") > F.col("__a")) & F.coalesce(F.col("pass_through_ratio") > F.col("__b"), F.lit(False))
     return matrix.join(F.broadcast(cuts), "window").withColumn("matched_rules_flag", flag).drop("__a", "__b")
 
@@ -105,7 +113,7 @@ def flag_summary(matrix: DataFrame, flag: str) -> DataFrame:
 
 def rules_diagnostics(matrix: DataFrame, rules: RulesBaseline) -> DataFrame:
     """Per window: how far each condition of the rule goes alone and together, the in-degree cut, and the ratio's 99th percentile."""
-    cuts = matrix.groupBy("window").agg(F.percentile("in_degree", rules.in_degree_percentile).alias("in_degree_cut"), F.percentile("pass_through_ratio", 0.99).alias("ratio_p99"))
+    cuts = _cuts(matrix, {"in_degree_cut": ("in_degree", rules.in_degree_percentile), "ratio_p99": ("pass_through_ratio", 0.99)})
     busy, passing = F.col("in_degree") > F.col("in_degree_cut"), F.coalesce(F.col("pass_through_ratio") > rules.pass_through_ratio_min, F.lit(False))
     return matrix.join(F.broadcast(cuts), "window").groupBy("window").agg(
         F.first("in_degree_cut").alias("in_degree_cut"), F.first("ratio_p99").alias("ratio_p99"), F.count_if(busy).alias("busy"), F.count_if(passing).alias("passing"),
@@ -113,12 +121,13 @@ def rules_diagnostics(matrix: DataFrame, rules: RulesBaseline) -> DataFrame:
     )
 
 
-def scale_pos_weight(matrix: DataFrame) -> float:
-    """Clean accounts per mule."""
+def scale_pos_weight(matrix: DataFrame, *, counted: bool = False) -> float | tuple[float, int]:
+    """Clean accounts per mule; with ``counted`` also the accounts."""
     got = matrix.agg(F.count_if(F.col(LABEL) == 1).alias("p"), F.count_if(F.col(LABEL) == 0).alias("n")).first()
     if not got["p"]:
         raise SchemaError("the training window has no mule: nothing to fit")
-    return got["n"] / got["p"]
+    weight = got["n"] / got["p"]
+    return (weight, got["n"] + got["p"]) if counted else weight
 
 
 def population_percentiles(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -147,9 +156,10 @@ class Logistic:
 def fit_logistic(train: DataFrame, spec: LogisticSpec, seed: int = 42) -> Logistic:
     columns = feature_columns(train)
     logged = log1p_features(train, spec.log1p_features)
-    middle = logged.agg(*[F.percentile(c, 0.5).alias(c) for c in columns]).first()
-    medians = {c: float(middle[c]) if middle[c] is not None else 0.0 for c in columns}
-    n, weight = train.count(), scale_pos_weight(train)
+    long = logged.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "value")
+    middle = exact_quantiles(long, ["feature"], "value", [0.5], Scratch(train.sparkSession, "medians"), "values")
+    medians = {c: 0.0 for c in columns} | {r["feature"]: r["quantiles"][0] for r in middle.collect()}  # a row per feature
+    weight, n = scale_pos_weight(train, counted=True)
     positives = n / (1 + weight)
     balanced = F.when(F.col(LABEL) == 1, n / (2 * positives)).otherwise(n / (2 * (n - positives)))
     ready = logged.fillna(medians).withColumns({"__weight": balanced, "__label": F.col(LABEL).cast("double")})

@@ -1,8 +1,8 @@
 """The daily work queue: who is alerted under a budget, what that costs, and how both move with the settings.
 
 A queue is a frame of ``keys..., account, day, score, is_mule, exposure``; keys tell apart windows, scorers, policies or capacities, so
-that all of them go through one plan. Days are worked in order and an account is opened once, so each day's pick depends on those before it: the plan
-composes one selection per day of the label window (a setting), each pruned to the rows that can be picked at all.
+that all of them go through one plan. Days are worked in order and an account is opened once, so each day's pick depends on those before it: each
+day's picks are written, and the next day reads them, so a plan holds one day whatever the number of days.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgersift.config import COST_PARAMETERS, POLICY_HORIZON, Costs, SchemaError, policy_horizon, replace_cost
+from ledgersift.scratch import Scratch
+from ledgersift.skew import exact_quantiles, positions
 
 CANDIDATE_COLUMNS = ("account", "day", "score", "is_mule", "exposure")
 
@@ -64,32 +66,46 @@ def _per_group(queue: DataFrame, keys: Sequence[str]) -> DataFrame:
     return accounts.join(days, list(keys)) if keys else accounts.join(days, how="cross")
 
 
+#: Up to this rank Spark cuts the rows of a group off in each task, before anything is shuffled.
+PRUNED_IN_TASK = 1000
+
+
+def _best(rows: DataFrame, keys: Sequence[str], limit: Column, most: int, scratch: Scratch, table: str) -> DataFrame:
+    """The rows up to the rank ``limit`` (``most`` at most) of their keys, by score, then lowest account, with the rank as ``__r``.
+
+    Small ranks are cut off in each task; for others the rows are ranked over range partitions, so no group meets in one task.
+    """
+    if most <= PRUNED_IN_TASK:
+        rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), F.asc("account"))).cast("long")
+        return rows.withColumn("__r", rank).filter(F.col("__r") <= F.lit(most)).filter(F.col("__r") <= limit)
+    return positions(rows, keys, F.struct(-F.col("score"), F.col("account")), "__r", scratch, table).filter(F.col("__r") <= limit)
+
+
 def select_alerts(queue: DataFrame, volumes: Sequence[int], keys: Sequence[str], n_days: int) -> DataFrame:
     """``k``, keys and the queue's columns of the rows that are alerted, for each daily volume k.
 
     Top k of each day by score, then lowest account, among accounts not opened on an earlier day. On the d-th day only the first d k rows can be picked, since
-    at most (d - 1) k accounts were opened before; they are cut off before anything is shuffled (a rank limit per task).
+    at most (d - 1) k accounts were opened before; the others are cut off first.
     """
     _checked(queue)
     if any(k < 0 for k in volumes):
         raise SchemaError(f"capacity must not be negative: {min(volumes)}")
-    keys = list(keys)
-    order = [F.desc("score"), F.asc("account")]
+    keys, scratch = list(keys), Scratch(queue.sparkSession, "alerts")
     top = max([*volumes, 1])
     starts = queue.groupBy(*keys).agg(F.min("day").alias("__first")) if keys else queue.agg(F.min("day").alias("__first"))
     dated = queue.join(F.broadcast(starts), keys) if keys else queue.join(F.broadcast(starts), how="cross")  # a row per group
     dated = dated.withColumn("__d", F.datediff("day", "__first"))
-    rank = F.row_number().over(W.partitionBy(*keys, "day").orderBy(*order))
-    pruned = dated.withColumn("__r", rank).filter(F.col("__r") <= F.lit(n_days * top)).filter(F.col("__r") <= (F.col("__d") + 1) * top)
+    pruned = _best(dated, [*keys, "day"], (F.col("__d") + 1) * top, n_days * top, scratch, "ranked")
+    pruned = scratch.save(pruned.select(*keys, *CANDIDATE_COLUMNS, "__d", "__r"), "pruned")
     ks = F.array(*[F.lit(int(k)) for k in sorted(set(volumes))])
-    rows = pruned.withColumn("k", F.explode(F.filter(ks, lambda k: F.col("__r") <= (F.col("__d") + 1) * k)))
+    rows = pruned.withColumn("k", F.explode(F.filter(ks, lambda k: F.col("__r") <= (F.col("__d") + 1) * k))).drop("__r")
     picked = None
-    again = F.row_number().over(W.partitionBy(*keys, "k").orderBy(*order))
     for d in range(n_days):
-        today = rows.filter(F.col("__d") == d)
+        today = rows.filter(F.col("__d") == d).drop("__d")
         if picked is not None:
             today = today.join(picked.select(*keys, "k", "account"), [*keys, "k", "account"], "left_anti")
-        today = today.withColumn("__r", again).filter(F.col("__r") <= F.col("k")).select("k", *keys, *CANDIDATE_COLUMNS)
+        today = _best(today, [*keys, "k"], F.col("k"), top, scratch, f"day-{d}-ranked").select("k", *keys, *CANDIDATE_COLUMNS)
+        today = scratch.save(today, f"day-{d}")
         picked = today if picked is None else picked.unionByName(today)
     return picked
 
@@ -204,17 +220,19 @@ def overflow_verdict(table: DataFrame, configured: str) -> DataFrame:
 
 def exposure_concentration(queue: DataFrame, costs: Costs, keys: Sequence[str]) -> DataFrame:
     """Per group: the mules' exposure (total, median, mean, count, shares of the largest and the five largest), break-evens, and the queue's base rate."""
-    once = queue.groupBy(*keys, "account").agg(F.max("is_mule").alias("is_mule"), F.max("exposure").alias("exposure"))
+    scratch = Scratch(queue.sparkSession, "exposure")
+    once = scratch.save(queue.groupBy(*keys, "account").agg(F.max("is_mule").alias("is_mule"), F.max("exposure").alias("exposure")), "once")
     mule = F.col("is_mule") == 1
+    middle = exact_quantiles(once.filter(mule), keys, "exposure", [0.5], scratch, "exposures").select(*keys, F.col("quantiles")[0].alias("median"))
     ranked = once.filter(mule).withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("exposure"), "account"))).filter("__r <= 5")
     top = ranked.groupBy(*keys).agg(F.max("exposure").alias("__one"), F.sum("exposure").alias("__five"))
     per = once.groupBy(*keys).agg(
-        F.sum(F.when(mule, F.col("exposure"))).alias("total"), F.percentile(F.when(mule, F.col("exposure")), 0.5).alias("median"), F.avg(F.when(mule, F.col("exposure"))).alias("mean"),
+        F.sum(F.when(mule, F.col("exposure"))).alias("total"), F.avg(F.when(mule, F.col("exposure"))).alias("mean"),
         F.count_if(mule).alias("count"), F.try_divide(F.count_if(mule).cast("double"), F.count("*")).alias("base_rate"),
     )
     wrong = F.lit(float(costs.cost_investigation_eur + costs.cost_false_freeze_eur))
     need = lambda recovered: F.try_divide(wrong, recovered + float(costs.cost_missed_mule_eur + costs.cost_false_freeze_eur))
-    return per.join(top, list(keys), "left").select(
+    return per.join(top, list(keys), "left").join(middle, list(keys), "left").select(
         *keys, "total", "median", "mean", "count", F.try_divide("__one", "total").alias("top_1_share"), F.try_divide("__five", "total").alias("top_5_share"),
         need(F.lit(0.0)).alias("break_even_none"), need(F.col("median")).alias("break_even_median"), need(F.col("mean")).alias("break_even_mean"), "base_rate",
     ).withColumn("random_alerts_pay_at_mean", F.col("base_rate") > F.col("break_even_mean"))

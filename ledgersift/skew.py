@@ -75,3 +75,26 @@ def running_totals(values: DataFrame, keys: Sequence[str], order: Column, totals
     inner = Window.partitionBy(*keys, part).orderBy(order)
     joined = laid.withColumns({n: F.sum(c).over(inner) for n, c in totals.items()}).join(sums, [*keys, part])
     return joined.withColumns({n: F.col(n) + F.col(f"{n}_before") for n in totals}).drop(part, *[f"{n}_before" for n in totals])
+
+
+def positions(df: DataFrame, keys: Sequence[str], order: Column, name: str, scratch: Scratch, table: str, *, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """``df`` with the 1-based position of each row among those of its keys. ``order`` must tell the rows of a key apart."""
+    one = "__one"
+    return running_totals(df.withColumn(one, F.lit(1).cast("long")), keys, order, {name: one}, scratch, table, window_rows=window_rows).drop(one, f"{name}_all")
+
+
+def exact_quantiles(values: DataFrame, keys: Sequence[str], column: str, shares: Sequence[float], scratch: Scratch, table: str, *, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """``keys, quantiles``: the column's exact quantiles, interpolated linearly between the two nearest ranks; nulls are left out.
+
+    Works on running counts of the distinct values, so no key's values meet in one buffer. Keys without a value have no row.
+    """
+    known = values.filter(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("__v"))
+    counts = known.groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+    run = running_totals(counts, keys, F.col("__v"), {"__upto": "__n"}, scratch, table, window_rows=window_rows)
+    spots = [(F.col("__upto_all") - 1) * F.lit(float(p)) for p in shares]
+    at = lambda rank: F.max(F.when((F.col("__upto") - F.col("__n") <= rank) & (rank < F.col("__upto")), F.col("__v")))
+    found = []
+    for i, spot in enumerate(spots):
+        found += [at(F.floor(spot)).alias(f"__low{i}"), at(F.ceil(spot)).alias(f"__high{i}"), F.max(spot - F.floor(spot)).alias(f"__part{i}")]
+    between = [F.col(f"__low{i}") + (F.col(f"__high{i}") - F.col(f"__low{i}")) * F.col(f"__part{i}") for i in range(len(spots))]
+    return run.groupBy(*keys).agg(*found).select(*keys, F.array(*between).alias("quantiles"))

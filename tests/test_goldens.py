@@ -8,9 +8,11 @@ from collections import defaultdict, deque
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgersift import skew
 from ledgersift.config import Costs, FeatureSpec, RulesBaseline, SchemaError, SplitSpec, UnknownCurrencyError, Window, break_even_precision, build_windows, feasible_hours, load_params, ratio_windows, rehistory, replace_cost
 from ledgersift.operators import briefs, evaluation, flows, graph, population, scoring, worklist
 from ledgersift.plans.features import relational_features
@@ -241,9 +243,23 @@ def test_average_precision(spark):
     labels, scores = [int(rng.random() < 0.3) for _ in range(200)], [rng.randint(0, 20) for _ in range(200)]
     assert evaluation.average_precision(_scores(spark, labels, scores)).first().average_precision == pytest.approx(naive_ap(labels, scores))
     assert evaluation.average_precision(_scores(spark, [0, 0], [1, 2])).first().average_precision is None
-    import numpy as np
 
-    assert evaluation.weighted_average_precision(np.array(labels), np.array(scores, float)) == pytest.approx(naive_ap(labels, scores))
+
+@pytest.mark.parametrize("block_rows", [100_000, 7])
+def test_bootstrap_draws_equal_expanded_samples(spark, block_rows):
+    """Against samples written out account by account; blocks of seven rows, and a score that more rows than that share."""
+    rng = random.Random(6)
+    rows = [(w, i + 100 * (w == "v"), int(rng.random() < 0.3), float(rng.randint(0, 9)), float(rng.choice([0, 0, 0, rng.random()]))) for w in "tv" for i in range(60)]
+    m = spark.createDataFrame(rows, "window string, account long, is_mule int, a double, b double")
+    got = {(r.window, r.scorer, r.draw): r.average_precision for r in evaluation.bootstrap_draws(m, ["a", "b"], 30, 7, block_rows=block_rows).collect()}
+    assert len(got) == 2 * 2 * 30
+    weights = evaluation.resample_weights(np.array([r[1] for r in rows]), np.arange(30), 7)
+    assert abs(weights.mean() - 1) < 0.1 and abs(weights.var() - 1) < 0.2
+    for window in "tv":
+        for draw in range(30):
+            sample = [r for r, w in zip(rows, weights[:, draw], strict=True) if r[0] == window for _ in range(w)]
+            for scorer, at in (("a", 3), ("b", 4)):
+                assert got[window, scorer, draw] == pytest.approx(naive_ap([r[2] for r in sample], [r[at] for r in sample]))
 
 
 def test_bootstrap(spark):
@@ -497,3 +513,70 @@ def test_params(monkeypatch, tmp_path):
     with pytest.raises(SchemaError, match="mapping"):
         load_params(tmp_path / "bad.yaml")
     assert Decimal("1.0") == 1
+
+
+# selection and quantiles at any size
+
+
+def _brute_alerts(rows, k, n_days):
+    """(account, day number, score) -> picked (day, account)."""
+    opened, out = set(), []
+    for d in range(n_days):
+        today = sorted((-s, a) for a, day, s in rows if day == d and a not in opened)[:k]
+        opened |= {a for _, a in today}
+        out += [(d, a) for _, a in today]
+    return sorted(out)
+
+
+def _day_queue(spark, rows):
+    start = datetime(2024, 1, 1)
+    made = [("w", a, start + timedelta(days=d), s, 0, 1.0) for a, d, s in rows]
+    return spark.createDataFrame(made, "window string, account long, day timestamp, score double, is_mule int, exposure double")
+
+
+def test_fourteen_days_keep_the_plan_linear(spark):
+    rng = random.Random(8)
+    rows = [(a, d, float(rng.randint(0, 6))) for d in range(14) for a in rng.sample(range(80), 40)]
+    got = worklist.select_alerts(_day_queue(spark, rows), [3, 5], ["window"], 14)
+    start = datetime(2024, 1, 1)
+    for k in (3, 5):
+        assert sorted(((r.day - start).days, r.account) for r in got.filter(F.col("k") == k).collect()) == _brute_alerts(rows, k, 14)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 14
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_large_volumes_rank_over_range_partitions(spark, monkeypatch, most):
+    rng = random.Random(9)
+    rows = [(a, d, float(rng.randint(0, 50))) for d in range(3) for a in rng.sample(range(400), 300)]
+    monkeypatch.setattr(worklist, "PRUNED_IN_TASK", most)
+    monkeypatch.setattr(skew.running_totals, "__kwdefaults__", {"window_rows": 10})
+    monkeypatch.setattr(skew.positions, "__kwdefaults__", {"window_rows": 10})
+    got = worklist.select_alerts(_day_queue(spark, rows), [0, 20, 250, 20_000], ["window"], 3)
+    start = datetime(2024, 1, 1)
+    for k in (20, 250, 20_000):
+        assert sorted(((r.day - start).days, r.account) for r in got.filter(F.col("k") == k).collect()) == _brute_alerts(rows, k, 3)
+
+
+def test_a_volume_of_twenty_thousand_makes_no_window_over_a_group(spark, monkeypatch):
+    """Beyond the rank that Spark cuts off in each task, and beyond what one window may take, rows are ranked inside range partitions."""
+    monkeypatch.setattr(skew.positions, "__kwdefaults__", {"window_rows": 10})
+    seen = []
+    real = skew.running_totals
+    monkeypatch.setattr(skew, "running_totals", lambda df, keys, *rest, **kw: seen.append((tuple(keys), real(df, keys, *rest, **kw))) or seen[-1][1])
+    rows = [(a + 200 * d, d, float(a % 7)) for d in range(2) for a in range(200)]
+    worklist.select_alerts(_day_queue(spark, rows), [20_000], ["window"], 2)
+    assert len(seen) == 3
+    for _, plan in seen:
+        assert "__part" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("window_rows", [2_000_000, 5])
+def test_exact_quantiles(spark, window_rows):
+    rng = random.Random(10)
+    rows = [(k, rng.choice([None, float(rng.randint(0, 9)), rng.random()])) for k in "ab" for _ in range(101)] + [("c", None), ("d", 4.0)]
+    frame = spark.createDataFrame(rows, "key string, x double")
+    shares = [0.0, 0.05, 0.5, 0.9, 0.99, 1.0]
+    got = {r.key: r.quantiles for r in skew.exact_quantiles(frame, ["key"], "x", shares, Scratch(spark, "t"), "q", window_rows=window_rows).collect()}
+    assert set(got) == {"a", "b", "d"}
+    for key, found in got.items():
+        assert found == pytest.approx(np.quantile([x for k, x in rows if k == key and x is not None], shares).tolist())
