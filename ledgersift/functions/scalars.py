@@ -29,9 +29,16 @@ def asymmetry(a: Column, b: Column) -> Column:
     return share((a - b).cast("double"), (a + b).cast("double"))
 
 
+#: Upper bounds of a population stability index, and the words below them. Fixed values; anything above is a significant shift.
+READINGS = ((0.10, "stable"), (0.25, "moderate shift"))
+
+
 def psi_reading(value: Column) -> Column:
     """Words for a population stability index, by the usual cuts."""
-    return F.when(value.isNull(), F.lit(None).cast("string")).when(value < 0.10, "stable").when(value < 0.25, "moderate shift").otherwise("significant shift")
+    words = F.when(value.isNull(), F.lit(None).cast("string"))
+    for bound, label in READINGS:
+        words = words.when(value < bound, label)
+    return words.otherwise("significant shift")
 
 
 def thousands(value: Column, places: int = 0) -> Column:

@@ -1,6 +1,6 @@
 """The payment graph of the feature window as an edge table: PageRank, degrees, triangles, components.
 
-Iterations are driver loops over tables written to the shared folder (no lineage builds up, no executor holds the only copy);
+Iterations are driver loops (but for small windows' PageRank, which a task runs) over tables written to the shared folder (no lineage builds up, no executor holds the only copy);
 only a few sums an iteration reach the driver.
 """
 
@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +28,53 @@ def nodes(edge_rows: DataFrame) -> DataFrame:
     return edge_rows.select("window", F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
-def pagerank(edge_rows: DataFrame, scratch: Scratch, *, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6, n_iter: int | None = None) -> DataFrame:
+#: A window's edges up to this number (64 MB) are iterated by one task; more are iterated by joins.
+TASK_EDGES = 4_000_000
+
+
+def _iterated(damping: float, max_iter: int, tol: float, n_iter: int | None):
+    """Power iteration on one window's edges in numpy: the steps of `pagerank`, without a job each."""
+
+    def work(table: pa.Table) -> pa.Table:
+        ends, place = np.unique(np.concatenate([table["src"].to_numpy(), table["dst"].to_numpy()]), return_inverse=True)
+        src, dst = place[: table.num_rows], place[table.num_rows :]
+        n = len(ends)
+        out = np.bincount(src, minlength=n)
+        share, dangling, rank = 1 / np.maximum(out, 1), out == 0, np.full(n, 1 / n)
+        for _ in range(n_iter or max_iter):
+            got = np.bincount(dst, (rank * share)[src], minlength=n)
+            value = got * damping + rank[dangling].sum() * damping / n + (1 - damping) / n
+            moved, rank = np.abs(value - rank).sum(), value
+            if n_iter is None and moved < tol:
+                break
+        return pa.table({"window": [table["window"][0].as_py()] * n, "node": ends, "pagerank": rank})
+
+    return work
+
+
+def pagerank(
+    edge_rows: DataFrame, scratch: Scratch, *, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6, n_iter: int | None = None, task_edges: int = TASK_EDGES
+) -> DataFrame:
     """``window, node, pagerank`` by power iteration on the unweighted graph, dangling mass spread evenly.
 
     A window stops once its ranks move by less than ``tol`` in sum (the last step counts); ``n_iter`` fixes the number of steps
-    instead. Contributions are pre-aggregated by target before they are shuffled, so a node with very many payers costs one row a task.
+    instead. Windows of up to ``task_edges`` edges (counted first) are a task each; for larger ones contributions are
+    pre-aggregated by target before they are shuffled, so a node with very many payers costs one row a task.
     """
+    written = scratch.save(edge_rows.select("window", "src", "dst"), "edges")
+    counted = {r["window"]: r["count"] for r in written.groupBy("window").count().collect()}  # a row per window
+    small = [w for w, n in counted.items() if n <= task_edges]
+    parts = []
+    if small or not counted:
+        own = written.filter(F.col("window").isin(small)).groupBy("window").applyInArrow(_iterated(damping, max_iter, tol, n_iter), "window string, node long, pagerank double")
+        parts.append(scratch.save(own, "ranks-in-task"))
+    if len(small) < len(counted):
+        large = written.filter(~F.col("window").isin(small)) if small else written
+        parts.append(_pagerank_by_joins(large, scratch, damping, max_iter, tol, n_iter))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _pagerank_by_joins(edge_rows: DataFrame, scratch: Scratch, damping: float, max_iter: int, tol: float, n_iter: int | None) -> DataFrame:
     degree = edge_rows.groupBy("window", "src").agg(F.count("*").alias("out"))
     links = scratch.save(edge_rows.join(degree, ["window", "src"]), "links")
     sizes = nodes(edge_rows).groupBy("window").agg(F.count("*").alias("n"))  # a row per window

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,14 +51,19 @@ def null_rates(matrix: DataFrame, by: Sequence[str] = ("window",)) -> DataFrame:
     return rates.unpivot(list(by), columns, "feature", "null_rate").filter("null_rate > 0")
 
 
-def log1p_features(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Declared heavy-tailed columns as log(1 + x); null stays null, negative values are refused."""
+def refuse_negative(matrix: DataFrame, columns: Sequence[str]) -> None:
+    """Raise if a column declared heavy-tailed is missing or holds a negative value."""
     if missing := [c for c in columns if c not in matrix.columns]:
         raise SchemaError(f"declared for log1p but not a feature: {missing}")
-    least = matrix.agg(*[F.min(c).alias(c) for c in columns]).first()
+    least = matrix.agg(*[F.min(c).alias(c) for c in columns]).first() if columns else {}
     if negative := [c for c in columns if least[c] is not None and least[c] < 0]:
         raise SchemaError(f"log1p of negative values: {negative}")
-    return matrix.withColumns({c: F.log1p(c) for c in columns})
+
+
+def log1p_features(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Declared heavy-tailed columns as log(1 + x); null stays null, negative values are refused."""
+    refuse_negative(matrix, columns)
+    return matrix.withColumns({c: F.log1p(c) for c in columns}) if columns else matrix
 
 
 def _cuts(matrix: DataFrame, named: dict[str, tuple[str, float]]) -> DataFrame:
@@ -140,17 +145,22 @@ def population_percentiles(matrix: DataFrame, columns: Sequence[str]) -> DataFra
     return wide.select("window", "account", *[F.col(c).alias(f"pct_{c}") for c in columns])
 
 
+@dataclass(frozen=True)
 class Logistic:
-    """Median fill, standardisation and a balanced L2 logistic regression, all fitted on the training window."""
+    """Median fill, standardisation and a balanced L2 logistic regression, all fitted on the training window: per column (median, mean, deviation, weight)."""
 
-    def __init__(self, medians: dict[str, float], model: PipelineModel, spec: LogisticSpec, columns: list[str]):
-        self.medians, self.model, self.spec, self.columns = medians, model, spec, columns
+    terms: dict[str, tuple[float, float, float, float]]
+    intercept: float
+    log1p_features: tuple[str, ...]
 
     def score(self, matrix: DataFrame, out: str = "logistic") -> DataFrame:
-        keep = matrix.columns
-        filled = log1p_features(matrix, self.spec.log1p_features).fillna(self.medians)
-        scored = self.model.transform(filled).select("window", "account", vector_to_array("probability")[1].alias(out))
-        return matrix.join(scored, ["window", "account"]).select(*keep, out)
+        """``matrix`` with the probability of a mule: one expression, no join."""
+        refuse_negative(matrix, self.log1p_features)
+        margin = F.lit(self.intercept)
+        for column, (median, mean, deviation, weight) in self.terms.items():
+            value = F.log1p(column) if column in self.log1p_features else F.col(column).cast("double")
+            margin = margin + (F.coalesce(value, F.lit(median)) - mean) / (deviation or 1.0) * weight
+        return matrix.withColumn(out, 1 / (1 + F.exp(-margin)))
 
 
 def fit_logistic(train: DataFrame, spec: LogisticSpec, seed: int = 42) -> Logistic:
@@ -167,9 +177,13 @@ def fit_logistic(train: DataFrame, spec: LogisticSpec, seed: int = 42) -> Logist
         VectorAssembler(inputCols=columns, outputCol="__raw"),
         StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True, withStd=True),
         # balanced weights sum to n, so the penalty 1/(2 C) on the sum of losses is 1/(C n) on their mean; (n - 1) / n undoes the sample deviation's n - 1
-        LogisticRegression(featuresCol="__scaled", labelCol="__label", weightCol="__weight", regParam=(n - 1) / (spec.C * n * n), elasticNetParam=0.0, standardization=False, maxIter=spec.max_iter, tol=1e-8),
+        LogisticRegression(
+            featuresCol="__scaled", labelCol="__label", weightCol="__weight", regParam=(n - 1) / (spec.C * n * n), elasticNetParam=0.0, standardization=False, maxIter=spec.max_iter, tol=1e-8
+        ),
     ]
-    return Logistic(medians, Pipeline(stages=steps).fit(ready), spec, columns)
+    scaler, fitted = Pipeline(stages=steps).fit(ready).stages[1:]
+    parts = zip(columns, scaler.mean.toArray(), scaler.std.toArray(), fitted.coefficients.toArray(), strict=True)
+    return Logistic({c: (medians[c], float(m), float(d), float(w)) for c, m, d, w in parts}, float(fitted.intercept), tuple(spec.log1p_features))
 
 
 class Trees:

@@ -70,7 +70,7 @@ def _per_group(queue: DataFrame, keys: Sequence[str]) -> DataFrame:
 PRUNED_IN_TASK = 1000
 
 
-def _best(rows: DataFrame, keys: Sequence[str], limit: Column, most: int, scratch: Scratch, table: str) -> DataFrame:
+def best(rows: DataFrame, keys: Sequence[str], limit: Column, most: int, scratch: Scratch, table: str) -> DataFrame:
     """The rows up to the rank ``limit`` (``most`` at most) of their keys, by score, then lowest account, with the rank as ``__r``.
 
     Small ranks are cut off in each task; for others the rows are ranked over range partitions, so no group meets in one task.
@@ -95,7 +95,7 @@ def select_alerts(queue: DataFrame, volumes: Sequence[int], keys: Sequence[str],
     starts = queue.groupBy(*keys).agg(F.min("day").alias("__first")) if keys else queue.agg(F.min("day").alias("__first"))
     dated = queue.join(F.broadcast(starts), keys) if keys else queue.join(F.broadcast(starts), how="cross")  # a row per group
     dated = dated.withColumn("__d", F.datediff("day", "__first"))
-    pruned = _best(dated, [*keys, "day"], (F.col("__d") + 1) * top, n_days * top, scratch, "ranked")
+    pruned = best(dated, [*keys, "day"], (F.col("__d") + 1) * top, n_days * top, scratch, "ranked")
     pruned = scratch.save(pruned.select(*keys, *CANDIDATE_COLUMNS, "__d", "__r"), "pruned")
     ks = F.array(*[F.lit(int(k)) for k in sorted(set(volumes))])
     rows = pruned.withColumn("k", F.explode(F.filter(ks, lambda k: F.col("__r") <= (F.col("__d") + 1) * k))).drop("__r")
@@ -104,7 +104,7 @@ def select_alerts(queue: DataFrame, volumes: Sequence[int], keys: Sequence[str],
         today = rows.filter(F.col("__d") == d).drop("__d")
         if picked is not None:
             today = today.join(picked.select(*keys, "k", "account"), [*keys, "k", "account"], "left_anti")
-        today = _best(today, [*keys, "k"], F.col("k"), top, scratch, f"day-{d}-ranked").select("k", *keys, *CANDIDATE_COLUMNS)
+        today = best(today, [*keys, "k"], F.col("k"), top, scratch, f"day-{d}-ranked").select("k", *keys, *CANDIDATE_COLUMNS)
         today = scratch.save(today, f"day-{d}")
         picked = today if picked is None else picked.unionByName(today)
     return picked

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from ledgersift.operators.briefs import COLUMNS, ONWARD, OTHER, SENDERS, STANDOUTS
-from ledgersift.operators.scoring import FEATURES
-from ledgersift.plans.study import COSTS, DAYS, HISTORIES, HOURS, PARAMS, RATIOS, SPLIT, TRADE_HOURS, TRADE_WINDOWS, VOLUMES, WINDOWS
+from ledgersift.operators.evaluation import POISSON
+from ledgersift.operators.scoring import FEATURES, NULLABLE
+from ledgersift.plans.study import COSTS, DAYS, FIXED_MODEL, HISTORIES, HOURS, PARAMS, RATIOS, SPLIT, TRADE_HOURS, TRADE_WINDOWS, VOLUMES, WINDOWS
 from ledgersift.config import COST_PARAMETERS, ratio_windows, replace_cost
 
 ORACLES: dict[str, str] = {}
@@ -193,11 +194,63 @@ _sql("triangles", f"{BASE}, {_GRAPH}", f"SELECT {W_}, n AS node, CAST(triangles
 _sql("graph_stats", f"{BASE}, {_GRAPH}", f"SELECT {W_}, nodes, {_GS}")
 _TEST = f"{RAW}, {_windows('win', WINDOWS[-1:], HOURS)}, {POP}, {_GRAPH}"
 _d = PARAMS.features.pagerank_damping
-_pr = f"out AS (SELECT src, count(*) AS o FROM edge GROUP BY 1), nn AS (SELECT count(*) AS c FROM node), r0 AS (SELECT n, 1.0 / c AS r FROM node, nn)"
-for _i in range(1, 9):
-    _pr += f""", r{_i} AS (SELECT node.n, {_d} * coalesce(g.s, 0) + {_d} * (SELECT coalesce(sum(r), 0) FROM r{_i - 1} ANTI JOIN out ON out.src = r{_i - 1}.n) / c + {1 - _d} / c AS r
-  FROM node CROSS JOIN nn LEFT JOIN (SELECT dst, sum(r / o) AS s FROM edge JOIN r{_i - 1} ON r{_i - 1}.n = src JOIN out USING (src) GROUP BY 1) g ON g.dst = node.n)"""
-_sql("pagerank", f"{_TEST}, {_pr}", "SELECT 'test' AS \"window\", n AS node, round(r, 9) AS pagerank FROM r8")
+#: Power iteration as a recursive query, all windows at once; the step at which a window stops is found afterwards.
+_PR = f"""outs AS (SELECT w, src, count(*) AS o FROM edge GROUP BY ALL),
+nn AS (SELECT w, count(*) AS c FROM node GROUP BY 1),
+pr(i, w, n, r) AS (
+  SELECT 0, w, n, CAST(1.0 AS DOUBLE) / c FROM node JOIN nn USING (w)
+  UNION ALL
+  SELECT l.i + 1, node.w, node.n, {_d} * coalesce(g.s, 0) + {_d} * coalesce(l.lost, 0) / c + {1 - _d} / c
+  FROM node JOIN nn USING (w) JOIN (SELECT pr.w, max(i) AS i, sum(r) FILTER (outs.src IS NULL) AS lost FROM pr LEFT JOIN outs ON outs.w = pr.w AND outs.src = pr.n GROUP BY pr.w) l ON l.w = node.w
+  LEFT JOIN (SELECT edge.w, dst, sum(r / o) AS s FROM edge JOIN pr ON pr.w = edge.w AND pr.n = edge.src JOIN outs ON outs.w = edge.w AND outs.src = edge.src GROUP BY ALL) g ON g.w = node.w AND g.dst = node.n
+  WHERE l.i < {PARAMS.features.pagerank_max_iter}),
+moves AS (SELECT b.w, b.i, sum(abs(b.r - a.r)) AS m FROM pr a JOIN pr b ON a.w = b.w AND a.n = b.n AND b.i = a.i + 1 GROUP BY ALL),
+stops AS (SELECT w, coalesce(min(i) FILTER (m < {PARAMS.features.pagerank_tol}), max(i)) AS i FROM moves GROUP BY 1),
+ranked AS (SELECT pr.w, pr.n, r FROM pr JOIN stops USING (w, i))"""
+_sql("pagerank", f"{BASE}, {_GRAPH}, {_PR}", f"SELECT {W_}, n AS node, round(r, 9) AS pagerank FROM ranked")
+_all = ", ".join("round(coalesce(r, 0.0), 6) AS pagerank" if c == "pagerank" else f"round({c}, 6) AS {c}" for c in FEATURES)
+# FEAT has its own edges, so the graph's are taken from there
+_sql("full_feature_matrix", f"{FULL}, {_GRAPH.partition(chr(10))[2]}, {_PR}",
+     f"SELECT feat.{W_}, account, {_all}, CAST(is_mule AS BIGINT) AS is_mule, round(exposure, 6) AS exposure FROM feat JOIN lab USING (w, account) LEFT JOIN ranked ON ranked.w = feat.w AND ranked.n = feat.account")
+_plain = [c for c in FEATURES if c != "pagerank"]
+_sql("null_guard", FULL, " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER ({c} IS NULL) = 0 OR {c in NULLABLE} AS passes FROM feat" for c in _plain))
+_sql("class_weight", f"{BASE}, {POP}, {LAB}", "SELECT count(*) AS accounts, round(CAST(count(*) FILTER (is_mule = 0) AS DOUBLE) / count(*) FILTER (is_mule = 1), 6) AS weight FROM lab WHERE w = 'train'")
+_sql("volume_grid", f"{QUEUE}, top AS (SELECT max(n) AS c FROM (SELECT w, day, count(*) AS n FROM q0 GROUP BY ALL))",
+     f"SELECT DISTINCT CAST(round(pow(CAST(c AS DOUBLE), i / 59.0)) AS BIGINT) AS k FROM top CROSS JOIN range(0, 60) t(i) UNION SELECT {_K}")
+
+
+def _linear(model) -> str:
+    terms = []
+    for column, (median, mean, deviation, weight) in model.terms.items():
+        value = f"ln(1 + {column})" if column in model.log1p_features else column
+        terms.append(f"(coalesce({value}, CAST({median!r} AS DOUBLE)) - CAST({mean!r} AS DOUBLE)) / CAST({deviation!r} AS DOUBLE) * CAST({weight!r} AS DOUBLE)")
+    return f"CAST({model.intercept!r} AS DOUBLE) + " + " + ".join(terms)
+
+
+_sql("logistic_fixed_scores", FULL, f"SELECT {W_}, account, round(1 / (1 + exp(-({_linear(FIXED_MODEL)}))), 8) AS logistic FROM feat")
+
+
+def _turn(inner: str, shift: int, factor: int) -> str:
+    """A step of the hash: x becomes (x ^ x >> shift) factor modulo 2^64."""
+    return f"SELECT * REPLACE (CAST(CAST(xor(x, x >> {shift}) AS UHUGEINT) * {factor}::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT) AS x) FROM ({inner})"
+
+
+_A, _B2, _C2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+_weights = f"SELECT w, account, draw, CAST((CAST(account AS UHUGEINT) * {_A}::UHUGEINT + CAST(draw AS UHUGEINT) + {PARAMS.seed * 2**32}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS x FROM (SELECT w, account FROM sl WHERE w <> 'train') CROSS JOIN range(0, {PARAMS.bootstrap_resamples}) t(draw)"
+for _shift, _factor in ((30, _B2), (27, _C2), (31, _A), (29, _B2)):
+    _weights = _turn(_weights, _shift, _factor)
+_many = " + ".join(f"CASE WHEN (x >> 11) / 9007199254740992.0 >= CAST({p!r} AS DOUBLE) THEN 1 ELSE 0 END" for p in POISSON)
+_boot = f"""{SCORED}, st AS (SELECT w, account, 'rules' AS scorer, score AS s, is_mule AS y FROM sl WHERE w <> 'train' UNION ALL SELECT w, account, 'exposure_rank', round(exposure, 2), is_mule FROM sl WHERE w <> 'train'),
+wt AS (SELECT w, account, draw, {_many} AS m FROM ({_weights})),
+th AS (SELECT w, scorer, draw, s, sum(m * y) AS h, sum(sum(m * y)) OVER o AS c, sum(sum(m)) OVER o AS a, sum(sum(m * y)) OVER (PARTITION BY w, scorer, draw) AS p
+  FROM st JOIN wt USING (w, account) GROUP BY w, scorer, draw, s WINDOW o AS (PARTITION BY w, scorer, draw ORDER BY s DESC)),
+dr AS (SELECT w, scorer, draw, sum(CASE WHEN a > 0 THEN CAST(h AS DOUBLE) * CAST(c AS DOUBLE) / CAST(a AS DOUBLE) ELSE 0 END) / nullif(CAST(max(p) AS DOUBLE), 0) AS ap FROM th GROUP BY ALL),
+pt AS (SELECT w, scorer, sum(h * CAST(c AS DOUBLE) / a) / nullif(max(p), 0) AS ap FROM (SELECT w, scorer, s, sum(y) AS h, sum(sum(y)) OVER q AS c, sum(count(*)) OVER q AS a, sum(sum(y)) OVER (PARTITION BY w, scorer) AS p
+  FROM st GROUP BY w, scorer, s WINDOW q AS (PARTITION BY w, scorer ORDER BY s DESC)) GROUP BY w, scorer)"""
+_sql("bootstrap_draws", _boot, f"SELECT {W_}, scorer, draw, round(ap, 6) AS average_precision FROM dr")
+_sql("bootstrap_intervals", _boot, f"SELECT {W_}, scorer, round(any_value(pt.ap), 6) AS average_precision, round(quantile_cont(dr.ap, 0.025), 6) AS low, round(quantile_cont(dr.ap, 0.975), 6) AS high FROM dr JOIN pt USING (w, scorer) GROUP BY w, scorer")
+_sql("paired_differences", f"{_boot}, gp AS (SELECT a.w, quantile_cont(a.ap - b.ap, 0.025) AS low, quantile_cont(a.ap - b.ap, 0.975) AS high FROM dr a JOIN dr b ON a.w = b.w AND a.draw = b.draw AND a.scorer = 'exposure_rank' AND b.scorer = 'rules' GROUP BY 1)",
+     f"SELECT gp.{W_}, 'exposure_rank' AS scorer, 'rules' AS against, round(a.ap - b.ap, 6) AS difference, round(low, 6) AS low, round(high, 6) AS high, low <= 0 AND high >= 0 AS crosses_zero FROM gp JOIN pt a ON a.w = gp.w AND a.scorer = 'exposure_rank' JOIN pt b ON b.w = gp.w AND b.scorer = 'rules'")
 _comp = f"{_TEST}, reach(n, m) AS (SELECT n, n FROM node UNION SELECT reach.n, und.b FROM reach JOIN und ON und.a = reach.m), comp AS (SELECT n, min(m) AS c FROM reach GROUP BY 1), ctab AS (SELECT c, count(*) AS size, (SELECT count(*) FROM und JOIN comp k ON k.n = und.a WHERE und.a < und.b AND k.c = comp.c) AS edges FROM comp GROUP BY c)"
 _sql("components", _comp, "SELECT n AS node, c AS component FROM comp")
 _sql("component_profile", f"{_comp}, mx AS (SELECT max(size) AS m FROM ctab)", "SELECT CAST(sum(size) AS BIGINT) AS nodes, CAST(sum(edges) AS BIGINT) AS edges, count(*) AS components, max(size) AS largest_component, round(max(size) / CAST(sum(size) AS DOUBLE), 6) AS largest_share, round(quantile_cont(size, 0.5), 6) AS median_component, count(*) FILTER (size = 1) AS singletons, count(*) FILTER (edges >= size) AS components_with_a_cycle, round(count(*) FILTER (edges >= size AND size < m) / CAST(greatest(count(*) FILTER (size < m), 1) AS DOUBLE), 6) AS cycle_share_outside_largest FROM ctab, mx")
@@ -238,6 +291,28 @@ _top = "CASE " + " ".join(f"WHEN p_{c} = {_max} THEN '{c}'" for c in COLUMNS) +
 _step = f"CASE WHEN {_max} >= {_T} AND {_top} = 'pass_through_ratio' THEN '{ONWARD}' WHEN {_max} >= {_T} AND {_top} IN ('in_degree', 'unique_counterparties_in', 'sender_diversity') THEN '{SENDERS}' ELSE '{OTHER.replace(chr(39), chr(39) * 2)}' END"
 _sql("briefs_table", f"{_at}, pc AS (SELECT w, account, " + ", ".join(f"{_pct(c)} AS p_{c}" for c in COLUMNS) + " FROM feat), al AS (SELECT w, account, max(score) AS score, max(is_mule) AS m, max(exposure) AS e FROM picked WHERE w = 'test' GROUP BY ALL)",
      f"SELECT {W_}, account, row_number() OVER (ORDER BY score DESC, account) AS rank, count(*) OVER () AS alerts, round(score, 6) AS score, round(e, 6) AS exposure, CAST(m AS BIGINT) AS is_mule, CAST(least(3, {_hits}) AS BIGINT) AS n_standouts, {_step} AS next_step FROM al JOIN pc USING (w, account)")
+_shown = {"count": "format('{{:,}}', CAST(round_even({0}, 0) AS BIGINT))", "share": "printf('%.0f', round({0} * 100)) || '%'", "places": "printf('%.2f', round({0}, 2))"}
+
+
+def _said(threshold: float) -> str:
+    parts = []
+    for column, text, kind in STANDOUTS:
+        before, _, after = text.partition("{}")
+        words = f"'{text}'" if kind is None else f"'{before}' || {_shown[kind].format(column)} || '{after}'"
+        parts.append(f"CASE WHEN p_{column} >= {threshold} THEN {words} END")
+    return f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)[1:3], '; ')"
+
+
+def _next(threshold: float) -> str:
+    other = OTHER.replace(chr(39), chr(39) * 2)
+    return f"CASE WHEN {_max} >= {threshold} AND {_top} = 'pass_through_ratio' THEN '{ONWARD}' WHEN {_max} >= {threshold} AND {_top} IN ('in_degree', 'unique_counterparties_in', 'sender_diversity') THEN '{SENDERS}' ELSE '{other}' END"
+
+
+_briefed = f"{_at}, pc AS (SELECT *, " + ", ".join(f"{_pct(c)} AS p_{c}" for c in COLUMNS) + " FROM feat), al AS (SELECT w, account, max(score) AS score, max(is_mule) AS m, max(exposure) AS e FROM picked WHERE w = 'test' GROUP BY ALL)"
+_sql("brief_phrases", _briefed, f"SELECT {W_}, account, {_said(0.6)} AS standouts, {_next(0.6)} AS next_step FROM al JOIN pc USING (w, account)")
+_sql("brief_texts", _briefed,
+     f"SELECT {W_}, account, row_number() OVER (ORDER BY score DESC, account) AS rank, count(*) OVER () AS alerts, round(score, 6) AS score, round(e, 6) AS exposure, CAST(m AS BIGINT) AS is_mule, "
+     f"{_said(_T)} AS standouts, {_next(_T)} AS next_step FROM al JOIN pc USING (w, account) ORDER BY e DESC, rank LIMIT {PARAMS.brief.sample}")
 _trade = f"""rates(c, r) AS (VALUES ('Euro', 1.0), ('US Dollar', CAST({PARAMS.fx_to_base['US Dollar']} AS DOUBLE))),
 tr AS (SELECT l_shipdate + l_linenumber * INTERVAL 1 HOUR AS ts, o_custkey AS f, l_suppkey * 15 AS t, l_extendedprice * (1 - l_discount) AS r, l_extendedprice * (1 + l_tax) * {PARAMS.fx_to_base['US Dollar']} AS p, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_discount >= 0.1 THEN 1 ELSE 0 END AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> l_suppkey * 15)"""
 _sql("trade_account_flows", _trade, "SELECT coalesce(i.a, o.a) AS account, round(coalesce(i.s, 0.0), 5) AS inflow, round(coalesce(o.s, 0.0), 5) AS outflow FROM (SELECT t AS a, sum(r) AS s FROM tr GROUP BY 1) i FULL JOIN (SELECT f AS a, sum(p) AS s FROM tr GROUP BY 1) o ON i.a = o.a")

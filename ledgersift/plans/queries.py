@@ -318,7 +318,44 @@ def graph_stats(spark, sf_dir):
 
 @query
 def pagerank(spark, sf_dir):
-    return _round(graph.pagerank(_edges(spark, sf_dir, TEST), Scratch(spark, "pagerank"), n_iter=8), 9)
+    spec = PARAMS.features
+    ranks = graph.pagerank(_edges(spark, sf_dir), Scratch(spark, "pagerank"), damping=spec.pagerank_damping, max_iter=spec.pagerank_max_iter, tol=spec.pagerank_tol)
+    return _round(ranks, 9)
+
+
+@query
+def full_feature_matrix(spark, sf_dir):
+    """All twenty features, label and exposure, as the stage builds them."""
+    return _round(build_features(study.ledger(spark, sf_dir), WINDOWS, PARAMS.features, HOURS, Scratch(spark, "features")))
+
+
+@query
+def null_guard(spark, sf_dir):
+    """Nulls by feature, and whether the guard lets them pass."""
+    counts = scoring.null_counts(_directional(spark, sf_dir))
+    rows = [(c, n, not n or c in scoring.NULLABLE) for c, n in counts.items()]
+    return spark.createDataFrame(rows, "feature string, nulls long, passes boolean")
+
+
+@query
+def class_weight(spark, sf_dir):
+    weight, n = scoring.scale_pos_weight(study.matrix(spark, sf_dir).filter("window = 'train'"), counted=True)
+    return _round(spark.createDataFrame([(n, weight)], "accounts long, weight double"))
+
+
+@query
+def volume_grid(spark, sf_dir):
+    """The whole queue's grid of daily volumes."""
+    from ledgersift.plans.stages import volume_grid as grid
+
+    ceiling = study.queue(spark, sf_dir).groupBy(*KEYS, "day").count().agg(F.max("count")).first()[0] or 1
+    return spark.createDataFrame([(k,) for k in grid(ceiling, 60, COSTS.analyst_capacity_per_day)], "k long")
+
+
+@query
+def logistic_fixed_scores(spark, sf_dir):
+    scored = study.FIXED_MODEL.score(_directional(spark, sf_dir))
+    return scored.select("window", "account", F.round("logistic", 8).alias("logistic"))
 
 
 def _components(spark, sf_dir):
@@ -399,7 +436,16 @@ def briefs_table(spark, sf_dir):
 def brief_texts(spark, sf_dir):
     matrix = _directional(spark, sf_dir)
     made = briefs.build_briefs(_alerts(spark, sf_dir, ["test"]), matrix, scoring.population_percentiles(matrix, briefs.COLUMNS), PARAMS.brief.standout_percentile)
-    return briefs.sample_briefs(made, PARAMS.brief.sample)
+    told = made.withColumn("standouts", F.array_join("standouts", "; "))
+    return _round(briefs.sample_briefs(told, PARAMS.brief.sample))
+
+
+@query
+def brief_phrases(spark, sf_dir):
+    """What every alerted account's brief says."""
+    matrix = _directional(spark, sf_dir)
+    made = briefs.build_briefs(_alerts(spark, sf_dir, ["test"]), matrix, scoring.population_percentiles(matrix, briefs.COLUMNS), 0.6)
+    return made.select("window", "account", F.array_join("standouts", "; ").alias("standouts"), "next_step")
 
 
 def _trade(spark, sf_dir):
@@ -431,7 +477,7 @@ def trade_graph_stats(spark, sf_dir):
 
 def _full(spark, sf_dir):
     scratch = Scratch(spark, "models")
-    return scratch.save(build_features(study.ledger(spark, sf_dir), WINDOWS, PARAMS.features, HOURS, scratch, n_iter=8), "matrix")
+    return scratch.save(build_features(study.ledger(spark, sf_dir), WINDOWS, PARAMS.features, HOURS, scratch), "matrix")
 
 
 def _side(matrix, name):
@@ -461,19 +507,27 @@ def gbt_importance(spark, sf_dir):
     return spark.createDataFrame([(c, round(v, 9)) for c, v in found], "feature string, importance double")
 
 
+def _draws(spark, sf_dir):
+    base = study.scored(spark, sf_dir).withColumn("exposure_rank", F.round("exposure", 2)).filter("window <> 'train'")
+    base = Scratch(spark, "resampled").save(base, "scored")
+    scorers = ["rules", "exposure_rank"]
+    return evaluation.bootstrap_draws(base, scorers, PARAMS.bootstrap_resamples, PARAMS.seed), stacked(base, scorers), scorers
+
+
+@query
+def bootstrap_draws(spark, sf_dir):
+    return _round(_draws(spark, sf_dir)[0])
+
+
 @query
 def bootstrap_intervals(spark, sf_dir):
-    base = study.scored(spark, sf_dir).withColumn("exposure_rank", F.round("exposure", 2))
-    scorers = ["rules", "exposure_rank"]
-    draws = evaluation.bootstrap_draws(base.filter("window <> 'train'"), scorers, 200, PARAMS.seed)
-    return _round(evaluation.summarise_draws(draws, stacked(base.filter("window <> 'train'"), scorers)))
+    draws, long, _ = _draws(spark, sf_dir)
+    return _round(evaluation.summarise_draws(draws, long))
 
 
 @query
 def paired_differences(spark, sf_dir):
-    base = study.scored(spark, sf_dir).withColumn("exposure_rank", F.round("exposure", 2)).filter("window <> 'train'")
-    scorers = ["rules", "exposure_rank"]
-    return _round(evaluation.paired_differences(evaluation.bootstrap_draws(base, scorers, 200, PARAMS.seed), stacked(base, scorers), scorers))
+    return _round(evaluation.paired_differences(*_draws(spark, sf_dir)))
 
 
 @query

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ledgersift.config import LABEL, SCORERS, SPLITS, Costs, Params, SchemaError, Window, build_windows, feasible_hours, load_params, ratio_windows, read_metrics, rehistory, write_metrics
 from ledgersift.operators import briefs, evaluation, graph, population, scoring, worklist
 from ledgersift.operators.evaluation import long_values, stacked
+from ledgersift.plans import contract, report
 from ledgersift.plans import figures as drawings
-from ledgersift.plans import report
 from ledgersift.plans.features import build_features, history_scan
 from ledgersift.scratch import Scratch
 from ledgersift.sources import ledger
@@ -35,13 +35,22 @@ def records(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+def _interim(spark: SparkSession, params: Params, root: Path | None) -> str:
+    """The folder of the stages' tables: beside the settings on one machine, in the warehouse, which executors share, on a cluster."""
+    if root is not None:
+        return f"{root}/data/interim"
+    if spark.sparkContext.master.startswith("local"):
+        return str(params.paths.interim_dir)
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/ledgersift-{params.data.variant}"
+
+
 class Run:
     """Paths, settings and windows of one run."""
 
     def __init__(self, spark: SparkSession, params: Params, root: Path | None = None):
         self.spark, self.params = spark, params
         self.windows = build_windows(params.split, params.label_window_days)
-        self.interim = (root or params.paths.interim_dir.parent.parent) / "data/interim" if root else params.paths.interim_dir
+        self.interim = _interim(spark, params, root)
         self.reports = root / "reports" if root else params.paths.reports_dir
         self.raw = f"{params.paths.raw_dir}/{params.data.trans_file}"
 
@@ -66,10 +75,11 @@ def ingest(run: Run, path: str | None = None, *, check_contract: bool = True) ->
     daily = records(population.daily_volume(loaded.transactions).withColumn("day", F.date_format("day", "yyyy-MM-dd")).orderBy("day"))
     priced = ledger.usable_span(ledger.normalise(loaded.transactions, params.fx_to_base), params.split.data_start, params.split.data_end)
     txns = run.keep(priced.repartitionByRange("ts"), "canonical_txns")  # files by time: windows prune them
-    return run.metrics("data", {
-        "rows": loaded.rows, "accounts": loaded.n_accounts, "self_transfers": loaded.self_transfers, "laundering_rows": loaded.laundering_rows, "laundering_dropped": loaded.laundering_dropped,
-        "usable_rows": txns.count(), "span": span, "daily": {d.pop("day"): d for d in daily}, "windows": {r.pop("window"): r for r in records(population.window_summary(txns, run.windows))},
-    })
+    counts = {
+        "rows_read": loaded.rows, "accounts": loaded.n_accounts, "self_transfers_dropped": loaded.self_transfers if params.data.drop_self_transfers else 0,
+        "laundering_in_self_transfers": loaded.laundering_dropped, "usable_rows": txns.count(),
+    }
+    return run.metrics("data", contract.data(counts, span, daily, records(population.window_summary(txns, run.windows)), run.windows, params))
 
 
 def features(run: Run) -> DataFrame:
@@ -92,7 +102,9 @@ def score_all(matrix: DataFrame, params: Params, scorers: Sequence[str] = SCORER
     if "xgboost" in scorers:
         trees = scoring.fit_trees(_of(matrix, "train"), _of(matrix, "val"), params.model, params.seed, rounds)
         out = trees.score(out)
-        facts |= {"trees_kept": trees.kept, "importance": [{"feature": c, "share": v} for c, v in trees.importance()], "scale_pos_weight": scoring.scale_pos_weight(_of(matrix, "train"))}
+        weight, n = scoring.scale_pos_weight(_of(matrix, "train"), counted=True)
+        mules = round(n / (1 + weight))
+        facts |= {"trees_kept": trees.kept, "importance": dict(trees.importance()), "scale_pos_weight": weight, "train_mules": mules, "train_clean": n - mules}
     return out, facts
 
 
@@ -106,10 +118,12 @@ def models(run: Run, rounds: int | None = None) -> dict:
     draws = evaluation.bootstrap_draws(later, SCORERS, params.bootstrap_resamples, params.seed)
     draws = Scratch(run.spark, "draws").save(draws, "draws")
     rest = long.filter(F.col("window") != "train")
-    return run.metrics("models", facts | {
-        "pr": records(evaluation.pr_table(long)), "intervals": records(evaluation.summarise_draws(draws, rest)), "differences": records(evaluation.paired_differences(draws, rest, SCORERS)),
-        "rules": records(scoring.rules_diagnostics(matrix, params.rules)), "null_rates": records(scoring.null_rates(matrix)), "flags": {f: records(scoring.flag_summary(scored, f)) for f in ("rules_flag", "matched_rules_flag")},
-    })
+    ranking = records(evaluation.pr_table(long))
+    flags = {kind: records(scoring.flag_summary(scored, column)) for kind, column in (("configured", "rules_flag"), ("matched", "matched_rules_flag"))}
+    told = contract.models(
+        facts, ranking, records(evaluation.summarise_draws(draws, rest)), records(evaluation.paired_differences(draws, rest, SCORERS)), flags, records(scoring.null_rates(matrix)), params
+    )
+    return run.metrics("models", told | {"ranking": ranking, "rules_diagnostics": records(scoring.rules_diagnostics(matrix, params.rules))})
 
 
 def _queues(run: Run, scored: DataFrame) -> DataFrame:
@@ -126,33 +140,44 @@ def volume_grid(ceiling: int, points: int, *more: int) -> list[int]:
 def economics(run: Run) -> dict:
     params, costs, days = run.params, run.params.costs, run.params.label_window_days
     raw = _queues(run, run.table("scores"))
-    queue = Scratch(run.spark, "policy").save(worklist.apply_policy(raw, costs.queue_overflow_policy, KEYS), "queue")
+    scratch = Scratch(run.spark, "economics")
+    queue = scratch.save(worklist.apply_policy(raw, costs.queue_overflow_policy, KEYS), "queue")
     test = queue.filter("window = 'test'")
     ceiling = test.groupBy("scorer", "day").count().agg(F.max("count")).first()[0] or 1
-    curve = worklist.break_even_curve(test, costs, list(np.geomspace(1e-3, 1e3, 19)), volume_grid(ceiling, 60, costs.analyst_capacity_per_day), KEYS, days)
-    curve = Scratch(run.spark, "curve").save(curve, "curve")
-    overflow = Scratch(run.spark, "overflow").save(worklist.overflow_comparison(raw, costs, days), "overflow")
+    grid = volume_grid(ceiling, 60, costs.analyst_capacity_per_day)
+    even = scratch.save(worklist.break_even_curve(test, costs, list(np.geomspace(1e-3, 1e3, 19)), grid, KEYS, days), "even")
+    overflow = scratch.save(worklist.overflow_comparison(raw, costs, days), "overflow")
+    optimum = worklist.volume_optimum(worklist.priced(worklist.coverage_curve(test, grid, KEYS, days), costs), KEYS)
+    point = scratch.save(worklist.evaluate(queue, costs, KEYS, days), "point")
     lost = population.window_summary(run.table("canonical_txns"), run.windows).select("window", "unscoreable_mules")
-    context = worklist.against_chance(worklist.evaluate(queue, costs, KEYS, days), worklist.exposure_concentration(queue, costs, KEYS), lost)
-    return run.metrics("economics", {
-        "against_chance": records(context), "operating_point": {f"{r['window']}/{r['scorer']}": r for r in records(worklist.evaluate(queue, costs, KEYS, days))},
-        "volume_curve": records(worklist.priced(worklist.coverage_curve(test, volume_grid(min(ceiling, 20_000), 50), KEYS, days), costs)),
-        "sensitivity": records(worklist.sensitivity(test, costs, params.multipliers, KEYS, days)),
-        "break_even": records(curve), "crossing": records(worklist.crossing_ratio(curve, costs.analyst_capacity_per_day, KEYS)),
-        "overflow": records(overflow), "overflow_verdict": records(worklist.overflow_verdict(overflow, costs.queue_overflow_policy))[0],
-        "exposure": records(worklist.exposure_concentration(test, costs, KEYS)), "costs": costs.as_footer(), "policy": costs.queue_overflow_policy,
+    exposure = records(worklist.exposure_concentration(test, costs, KEYS))
+    moved = records(worklist.sensitivity(test, costs, params.multipliers, KEYS, days))
+    compared = records(overflow)
+    told = contract.economics(
+        records(point), records(even), exposure, compared, records(worklist.overflow_verdict(overflow, costs.queue_overflow_policy))[0], moved, records(optimum), ceiling, costs
+    )
+    LOG.info("costs moved one at a time (%s)\n%s", costs.as_footer(), report.moved_table(contract.of(moved)))
+    LOG.info("queue policies\n%s", report.overflow_table(compared))
+    return run.metrics("economics", told | {
+        "by_scorer": {
+            "operating_point": records(point), "volume_curve": records(worklist.priced(worklist.coverage_curve(test, volume_grid(min(ceiling, 20_000), 50), KEYS, days), costs)),
+            "break_even_curve": records(even), "crossing_ratio": records(worklist.crossing_ratio(even, costs.analyst_capacity_per_day, KEYS)), "sensitivity": moved, "exposure": exposure,
+            "against_chance": records(worklist.against_chance(point, worklist.exposure_concentration(queue, costs, KEYS), lost)),
+        },
     })
 
 
 def monitoring(run: Run) -> dict:
     spec, matrix, scores = run.params.monitoring, run.table("features"), run.table("scores")
-    columns, out = scoring.feature_columns(matrix), {}
+    if spec.reference_window not in SPLITS:
+        raise SchemaError(f"unknown reference window {spec.reference_window!r}")
+    columns, features_, scores_ = scoring.feature_columns(matrix), {}, {}
     for later in (s for s in SPLITS if s != spec.reference_window):
-        drift = evaluation.drift_table(long_values(matrix, columns, spec.reference_window, later), bins=spec.bins, epsilon=spec.epsilon).orderBy(F.desc_nulls_last("psi"), "feature")
+        drift = evaluation.drift_table(long_values(matrix, columns, spec.reference_window, later), bins=spec.bins, epsilon=spec.epsilon)
+        features_[later] = records(drift.orderBy(F.desc_nulls_last("psi"), "feature"))
         values = long_values(scores, SCORERS, spec.reference_window, later)
-        both = evaluation.drift_table(values, bins=spec.bins, epsilon=spec.epsilon).join(evaluation.ks_statistic(values), "feature")
-        out[later] = {"features": records(drift), "scores": records(both)}
-    return run.metrics("monitoring", {"reference": spec.reference_window, "drift": out, "decay_by_week": None, "note": "one label window after another: no weeks to compare"})
+        scores_[later] = records(evaluation.drift_table(values, bins=spec.bins, epsilon=spec.epsilon).join(evaluation.ks_statistic(values), "feature", "left"))
+    return run.metrics("monitoring", contract.monitoring(features_, scores_, run.params))
 
 
 def write_report(run: Run) -> str:
@@ -165,26 +190,27 @@ def write_report(run: Run) -> str:
 def figures(run: Run) -> list[str]:
     """All figures, from the tables and metrics of the earlier stages."""
     data, economy, costs, test = read_metrics(run.reports / "metrics_data.json"), read_metrics(run.reports / "metrics_economics.json"), run.params.costs, run.windows[-1]
-    scores, best = run.table("scores"), SCORERS[-1]
+    scores, best = run.table("scores"), contract.SCORER
     later = stacked(scores.filter(F.col("window") != "train"), SCORERS)
     queue = Scratch(run.spark, "figures").save(_queues(run, scores).filter((F.col("window") == test.name) & (F.col("scorer") == best)), "queue")
     alerts = worklist.select_alerts(worklist.apply_policy(queue, costs.queue_overflow_policy, KEYS), [costs.analyst_capacity_per_day], KEYS, run.params.label_window_days)
     funnel = drawings.funnel_stages(queue, population.unscoreable(run.table("canonical_txns"), [test]), alerts).orderBy("stage_no")
     rates = {r["window"]: r["base_rate"] for r in records(evaluation.pr_table(later).select("window", "base_rate").distinct())}
     return drawings.draw_all(
-        run.reports / "figures", costs, daily=[{"day": d, **v} for d, v in sorted(data["daily"].items())], cutoff=f"{run.params.split.data_end:%Y-%m-%d}",
+        run.reports / "figures", costs, daily=[{"day": d, "payments": v["transactions"], "laundering": v["laundering"], "share": v["laundering_share"]} for d, v in sorted(data["daily"].items())], cutoff=f"{run.params.split.data_end:%Y-%m-%d}",
         curves=records(evaluation.pr_curve(later).orderBy("window", "scorer", "recall")), base_rates=rates, funnel=records(funnel),
-        exposure=next(r for r in economy["exposure"] if r["scorer"] == best), budget=economy["volume_curve"],
+        exposure=contract.of(economy["by_scorer"]["exposure"])[0], budget=economy["by_scorer"]["volume_curve"],
     )
 
 
 def window_scan(run: Run) -> dict:
     test = run.windows[-1]
     days = [d for d in run.params.experiments.history_window_days if test.label_start - timedelta(days=d) >= run.params.split.data_start]
-    rows = records(history_scan(run.table("canonical_txns"), [rehistory(test, d, run.params.split.data_start) for d in days]))
+    histories = [rehistory(test, d, run.params.split.data_start) for d in days]
+    rows = records(history_scan(run.table("canonical_txns"), histories))
     if len({r["mules_in_window"] for r in rows}) > 1:
         raise SchemaError("the label window's mules changed with the history length: labels read the history")
-    return run.metrics("window_scan", {"rows": rows})
+    return run.metrics("window_scan", contract.window_scan(rows, histories, test, run.params))
 
 
 def component_stage(run: Run) -> dict:
@@ -193,10 +219,11 @@ def component_stage(run: Run) -> dict:
     named = scratch.save(graph.components(edge_rows, scratch), "named")
     table = graph.component_table(edge_rows, named)
     scored = run.table("scores").filter(F.col("window") == test[0].name).select("account", LABEL)
-    bands = graph.band_table(graph.account_component_sizes(scored.select("account"), named, table), "population").unionByName(
-        graph.band_table(graph.account_component_sizes(scored.filter(F.col(LABEL) == 1).select("account"), named, table), "mules")
-    )
-    return run.metrics("components", {"profile": records(graph.component_profile(table))[0], "bands": records(bands)})
+    queue = _queues(run, run.table("scores")).filter((F.col("window") == test[0].name) & (F.col("scorer") == contract.SCORER))
+    alerted = worklist.select_alerts(worklist.apply_policy(queue, run.params.costs.queue_overflow_policy, KEYS), [run.params.costs.analyst_capacity_per_day], KEYS, run.params.label_window_days)
+    sets = {f"alerted by {contract.SCORER}": alerted, "reachable mules": scored.filter(F.col(LABEL) == 1), "whole scoring population": scored}
+    bands = [r for name, accounts in sets.items() for r in records(graph.band_table(graph.account_component_sizes(accounts.select("account").distinct(), named, table), name).orderBy("band_no"))]
+    return run.metrics("components", contract.components(test[0].name, records(graph.component_profile(table))[0], bands))
 
 
 def passthrough_sweep(txns: DataFrame, windows: Sequence[Window], params: Params, costs: Costs, scratch: Scratch, scorers: Sequence[str] = SCORERS, rounds: int | None = None) -> DataFrame:
@@ -228,13 +255,16 @@ def assert_reproduces_published(points: Sequence[dict], published: dict, hours:
 
 
 def sweep(run: Run, rounds: int | None = None) -> dict:
-    params = run.params
+    params, test = run.params, run.windows[-1]
+    asked, configured = params.experiments.pass_through_sweep_hours, params.pass_through_window_hours
+    feasible = feasible_hours(test, asked)
+    if configured not in feasible:
+        raise SchemaError(f"the configured {configured} h are not among the feasible {list(feasible)}: the sweep cannot be checked against the published run")
     rows = records(passthrough_sweep(run.table("canonical_txns"), run.windows, params, params.costs, Scratch(run.spark, "sweep"), rounds=rounds))
     path = run.reports / "metrics_economics.json"
     if path.is_file():
-        assert_reproduces_published(rows, read_metrics(path)["operating_point"], params.pass_through_window_hours)
-    asked = params.experiments.pass_through_sweep_hours
-    return run.metrics("sweep", {"points": rows, "infeasible": [h for h in asked if h not in feasible_hours(run.windows[-1], asked)]})
+        assert_reproduces_published(rows, read_metrics(path)["operating_point"], configured)
+    return run.metrics("sweep", contract.sweep(rows, asked, feasible, test, params))
 
 
 def brief(run: Run) -> list[dict]:
@@ -253,7 +283,7 @@ def brief(run: Run) -> list[dict]:
         (folder / f"account_{b['account']}.md").write_text(briefs.render(b, spec.scorer), encoding="utf-8")
     index = [f"- [Account {b['account']}](account_{b['account']}.md), alert {b['rank']} of {b['alerts']}" for b in sampled]
     (folder / "README.md").write_text("\n".join(["# Briefs", "", *index, ""]), encoding="utf-8")
-    run.metrics("brief", {"alerts": sampled[0]["alerts"] if sampled else 0, "sampled": [b["account"] for b in sampled], "scorer": spec.scorer})
+    run.metrics("brief", contract.brief(sampled, sampled[0]["alerts"] if sampled else 0, params))
     return sampled
 
 
@@ -270,7 +300,7 @@ def main(names: Sequence[str]) -> int:
     if not wanted or any(n not in STAGES for n in wanted):
         print(f"usage: python -m ledgersift.plans.stages all | {' | '.join(STAGES)}")
         return 2
-    run = Run(build_session("local[*]"), load_params())
+    run = Run(build_session(), load_params())  # the master is spark-submit's; without one Spark runs locally
     for name in wanted:
         LOG.info("stage %s", name)
         STAGES[name](run)

@@ -20,7 +20,7 @@ WINDOWS = build_windows(SPLIT, 2)
 HOURS = PARAMS.pass_through_window_hours
 DAYS = PARAMS.label_window_days
 COSTS: Costs = replace(PARAMS.costs, analyst_capacity_per_day=20)
-VOLUMES = (0, 1, 2, 5, 10, 20, 50, 100, 200)
+VOLUMES = (0, 1, 2, 5, 10, 20, 50, 100, 200, 2_000, 20_000)
 RATIOS = (0.001, 0.1, 1.0, 5.0, 11.5, 50.0, 1000.0)
 HISTORIES: tuple[Window, ...] = tuple(rehistory(WINDOWS[-1], d, SPLIT.data_start) for d in PARAMS.experiments.history_window_days)
 KEYS = ["window", "scorer"]
@@ -66,3 +66,13 @@ def checked_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = WINDOWS[1:]
     both = scored(spark, sf_dir).filter(F.col("window").isin([w.name for w in later]))
     return worklist.build_candidates(population.daily_candidates(ledger(spark, sf_dir), later), both, ["rules"])
+
+
+#: A fixed scoring model (median, mean, deviation, weight by column): scoring is compared with SQL apart from fitting.
+FIXED_MODEL = scoring.Logistic(
+    {
+        "in_degree": (1.1, 1.2, 0.5, 0.8), "total_inflow": (6.0, 5.5, 1.5, -0.3), "pass_through_ratio": (0.4, 0.5, 0.3, 0.6), "median_hours_to_outflow": (2.0, 2.1, 0.9, -0.2),
+        "sender_diversity": (1.0, 0.9, 0.1, 0.1), "mean_amount_ratio": (0.7, 0.8, 0.4, 0.25), "burstiness": (0.5, 0.55, 0.2, -0.4), "reciprocity": (0.0, 0.01, 0.05, 0.15),
+    },
+    -0.35, tuple(PARAMS.logistic.log1p_features[i] for i in (0, 2, 10, 11, 12)),
+)

@@ -69,19 +69,35 @@ def codebook(raw: DataFrame, scratch: Scratch) -> DataFrame:
     return global_order(first, [F.col("seen.side"), F.col("seen.row_id"), F.col("account_key")], "account", scratch, "codebook", parts).select("account_key", "account")
 
 
+def in_file_order(raw: DataFrame, scratch: Scratch) -> DataFrame:
+    """``raw`` with ``row_id`` in the order of files by name, and of rows inside them: Spark deals the pieces of files out by size.
+
+    ``at`` rises inside a piece (file, block); what is collected to order the pieces is a row for each.
+    """
+    pieces = raw.groupBy("file", "block").agg(F.min("at").alias("least"), F.max("at").alias("most"))
+    starts, seen = [], 0
+    for r in sorted(pieces.collect(), key=lambda r: (r["file"], r["block"])):
+        starts.append((r["file"], r["block"], seen - r["least"]))
+        seen += r["most"] - r["least"] + 1
+    known = raw.sparkSession.createDataFrame(starts, "file string, block long, shift long")
+    return scratch.save(raw.join(F.broadcast(known), ["file", "block"]).withColumn("row_id", F.col("at") + F.col("shift")).drop("file", "block", "at", "shift"), "raw")
+
+
 def load_csv(spark: SparkSession, path: str, *, drop_self_transfers: bool = True) -> Ingested:
     """Read, check and encode a ledger file."""
     scratch = Scratch(spark, "ingest")
     assert_header(spark, path)
     raw = spark.read.schema(RAW).option("header", True).option("enforceSchema", True).option("mode", "FAILFAST").csv(path)
     raw = raw.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
         F.to_timestamp("stamp", STAMP).alias("ts"),
         account_key("bank_from", "number_from").alias("key_from"),
         account_key("bank_to", "number_to").alias("key_to"),
         *RAW.fieldNames()[5:],
     )
-    raw = scratch.save(raw, "raw")
+    raw = in_file_order(scratch.save(raw, "scanned"), scratch)
     book = codebook(raw, scratch)
     coded = raw.join(book.select(F.col("account_key").alias("key_from"), F.col("account").alias("account_from")), "key_from").join(
         book.select(F.col("account_key").alias("key_to"), F.col("account").alias("account_to")), "key_to"

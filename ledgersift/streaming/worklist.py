@@ -8,10 +8,10 @@ where the last committed day ended; a batch that is replayed after a failure fin
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgersift.operators.worklist import best
 from ledgersift.scratch import Scratch
 
 CANDIDATE = T.StructType([T.StructField("account", T.LongType()), T.StructField("day", T.TimestampType()), T.StructField("score", T.DoubleType()), T.StructField("is_mule", T.LongType()), T.StructField("exposure", T.DoubleType())])
@@ -24,21 +24,20 @@ class StreamingWorklist:
         self.spark, self.capacity = spark, capacity
         self.scratch = Scratch(spark, "stream")
         for name in ("waiting", "alerts"):
-            spark.createDataFrame([], CANDIDATE).withColumn("batch", F.lit(-1).cast("long")).write.partitionBy("batch").mode("overwrite").parquet(self.scratch.path(name))
+            spark.createDataFrame([], CANDIDATE).withColumn("batch", F.lit("none")).write.partitionBy("batch").mode("overwrite").parquet(self.scratch.path(name))
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(T.StructType([*CANDIDATE.fields, T.StructField("batch", T.LongType())])).parquet(self.scratch.path(name))
+        return self.spark.read.schema(T.StructType([*CANDIDATE.fields, T.StructField("batch", T.StringType())])).parquet(self.scratch.path(name))
 
-    def _append(self, rows: DataFrame, name: str, batch: int) -> None:
+    def _append(self, rows: DataFrame, name: str, batch: int | str) -> None:
         rows.select(*CANDIDATE.fieldNames()).write.mode("overwrite").parquet(f"{self.scratch.path(name)}/batch={batch}")
 
     def _work(self, days: list, batch: int) -> None:
-        order = W.orderBy(F.desc("score"), "account")
         for i, day in enumerate(days):
             opened = self._read("alerts").filter(F.col("day") < F.lit(day)).select("account")
             today = self._read("waiting").filter(F.col("day") == F.lit(day)).dropDuplicates(["account"]).join(opened, "account", "left_anti")
-            picked = today.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= self.capacity)  # a rank limit per task
-            self._append(picked, "alerts", batch * 1000 + i)
+            picked = best(today, [], F.lit(self.capacity), self.capacity, self.scratch, f"ranked-{batch}-{i}")
+            self._append(picked, "alerts", f"{batch}-{i}")
 
     def on_batch(self, rows: DataFrame, batch: int) -> None:
         self._append(rows, "waiting", batch)

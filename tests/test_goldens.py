@@ -580,3 +580,13 @@ def test_exact_quantiles(spark, window_rows):
     assert set(got) == {"a", "b", "d"}
     for key, found in got.items():
         assert found == pytest.approx(np.quantile([x for k, x in rows if k == key and x is not None], shares).tolist())
+
+
+def test_pagerank_in_a_task_equals_joins(spark):
+    rng = random.Random(12)
+    rows = [(w, rng.randint(0, n), rng.randint(0, n)) for w, n in (("a", 30), ("b", 200)) for _ in range(n * 2)]
+    e = spark.createDataFrame(sorted({r for r in rows if r[1] != r[2]}), "window string, src long, dst long")
+    read = lambda task_edges: {(r.window, r.node): r.pagerank for r in graph.pagerank(e, Scratch(spark, "t"), tol=1e-3, task_edges=task_edges).collect()}
+    one, other, both = read(10**6), read(0), read(100)
+    assert one.keys() == other.keys() == both.keys() and len(one) > 200
+    assert all(abs(one[k] - other[k]) < 1e-12 and abs(one[k] - both[k]) < 1e-12 for k in one)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
 from dataclasses import replace
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,15 +76,39 @@ def run(spark, tmp_path_factory):
     return run
 
 
-def test_stages(run):
+WINDOW_KEYS = {"feature_start", "feature_end", "label_start", "label_end", "population", "mules", "base_rate", "unscoreable_mules", "mules_in_window", "reachability_ceiling"}
+POINT_KEYS = {"alerts", "caught", "ev_missed", "ev_recovered", "exposure_recovered", "k", "missed", "net_per_day", "precision_at_k", "recall", "threshold"}
+DRIFT_KEYS = {"psi", "reading", "empty_bins", "distinct_reference_edges", "epsilon_dependent"}
+
+
+def test_data_metrics(run):
     data = read_metrics(run.reports / "metrics_data.json")
-    assert data["rows"] == 4000 and set(data["windows"]) == {"train", "val", "test"} and len(data["daily"]) == 10
+    assert set(data) == {
+        "rows_read", "accounts", "self_transfers_dropped", "laundering_in_self_transfers", "observed_start", "observed_end", "usable_rows", "usable_start", "usable_end", "daily", "windows",
+    }
+    assert data["rows_read"] == 4000 and set(data["windows"]) == {"train", "val", "test"} and len(data["daily"]) == 10
+    assert all(set(w) == WINDOW_KEYS for w in data["windows"].values()) and data["windows"]["test"]["label_end"] == "2022-09-11 00:00:00" == data["usable_end"]
+    assert all(set(d) == {"transactions", "laundering", "laundering_share"} for d in data["daily"].values())
+
+
+def test_stages(run):
     got = stages.economics(run)
-    assert len(got["operating_point"]) == 6 and all(r["alerts"] <= 10 for r in got["operating_point"].values())
-    same = {(r["window"], r["scorer"]): r["caught"] for r in got["overflow"] if r["policy"] == "same_day"}
-    assert all(same[r["window"], r["scorer"]] == r["caught"] for r in got["operating_point"].values())
-    drift = stages.monitoring(run)["drift"]
-    assert len(drift["test"]["features"]) == 20 and len(drift["val"]["scores"]) == 3
+    assert set(got) - {"by_scorer"} == {
+        "base_rate", "break_even_curve", "break_even_precision", "daily_queue_ceiling", "exposure", "operating_point", "optimal_volume", "overflow_comparison", "overflow_verdict",
+        "queue_overflow_policy", "queue_policy_horizon_days", "sensitivity",
+    }
+    assert len(got["operating_point"]) == 6 and all(r["alerts"] <= 10 and set(r) == POINT_KEYS for r in got["operating_point"].values())
+    assert set(got["exposure"]) == {"count", "mean", "median", "top_1_share", "top_5_share", "total"} and set(got["break_even_precision"]) == {"mean_exposure", "median_exposure", "nothing_recovered"}
+    assert len(got["break_even_curve"]) == 19 and set(got["break_even_curve"][0]) == {"budget_binds", "cost_missed_mule_eur", "net_at_budget", "net_at_optimum", "optimal_at_grid_edge", "optimal_k", "ratio"}
+    assert all(set(r) == POINT_KEYS | {"parameter", "multiplier", "value"} for r in got["sensitivity"]) and got["queue_policy_horizon_days"] == {"rollover_max_3d": 3, "same_day": 1}
+    curve = {r["ratio"]: r["optimal_k"] for r in got["break_even_curve"]}
+    assert all(k <= max(got["daily_queue_ceiling"], 5) for k in curve.values()) and 0 < got["optimal_volume"] <= max(got["daily_queue_ceiling"], 5)
+    same = {(r["window"], r["scorer"]): r["caught"] for r in got["overflow_comparison"] if r["policy"] == "same_day"}
+    assert all(same[tuple(name.split("/"))] == r["caught"] for name, r in got["operating_point"].items())
+    watched = stages.monitoring(run)
+    assert set(watched) == {"reference_window", "bins", "epsilon", "readings", "feature_drift", "score_drift", "decay_by_week", "decay_note"} and watched["readings"] == {"stable": 0.1, "moderate shift": 0.25}
+    assert len(watched["feature_drift"]["test"]) == 20 and set(watched["feature_drift"]["val"][0]) == DRIFT_KEYS | {"feature", "reference_null_share", "comparison_null_share"}
+    assert set(watched["score_drift"]["val"]) == {"rules", "logistic", "xgboost"} and all(set(r) == DRIFT_KEYS | {"ks"} for r in watched["score_drift"]["test"].values())
     text = stages.write_report(run)
     point = got["operating_point"]["test/rules"]
     assert f"| test | rules | {point['alerts']} | {point['caught']} |" in text and "4,000 rows read" in text
@@ -90,21 +117,44 @@ def test_stages(run):
     funnel = (run.reports / "figures" / "reachability_funnel.csv").read_text().splitlines()
     assert funnel[0] == "window,stage_no,stage,count,share" and funnel[4].split(",")[3] == str(got["operating_point"]["test/xgboost"]["caught"])
     assert (run.reports / "figures" / "alert_budget.svg").read_text().startswith("<svg")
-    scan = stages.window_scan(run)["rows"]
-    assert len({r["mules_in_window"] for r in scan}) == 1 and len(scan) == 3
+
+
+def test_experiments(run):
+    scan = stages.window_scan(run)
+    assert set(scan) == {"label_window", "published_history_days", "rows"} and scan["label_window"] == ["2022-09-09 00:00:00", "2022-09-11 00:00:00"]
+    assert [r["history_days"] for r in scan["rows"]] == [4, 6, 8] and len({r["mules_in_label_window"] for r in scan["rows"]}) == 1
+    assert set(scan["rows"][0]["graph"]) == {"accounts_in_triangle", "directed_edges", "max_degree", "mean_degree", "nodes", "triangles", "undirected_edges", "zero_triangle_share"}
     parts = stages.component_stage(run)
-    assert parts["profile"]["components"] >= 1 and len(parts["bands"]) == 10
+    assert set(parts) == {"window", "graph", "bands", "min_archetype_nodes", "max_archetype_nodes"} and (parts["min_archetype_nodes"], parts["max_archetype_nodes"]) == (4, 50)
+    assert parts["graph"]["components"] >= 1 and [b["set"] for b in parts["bands"]] == [s for s in ("alerted by xgboost", "reachable mules", "whole scoring population") for _ in range(5)]
     sweep = stages.sweep(run, rounds=3)
-    assert {r["hours"] for r in sweep["points"]} == {24} and sweep["infeasible"] == [120]
+    assert set(sweep) == {"requested_hours", "feasible_hours", "infeasible_hours", "configured_hours", "feature_window_hours", "rows"}
+    assert {r["hours"] for r in sweep["rows"]} == {24} == set(sweep["feasible_hours"]) and sweep["infeasible_hours"] == [120] and sweep["feature_window_hours"] == 96
     made = stages.brief(run)
     assert 0 < len(made) <= 5 and (run.reports / "briefs" / f"account_{made[0]['account']}.md").is_file()
+    told = read_metrics(run.reports / "metrics_brief.json")
+    assert set(told) == {"scorer", "alerts", "sample", "mules_in_sample", "standout_percentile"} and told["sample"] == len(made)
+
+
+def test_a_sweep_without_the_configured_hours_is_refused(run):
+    other = replace(run.params, experiments=replace(run.params.experiments, pass_through_sweep_hours=(48, 120)))
+    with pytest.raises(SchemaError, match="24 h are not among"):
+        stages.sweep(stages.Run(run.spark, other, run.reports.parent), rounds=1)
 
 
 def test_models_rank(run):
     models = read_metrics(run.reports / "metrics_models.json")
-    by = {(r["window"], r["scorer"]): r["average_precision"] for r in models["pr"]}
-    assert by["train", "logistic"] > by["train", "rules"] * 0.8 and 1 <= models["trees_kept"] <= 3
-    assert all(r["low"] <= r["average_precision"] + 0.3 for r in models["intervals"]) and len(models["differences"]) == 6
+    assert set(models) - {"ranking", "rules_diagnostics"} == {
+        "bootstrap_resamples", "importance", "null_rates", "scale_pos_weight", "train_clean", "train_mules", "trees_allowed", "trees_kept", "windows",
+    }
+    assert models["bootstrap_resamples"] == 20 and models["trees_allowed"] == 400 and models["scale_pos_weight"] == pytest.approx(models["train_clean"] / models["train_mules"])
+    assert set(models["windows"]["train"]) == {"base_rate", "flag_configured", "flag_matched"}
+    test = models["windows"]["test"]
+    assert set(test["flag_matched"]) == {"flagged", "mules", "mules_caught", "precision", "share"} and [r["scorer"] for r in test["pr_auc"]] == ["rules", "logistic", "xgboost"]
+    assert {r["comparison"] for r in test["paired"]} == {"xgboost - rules", "xgboost - logistic", "logistic - rules"} and set(test["paired"][0]) == {"comparison", "crosses_zero", "difference", "high", "low"}
+    assert all(r["low"] <= r["pr_auc"] + 0.3 for r in test["pr_auc"])
+    by = {(r["window"], r["scorer"]): r["average_precision"] for r in models["ranking"]}
+    assert by["train", "logistic"] > by["train", "rules"] * 0.8 and 1 <= models["trees_kept"] <= 3 and len(models["importance"]) == 20
 
 
 def test_usage(capsys):
@@ -131,3 +181,39 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and len(names) >= 55
+
+
+def test_rows_of_several_files_keep_the_files_order(spark, tmp_path):
+    """A small first file and a larger second one, which Spark reads first."""
+    many = [LINES[0].replace("AAA", f"A{i}") for i in range(3000)]
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    _file(folder / "1.csv", LINES[:2])
+    _file(folder / "2.csv", many)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60k")
+    try:
+        loaded = ledger.load_csv(spark, str(folder))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    book = {r.account_key: r.account for r in loaded.accounts.collect()}
+    assert book["010|AAA"] == 0 and book["020|BBB"] == 1 and [book[f"010|A{i}"] for i in range(3000)] == list(range(2, 3002))
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from ledgersift import scratch
+
+    class Context:
+        master, applicationId = "spark://somewhere:7077", "app"
+
+    class Session:
+        sparkContext, conf = Context(), spark.conf
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch.shared_folder(Session())
+
+
+@pytest.mark.parametrize("library", ["xxhash", "zstandard"])
+def test_entry_without_a_library_of_the_corpus_operators(library):
+    code = f"import sys; sys.modules[{library!r}] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) >= 55 and not any(n.startswith('op') and n[2].isdigit() for n in q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
