@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ FEATURES = (
     "outflow_concentration", "pagerank", "reciprocity", "active_days", "burstiness", "pass_through_ratio", "median_hours_to_outflow", "degree_asymmetry", "counterparty_asymmetry",
     "sender_diversity", "mean_amount_ratio",
 )
+#: Boosting begins with so many rounds more than it waits for a better one.
+FIRST_ROUNDS = 10
 #: Those that may be null.
 NULLABLE = ("pass_through_ratio", "sender_diversity", "mean_amount_ratio", "median_hours_to_outflow")
 
@@ -186,32 +189,96 @@ def fit_logistic(train: DataFrame, spec: LogisticSpec, seed: int = 42) -> Logist
     return Logistic({c: (medians[c], float(m), float(d), float(w)) for c, m, d, w in parts}, float(fitted.intercept), tuple(spec.log1p_features))
 
 
+@dataclass(frozen=True)
+class Tree:
+    """A regression tree as arrays in preorder; a leaf has itself as both children."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    children: np.ndarray  # left (value at most the threshold), right
+    value: np.ndarray
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        while True:
+            right = x[rows, self.feature[at]] > self.threshold[at]
+            below = self.children[at, right.astype(np.int64)]
+            if (below == at).all():
+                return self.value[at]
+            at = below
+
+
+_SPLIT = re.compile(r"If \(feature (\d+) <= (\S+)\)")
+
+
+def read_trees(text: str) -> list[Tree]:
+    """The trees of a fitted model, from Spark ML's description of it (numbers in full)."""
+    out, rows, held = [], [], []  # held: splits whose right branch is to come
+
+    def close() -> None:
+        if rows:
+            feature, threshold, left, right, value = zip(*rows, strict=True)
+            out.append(Tree(np.array(feature), np.array(threshold), np.array([left, right]).T, np.array(value)))
+            rows.clear()
+
+    for line in map(str.strip, text.splitlines()[1:]):
+        if line.startswith("Tree "):
+            close()
+        elif found := _SPLIT.match(line):
+            held.append(len(rows))
+            rows.append([int(found[1]), float(found[2]), len(rows) + 1, None, 0.0])
+        elif line.startswith("Else "):
+            rows[held.pop()][3] = len(rows)
+        elif line.startswith("Predict: "):
+            rows.append([0, np.inf, len(rows), len(rows), float(line.removeprefix("Predict: "))])
+        elif line:
+            raise SchemaError(f"not a line of a tree: {line!r}")
+    close()
+    return out
+
+
 class Trees:
     """A prefix of a boosting run: margins are weighted sums of the trees' predictions."""
 
-    def __init__(self, trees: list, weights: list[float], columns: list[str]):
-        self.trees, self.weights, self.columns = trees, weights, columns
+    def __init__(self, trees: list[Tree], weights: list[float], columns: list[str], gains: list[np.ndarray]):
+        self.trees, self.weights, self.columns, self.gains = trees, weights, columns, gains
+
+    @classmethod
+    def of(cls, model: GBTClassificationModel, columns: list[str]) -> Trees:
+        return cls(read_trees(model.toDebugString), list(model.treeWeights), columns, [t.featureImportances.toArray() for t in model.trees])
 
     @property
     def kept(self) -> int:
         return len(self.trees)
 
-    def margins(self, matrix: DataFrame, prefixes: Sequence[int]) -> DataFrame:
-        """``matrix`` with a column ``m<n>`` for each prefix length n."""
-        out = prepared(matrix, self.columns)
-        for i, tree in enumerate(self.trees):
-            out = tree.copy().setFeaturesCol("__raw").setPredictionCol(f"__t{i}").transform(out)
-        terms = [F.col(f"__t{i}") * w for i, w in enumerate(self.weights)]
-        return out.select(*matrix.columns, *[reduce(add, terms[:n]).alias(f"m{n}") for n in prefixes])
+    def prefix(self, n: int) -> Trees:
+        return Trees(self.trees[:n], self.weights[:n], self.columns, self.gains[:n])
+
+    def _values(self) -> F.Column:
+        return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(-1.0 if c in NULLABLE else None).cast("double")) for c in self.columns])
+
+    def _terms(self, values: pa.Array) -> Iterator[np.ndarray]:
+        x = values.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(self.columns))
+        for tree, weight in zip(self.trees, self.weights, strict=True):
+            yield tree.predict(x) * weight
+
+    def margins(self, matrix: DataFrame) -> DataFrame:
+        """``matrix`` with ``margins``, the margin of every prefix of the run."""
+
+        def work(values: pa.Array) -> pa.Array:
+            sums = np.cumsum(np.stack(list(self._terms(values)), axis=1), axis=1)
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, sums.shape[1]), pa.int32()), pa.array(sums.ravel()))
+
+        return matrix.withColumn("margins", F.arrow_udf(work, "array<double>")(self._values()))
 
     def score(self, matrix: DataFrame, out: str = "xgboost") -> DataFrame:
         """Probability of a mule (logistic of twice the margin)."""
-        n = self.kept
-        return self.margins(matrix, [n]).withColumn(out, 1 / (1 + F.exp(F.col(f"m{n}") * -2))).drop(f"m{n}")
+        margin = F.arrow_udf(lambda values: pa.array(sum(self._terms(values), np.zeros(len(values)))), "double")
+        return matrix.withColumn(out, 1 / (1 + F.exp(margin(self._values()) * -2)))
 
     def importance(self) -> list[tuple[str, float]]:
         """Features by their share of the trees' impurity gain, largest first."""
-        total = sum(t.featureImportances.toArray() for t in self.trees)
+        total = sum(self.gains)
         whole = float(total.sum()) or 1.0
         return sorted(((c, float(v) / whole) for c, v in zip(self.columns, total, strict=True)), key=lambda x: -x[1])
 
@@ -224,26 +291,40 @@ def prepared(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
 def fit_trees(train: DataFrame, validation: DataFrame, spec: TreeSpec, seed: int = 42, rounds: int | None = None) -> Trees:
     """Gradient-boosted trees (Spark ML), cut where the validation window is ranked best.
 
-    All prefixes of one fit are compared by average precision in one job; the kept one is the first best from which
-    ``early_stopping_rounds`` further trees bring nothing better.
+    All prefixes of a fit are compared by average precision in one job; the kept one is the first best from which ``early_stopping_rounds`` further trees
+    bring nothing better. A fit is begun with little more than those rounds and done again with twice as many while the best tree is too near its
+    end: a shorter run is the beginning of a longer one, so the result is that of all ``n_estimators`` rounds.
     """
-    columns = feature_columns(train)
+    columns, scratch = feature_columns(train), Scratch(train.sparkSession, "trees")
     weight = scale_pos_weight(train)
-    fitter = GBTClassifier(
-        featuresCol="__raw", labelCol="__label", weightCol="__weight", maxIter=rounds or spec.n_estimators, maxDepth=spec.max_depth, stepSize=spec.learning_rate,
-        subsamplingRate=spec.subsample, featureSubsetStrategy=str(spec.colsample_bytree), seed=seed,
-    )
-    ready = prepared(train, columns).withColumns({"__weight": F.when(F.col(LABEL) == 1, weight).otherwise(1.0), "__label": F.col(LABEL).cast("double")})
-    model = fitter.fit(ready)
-    whole = Trees(list(model.trees), list(model.treeWeights), columns)
-    prefixes = list(range(1, whole.kept + 1))
-    margins = whole.margins(validation.select("window", "account", LABEL, *columns), prefixes)
-    got = average_precision(stacked(margins, [f"m{n}" for n in prefixes])).collect()
-    by = {int(r["scorer"][1:]): r["average_precision"] or 0.0 for r in got}
+    balanced = F.when(F.col(LABEL) == 1, weight).otherwise(1.0)
+    ready = scratch.save(train.select("account", *columns, balanced.alias("__weight"), F.col(LABEL).cast("double").alias("__label")), "train")
+    # rows in an order of their own, not the files': subsampling goes by place
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = prepared(ready.repartition(parts, "account").sortWithinPartitions("account"), columns).select("__raw", "__weight", "__label")
+    check = scratch.save(validation.select("window", "account", LABEL, *columns), "validation")
+    most, now = rounds or spec.n_estimators, min(rounds or spec.n_estimators, spec.early_stopping_rounds + FIRST_ROUNDS)
+    while True:
+        fitter = GBTClassifier(
+            featuresCol="__raw", labelCol="__label", weightCol="__weight", maxIter=now, maxDepth=spec.max_depth, stepSize=spec.learning_rate,
+            subsamplingRate=spec.subsample, featureSubsetStrategy=str(spec.colsample_bytree), seed=seed,
+        )
+        whole = Trees.of(fitter.fit(ready), columns)
+        best = _best_prefix(whole, check, spec.early_stopping_rounds)
+        if best + spec.early_stopping_rounds < whole.kept or now >= most:
+            return whole.prefix(best)
+        now = min(most, now * 2)
+
+
+def _best_prefix(whole: Trees, validation: DataFrame, patience: int) -> int:
+    """The first prefix of the best average precision, looking no further than ``patience`` trees beyond it."""
+    long = whole.margins(validation).select("window", "account", LABEL, F.posexplode("margins").alias("at", "score"))
+    got = average_precision(long.withColumn("scorer", (F.col("at") + 1).cast("string"))).collect()  # a row per tree
+    by = {int(r["scorer"]): r["average_precision"] or 0.0 for r in got}
     best = 1
-    for n in prefixes:
-        if n - best > spec.early_stopping_rounds:
+    for n in range(1, whole.kept + 1):
+        if n - best > patience:
             break
         if by.get(n, 0.0) > by.get(best, 0.0):
             best = n
-    return Trees(whole.trees[:best], whole.weights[:best], columns)
+    return best

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from ledgersift.config import LogisticSpec, TreeSpec
@@ -54,3 +55,31 @@ def test_trees_keep_the_best_prefix(spark):
     assert scored.filter("xgboost > 0 and xgboost < 1").count() == 400
     means = {r.is_mule: r.m for r in scored.groupBy("is_mule").agg(F.avg("xgboost").alias("m")).collect()}
     assert means[1] > means[0]
+
+
+def test_trees_read_from_the_model_predict_alike(spark):
+    m = _matrix(spark)
+    ready = scoring.prepared(m, list(scoring.FEATURES)).withColumn("y", F.col("is_mule").cast("double"))
+    model = GBTClassifier(featuresCol="__raw", labelCol="y", maxIter=5, maxDepth=4, seed=3).fit(ready)
+    want = {r.account: r.probability[1] for r in model.transform(ready).select("account", "probability").collect()}
+    trees = scoring.Trees.of(model, list(scoring.FEATURES))
+    got = trees.score(m).select("account", "xgboost").collect()
+    assert trees.kept == 5 and all(abs(r.xgboost - want[r.account]) < 1e-12 for r in got)
+    row = trees.margins(m).filter("account = 7").first()
+    assert len(row.margins) == 5 and abs(1 / (1 + math.exp(-2 * row.margins[-1])) - want[7]) < 1e-12
+
+
+def test_a_longer_boosting_run_begins_like_a_shorter_one(spark):
+    """What allows to begin short: the kept prefix is that of all rounds."""
+    m = _matrix(spark)
+    spec = TreeSpec(max_depth=2, early_stopping_rounds=2, n_estimators=40)
+    first, scoring.FIRST_ROUNDS = scoring.FIRST_ROUNDS, 1
+    try:
+        short = scoring.fit_trees(m, m, spec)
+        scoring.FIRST_ROUNDS = 40
+        whole = scoring.fit_trees(m, m, spec)
+    finally:
+        scoring.FIRST_ROUNDS = first
+    assert short.kept == whole.kept
+    a, b = ({r.account: r.xgboost for r in t.score(m).collect()} for t in (short, whole))
+    assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
