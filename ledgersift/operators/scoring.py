@@ -316,11 +316,59 @@ def fit_trees(train: DataFrame, validation: DataFrame, spec: TreeSpec, seed: int
         now = min(most, now * 2)
 
 
-def _best_prefix(whole: Trees, validation: DataFrame, patience: int) -> int:
-    """The first prefix of the best average precision, looking no further than ``patience`` trees beyond it."""
+#: Scores of mules, over all prefixes, that are sent to the tasks at once (8 MB); a window with more is ranked by shuffles.
+THRESHOLD_CELLS = 1 << 20
+
+
+def _ranked_at_mules(whole: Trees, validation: DataFrame) -> dict[int, float]:
+    """Average precision of every prefix, by its number of trees.
+
+    Only scores that a mule has add to it, so each task counts its rows between those and nothing but counts is shuffled. The mules' scores are
+    collected: the caller has counted them.
+    """
+    scores = whole.margins(validation.filter(F.col(LABEL) == 1)).select("margins").toArrow()["margins"].combine_chunks().flatten().to_numpy().reshape(-1, whole.kept)
+    cuts, hits = zip(*[np.unique(column, return_counts=True) for column in scores.T], strict=True)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.zeros(len(c) + 1, np.int64) for c in cuts]
+        for batch in batches:
+            running = np.zeros(batch.num_rows)
+            for at, term in enumerate(whole._terms(batch["values"])):
+                running = running + term
+                found[at] += np.bincount(np.searchsorted(cuts[at], running, side="right"), minlength=len(found[at]))
+        size = sum(map(len, found))
+        prefix = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
+        spot = np.concatenate([np.arange(len(f), dtype=np.int32) for f in found])
+        rows = np.concatenate(found)
+        for at in range(0, size, 10_000):
+            yield pa.RecordBatch.from_pydict({"prefix": prefix[at:at + 10_000], "spot": spot[at:at + 10_000], "n": rows[at:at + 10_000]})
+
+    counted = validation.select(whole._values().alias("values")).mapInArrow(count, "prefix int, spot int, n long").groupBy("prefix", "spot").agg(F.sum("n").alias("n")).toArrow()
+    above = [np.zeros(len(c) + 1, np.int64) for c in cuts]
+    for at, spot, n in zip(*(counted[c].to_numpy() for c in ("prefix", "spot", "n")), strict=True):
+        above[at][spot] = n
+    out = {}
+    for at, caught in enumerate(hits):
+        over = np.cumsum(above[at][:0:-1])  # spot 0 is below every mule
+        out[at + 1] = float((np.cumsum(caught[::-1]) / over * caught[::-1]).sum() / caught.sum())
+    return out
+
+
+def _prefix_precision(whole: Trees, validation: DataFrame, *, cells: int = THRESHOLD_CELLS) -> dict[int, float]:
+    """Average precision of every prefix, by its number of trees; 0 without mules."""
+    mules = validation.filter(F.col(LABEL) == 1).count()
+    if not mules:
+        return {}
+    if mules * whole.kept <= cells:
+        return _ranked_at_mules(whole, validation)
     long = whole.margins(validation).select("window", "account", LABEL, F.posexplode("margins").alias("at", "score"))
     got = average_precision(long.withColumn("scorer", (F.col("at") + 1).cast("string"))).collect()  # a row per tree
-    by = {int(r["scorer"]): r["average_precision"] or 0.0 for r in got}
+    return {int(r["scorer"]): r["average_precision"] or 0.0 for r in got}
+
+
+def _best_prefix(whole: Trees, validation: DataFrame, patience: int) -> int:
+    """The first prefix of the best average precision, looking no further than ``patience`` trees beyond it."""
+    by = _prefix_precision(whole, validation)
     best = 1
     for n in range(1, whole.kept + 1):
         if n - best > patience:

@@ -83,3 +83,16 @@ def test_a_longer_boosting_run_begins_like_a_shorter_one(spark):
     assert short.kept == whole.kept
     a, b = ({r.account: r.xgboost for r in t.score(m).collect()} for t in (short, whole))
     assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_prefixes_are_ranked_alike_with_and_without_shuffles(spark):
+    """Counts between the mules' scores give the average precision that the ranked rows give, with ties, nulls and no mules at all."""
+    m = _matrix(spark).unionByName(_matrix(spark, 120))  # repeated rows: every score is tied
+    model = GBTClassifier(featuresCol="__raw", labelCol="is_mule", maxIter=7, maxDepth=2, seed=3).fit(scoring.prepared(m, list(scoring.FEATURES)))
+    whole = scoring.Trees.of(model, list(scoring.FEATURES))
+    counted, shuffled = scoring._prefix_precision(whole, m), scoring._prefix_precision(whole, m, cells=0)
+    assert sorted(counted) == sorted(shuffled) == list(range(1, 8))
+    assert np.allclose([counted[n] for n in range(1, 8)], [shuffled[n] for n in range(1, 8)], atol=1e-12)
+    assert scoring._prefix_precision(whole, m.withColumn("is_mule", F.lit(0))) == {}
+    one = m.filter("is_mule = 1").limit(1).unionByName(m.filter("is_mule = 0"))
+    assert np.allclose(list(scoring._prefix_precision(whole, one).values()), [scoring._prefix_precision(whole, one, cells=0)[n] for n in range(1, 8)], atol=1e-12)
