@@ -17,6 +17,7 @@ from ledgersift.config import Window
 from ledgersift.operators.components import connected_components
 from ledgersift.operators.population import with_windows
 from ledgersift.scratch import Scratch
+from ledgersift.skew import join_per_key
 
 
 def edges(txns: DataFrame, windows: Sequence[Window]) -> DataFrame:
@@ -59,7 +60,8 @@ def pagerank(
 
     A window stops once its ranks move by less than ``tol`` in sum (the last step counts); ``n_iter`` fixes the number of steps
     instead. Windows of up to ``task_edges`` edges (counted first) are a task each; for larger ones contributions are
-    pre-aggregated by target before they are shuffled, so a node with very many payers costs one row a task.
+    pre-aggregated by target before they are shuffled, so a node with very many payers costs one row a task, and the ranks
+    of nodes with very many payees are broadcast to their edges (under 4,096 nodes, whatever the graph).
     """
     written = scratch.save(edge_rows.select("window", "src", "dst"), "edges")
     counted = {r["window"]: r["count"] for r in written.groupBy("window").count().collect()}  # a row per window
@@ -70,27 +72,28 @@ def pagerank(
         parts.append(scratch.save(own, "ranks-in-task"))
     if len(small) < len(counted):
         large = written.filter(~F.col("window").isin(small)) if small else written
-        parts.append(_pagerank_by_joins(large, scratch, damping, max_iter, tol, n_iter))
+        parts.append(_pagerank_by_joins(large, sum(n for n in counted.values() if n > task_edges), scratch, damping, max_iter, tol, n_iter))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _pagerank_by_joins(edge_rows: DataFrame, scratch: Scratch, damping: float, max_iter: int, tol: float, n_iter: int | None) -> DataFrame:
+def _pagerank_by_joins(edge_rows: DataFrame, total: int, scratch: Scratch, damping: float, max_iter: int, tol: float, n_iter: int | None) -> DataFrame:
+    """The iteration on ``total`` written edges; ``out`` of a node is how many of them it has, null for a dangling one."""
     degree = edge_rows.groupBy("window", "src").agg(F.count("*").alias("out"))
-    links = scratch.save(edge_rows.join(degree, ["window", "src"]), "links")
     sizes = nodes(edge_rows).groupBy("window").agg(F.count("*").alias("n"))  # a row per window
     ranks = nodes(edge_rows).join(F.broadcast(sizes), "window").join(degree.withColumnRenamed("src", "node"), ["window", "node"], "left")
-    ranks = scratch.save(ranks.select("window", "node", "n", F.col("out").isNull().alias("dangling"), F.try_divide(F.lit(1.0), F.col("n")).alias("rank")), "ranks-0")
+    ranks = scratch.save(ranks.select("window", "node", "n", "out", F.try_divide(F.lit(1.0), F.col("n")).alias("rank")), "ranks-0")
     open_windows = sorted(r[0] for r in ranks.select("window").distinct().collect())
     for step in range(1, (n_iter or max_iter) + 1):
         if not open_windows:
             break
-        lost = {r["window"]: r["lost"] or 0.0 for r in ranks.groupBy("window").agg(F.sum(F.when(F.col("dangling"), F.col("rank"))).alias("lost")).collect()}
+        lost = {r["window"]: r["lost"] or 0.0 for r in ranks.groupBy("window").agg(F.sum(F.when(F.col("out").isNull(), F.col("rank"))).alias("lost")).collect()}
         spread = F.create_map(*[F.lit(x) for w in open_windows for x in (w, lost.get(w, 0.0))])
-        given = links.filter(F.col("window").isin(open_windows)).join(ranks.select("window", F.col("node").alias("src"), "rank"), ["window", "src"])
-        got = given.groupBy("window", F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
+        paying = ranks.filter("out is not null").select("window", F.col("node").alias("src"), "out", (F.col("rank") / F.col("out")).alias("part"))
+        given = join_per_key(edge_rows.filter(F.col("window").isin(open_windows)), paying, ["window", "src"], "out", total)
+        got = given.groupBy("window", F.col("dst").alias("node")).agg(F.sum("part").alias("got"))
         value = F.coalesce("got", F.lit(0.0)) * damping + F.coalesce(F.try_element_at(spread, F.col("window")), F.lit(0.0)) * damping / F.col("n") + (1 - damping) / F.col("n")
         value = F.when(F.col("window").isin(open_windows), value).otherwise(F.col("rank"))
-        moved = ranks.join(got, ["window", "node"], "left").select("window", "node", "n", "dangling", value.alias("rank"), F.abs(value - F.col("rank")).alias("moved"))
+        moved = ranks.join(got, ["window", "node"], "left").select("window", "node", "n", "out", value.alias("rank"), F.abs(value - F.col("rank")).alias("moved"))
         moved = scratch.save(moved, f"ranks-{step}")
         change = {r["window"]: r["moved"] for r in moved.groupBy("window").agg(F.sum("moved").alias("moved")).collect()}
         if n_iter is None:

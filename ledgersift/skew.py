@@ -29,6 +29,22 @@ def join_per_key(left: DataFrame, per_key: DataFrame, keys: Sequence[str], weigh
     )
 
 
+#: Rows up to which Spark's own handling of skewed joins is trusted: a task that gets them all still ends soon.
+PLAIN_JOIN_ROWS = 2_000_000
+
+
+def join_counted(left: DataFrame, per_key: DataFrame, key: str, rows: int, scratch: Scratch, table: str, *, plain_rows: int = PLAIN_JOIN_ROWS) -> DataFrame:
+    """Left join of a written table of at most ``rows`` rows with one row per key, however many rows a key has.
+
+    Beyond ``plain_rows`` the rows of each key are counted (map-side) and go through `join_per_key`; the result is written. Keys must not be null.
+    """
+    if rows <= plain_rows:
+        return left.join(per_key, key, "left")
+    counts = left.groupBy(key).agg(F.count("*").alias("__rows"))
+    known = scratch.save(counts.join(per_key, key, "left"), f"{table}-keys")  # a hot key without a partner is in it too
+    return scratch.save(join_per_key(left, known, [key], "__rows", rows), f"{table}-joined")
+
+
 def global_order(df: DataFrame, order: Sequence[Column], name: str, scratch: Scratch, table: str, partitions: int) -> DataFrame:
     """``df`` with its 0-based position in ``order`` as column ``name``, computed without a single-task sort.
 

@@ -6,6 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from ledgersift.operators import graph
+from ledgersift.operators.components import connected_components
 from ledgersift.scratch import Scratch, shared_folder
 from ledgersift.skew import global_order, join_per_key, running_totals
 
@@ -50,3 +52,40 @@ def test_shared_folder_is_the_sessions(spark):
 
     assert shared_folder(Named) == "file:///tmp/somewhere"
     assert shared_folder(spark)
+
+
+def _smallest_reached(pairs):
+    parent = {}
+
+    def end(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        one, other = sorted((end(a), end(b)))
+        parent[other] = one
+    return {x: end(x) for x in parent}
+
+
+def test_components_with_hot_nodes_split(spark):
+    """Stars, a chain that joins two of them and scattered pairs: some nodes hot, most not, at both kinds of join."""
+    rng = random.Random(3)
+    star = [(7, 1000 + i) for i in range(3000)] + [(900_000, 10_000 + i) for i in range(2000)]
+    chain = [(20_000 + i, 20_001 + i) for i in range(50)] + [(20_000, 1500), (20_050, 900_000)]
+    pairs = [(rng.randrange(100_000, 104_000), rng.randrange(100_000, 104_000)) for _ in range(2500)]
+    rows = star + chain + pairs
+    found = connected_components(spark.createDataFrame(rows, "a long, b long"), Scratch(spark, "t"), plain_rows=0).collect()
+    want = _smallest_reached([r for r in rows if r[0] != r[1]])
+    assert {r.node: r.component for r in found} == want and len(found) == len(want)
+
+
+def test_pagerank_by_joins_with_a_hub_that_pays_all(spark):
+    rng = random.Random(4)
+    rows = {("w", 1, 100 + i) for i in range(4000)} | {("w", rng.randrange(100, 4100), rng.randrange(100, 4100)) for _ in range(3000)}
+    edges = spark.createDataFrame(sorted(rows), "window string, src long, dst long")
+    one, other = ({r.node: r.pagerank for r in graph.pagerank(edges, Scratch(spark, "t"), n_iter=4, task_edges=n).collect()} for n in (10**6, 0))
+    assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-12 for k in one)
+    assert abs(sum(other.values()) - 1) < 1e-9
