@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgersift.config import Window, ratio_windows
 from ledgersift.functions.scalars import share
+from ledgersift.functions.sums import exact_total, merged_parts, part_names, sum_parts
 from ledgersift.operators.population import with_windows
 
 KEY = ["window", "account"]
@@ -31,15 +32,15 @@ def legs(txns: DataFrame, windows: Sequence[Window], hours: int) -> DataFrame:
 
 
 def pair_totals(all_legs: DataFrame) -> DataFrame:
-    """One row per window, account and counterparty, both directions side by side."""
+    """One row per window, account and counterparty, both directions side by side; sums in parts, since totals are ranked and joined by value."""
     def of(side: str, column) -> F.Column:
         return F.when(F.col("side") == side, column)
 
     return all_legs.groupBy("window", "account", "other").agg(
         *[f for s in ("in", "out") for f in (
-            F.count(of(s, F.lit(1))).alias(f"n_{s}"), F.sum(of(s, F.col("amount"))).alias(f"sum_{s}"), F.max(of(s, F.col("amount"))).alias(f"max_{s}"),
+            F.count(of(s, F.lit(1))).alias(f"n_{s}"), *sum_parts(of(s, F.col("amount")), f"sum_{s}"), F.max(of(s, F.col("amount"))).alias(f"max_{s}"),
         )],
-        F.sum(F.when((F.col("side") == "in") & F.col("early"), F.col("amount"))).alias("early_in"),
+        *sum_parts(F.when((F.col("side") == "in") & F.col("early"), F.col("amount")), "early_in"),
     )
 
 
@@ -49,11 +50,13 @@ def directional(pairs: DataFrame) -> DataFrame:
     per = pairs.groupBy(*KEY).agg(
         *[f for s in ("in", "out") for f in (
             F.sum(f"n_{s}").alias(f"{s}_degree"), F.count_if(F.col(f"n_{s}") > 0).alias(f"unique_counterparties_{s}"),
-            zero(F.sum(f"sum_{s}")).alias(f"total_{s}flow"), zero(F.max(f"max_{s}")).alias(f"max_{s}flow"), F.max(f"sum_{s}").alias(f"top_{s}"),
+            *merged_parts(f"sum_{s}"), zero(F.max(f"max_{s}")).alias(f"max_{s}flow"), F.max(exact_total(f"sum_{s}")).alias(f"top_{s}"),
         )],
-        zero(F.sum("early_in")).alias("early_inflow"),
+        *merged_parts("early_in"),
         F.count_if((F.col("n_in") > 0) & (F.col("n_out") > 0)).alias("mutual"),
     )
+    totals = {"total_inflow": "sum_in", "total_outflow": "sum_out", "early_inflow": "early_in"}
+    per = per.withColumns({t: zero(exact_total(n)) for t, n in totals.items()}).drop(*part_names(*totals.values()))
     return per.withColumns({
         "inflow_concentration": share(F.col("top_in"), F.col("total_inflow")),
         "outflow_concentration": share(F.col("top_out"), F.col("total_outflow")),
