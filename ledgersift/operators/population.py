@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgersift.config import Window
+from ledgersift.functions.sums import exact_total, part_names, sum_parts
 
 
 def _between(ts: Column, start: Column, end: Column) -> Column:
@@ -40,9 +41,8 @@ def population(txns: DataFrame, windows: Sequence[Window]) -> DataFrame:
 
 def _received(txns: DataFrame, windows: Sequence[Window]) -> DataFrame:
     seen = with_windows(txns, windows, "label")
-    return seen.groupBy("window", F.col("account_to").alias("account")).agg(
-        F.max("is_laundering").cast("int").alias("is_mule"), F.sum("base_received").alias("exposure")
-    )
+    got = seen.groupBy("window", F.col("account_to").alias("account")).agg(F.max("is_laundering").cast("int").alias("is_mule"), *sum_parts(F.col("base_received"), "exposure"))
+    return got.withColumn("exposure", exact_total("exposure")).drop(*part_names("exposure"))
 
 
 def labels(txns: DataFrame, windows: Sequence[Window]) -> DataFrame:

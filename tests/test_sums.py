@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgersift.config import FeatureSpec, Window
 from ledgersift.functions.sums import exact_total, merged_parts, sum_parts
-from ledgersift.operators import briefs, scoring
+from ledgersift.operators import briefs, population, scoring
 from ledgersift.plans.features import relational_features
 from tests.test_goldens import TXN
 
@@ -46,3 +46,8 @@ def test_equal_payments_tie_in_percentiles(spark):
         assert matrix.select("inflow_concentration").distinct().collect() == [(1.0,)]
         got = scoring.population_percentiles(matrix, briefs.COLUMNS)
         assert [tuple(r) for r in got.select("pct_total_inflow", "pct_inflow_concentration").distinct().collect()] == [(15.5 / 30, 15.5 / 30)]
+
+
+def test_equal_payments_tie_in_exposure(spark):
+    txns = _ledger(spark).unionByName(_ledger(spark, label=True))
+    assert [r.exposure for r in population.labels(txns, [WINDOW]).select("exposure").distinct().collect()] == [math.fsum(AMOUNTS)]
