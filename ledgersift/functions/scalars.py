@@ -47,3 +47,8 @@ def thousands(value: Column, places: int = 0) -> Column:
 
 def percent(value: Column) -> Column:
     return F.concat(F.format_string("%.0f", value * 100), F.lit("%"))
+
+
+def places(value: Column) -> Column:
+    """Two decimals of the double itself: formatting its shortest decimal would turn 0.575, which is stored as less, into 0.58."""
+    return F.format_string("%.2f", F.round(value * 100, 0) / 100)

@@ -6,9 +6,11 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 from pyspark.sql import functions as F
 
 from ledgersift.config import FeatureSpec, Window
+from ledgersift.functions.scalars import places
 from ledgersift.functions.sums import exact_total, merged_parts, sum_parts
 from ledgersift.operators import briefs, population, scoring
 from ledgersift.plans.features import relational_features
@@ -51,3 +53,14 @@ def test_equal_payments_tie_in_percentiles(spark):
 def test_equal_payments_tie_in_exposure(spark):
     txns = _ledger(spark).unionByName(_ledger(spark, label=True))
     assert [r.exposure for r in population.labels(txns, [WINDOW]).select("exposure").distinct().collect()] == [math.fsum(AMOUNTS)]
+
+
+def test_two_decimals_as_sql_has_them(spark):
+    values = [a / b for b in (8, 40, 200, 347) for a in range(b + 1)]
+    got = [r[1] for r in spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", places(F.col("v"))).orderBy("i").collect()]
+    wanted = duckdb.sql("SELECT printf('%.2f', round(v, 2)) FROM (SELECT unnest(" + repr(values) + "::DOUBLE[]) AS v)").fetchall()
+    assert got == [w for (w,) in wanted] and places_of(spark, 0.575) == "0.57"
+
+
+def places_of(spark, value):
+    return spark.range(1).select(places(F.lit(value))).first()[0]
