@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgersift.llm import decontam, langid, mixing, nearcopies, sharding
+from ledgersift.llm import decontam, langid, mixing, nearcopies, sharding, simhash
 from ledgersift.llm.sizes import sent
 from ledgersift.scratch import Scratch
 
@@ -31,11 +31,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near copies (five-word shingles, similarity 0.8 or more).
 
+    Candidates are the groups that op 6's BK-trees make of the fingerprints, and the MinHash bands of what those trees do not reach; both are compared whole.
     Where other texts share that id, or a component has no id, the text with the smallest hash stays; of equal rows one stays. What goes is
     taken away from the documents, so that texts are shuffled only if too many go for a broadcast. Very long texts are compared whole.
     """
     scratch = Scratch(spark, "pipeline-6")
-    copies, heads = nearcopies.copies_and_heads(docs, scratch)
+    trees = Scratch(spark, "pipeline-6-trees")
+    found = simhash.near_duplicates(docs, trees).select("text_hash", "component").distinct()
+    copies, heads = nearcopies.copies_and_heads(docs, scratch, groups=trees.save(found, "groups"))
     mine = heads.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
     gone = copies.join(mine, copies.doc_id.eqNullSafe(mine.d) & (copies.text_hash == mine.t), "left_anti")
     repeated = heads.filter("n > 1")

@@ -3,7 +3,8 @@
 A text is the set of its word shingles (ASCII lower case; a text under five words is one shingle, null and empty texts are equal).
 Texts of similarity 0.8 or more are linked. Candidates come from 20 bands of 5 minima: a pair at exactly 0.8 shares a band
 with probability 0.9996. The shingle sets of candidates are compared whole, so a link is never a guess; what is sent are only the sets of
-texts that share a band with another text. SimHash within a few bits does not find such pairs: they lie 3 to 11 bits apart.
+texts that share a band with another text, or a group that the caller names (the pipeline: the components of op 6's BK-trees). The trees alone
+do not find such pairs: most lie 3 to 11 bits apart.
 
 A band's texts meet in one task up to ``limit`` of them and are compared until all are linked or all pairs are seen. More are dealt into
 chunks of that size, each with the same ``HUBS`` texts, which join most of the group. The texts that are then not in the group's largest component
@@ -177,10 +178,11 @@ def _left_out(large: DataFrame, edges: DataFrame, limit: int, scratch: Scratch)
     return both.select("node", F.xxhash64("bucket", F.col("i").cast("long"), F.col("j").cast("long")).alias("chunk"), "component", "query")
 
 
-def copies_and_heads(docs: DataFrame, scratch: Scratch, *, text: str = "text", key: str = "doc_id", limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+def copies_and_heads(docs: DataFrame, scratch: Scratch, *, groups: DataFrame | None = None, text: str = "text", key: str = "doc_id", limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     """``doc_id, text_hash, n`` of every different row, with how often it occurs; and of the one that stands for each component.
 
     It is the one with the smallest id, without any id the one with the smallest text hash, and so among texts that share the id.
+    ``groups`` (``text_hash, component``) names texts that another method puts together: they are compared as those of a band are.
     """
     body = F.col(text).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
@@ -190,6 +192,8 @@ def copies_and_heads(docs: DataFrame, scratch: Scratch, *, text: str = "text", k
     classes = scratch.save(least.select("text_hash", "h.unnamed", "h.doc_id", "h.n"), "classes")
 
     met = found.select("text_hash", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_set("text_hash").alias("nodes")).filter(F.size("nodes") > 1)
+    if groups is not None:
+        met = met.select("nodes").unionByName(groups.groupBy("component").agg(F.collect_set("text_hash").alias("nodes")).filter(F.size("nodes") > 1).select("nodes"))
     met = met.select(F.sort_array("nodes").alias("nodes")).distinct()  # near copies share several bands with the same members
     parts = F.ceil(F.size("nodes") / F.lit(limit)).cast("int")
     each = met.select(F.xxhash64("nodes").alias("bucket"), parts.alias("parts"), F.posexplode("nodes").alias("at", "node"))
